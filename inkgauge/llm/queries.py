@@ -33,5 +33,39 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(_read(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op6_mix_sources, op8_line_dedup, op9_warc)}
+def op2_pack_power_of_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .packing import pack
+
+    packed = pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, score
+
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit(docs, _read(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return score(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
+def op4_media_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import feature_text, with_features, with_media
+
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    sized = docs.withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
+    stored = with_media(sized).drop("text")
+    f = F.col("features")
+    return with_features(stored).select(
+        "doc_id", "n_bytes", f["payload_bytes"].alias("payload_bytes"), f["payload_sha256"].alias("payload_sha256"),
+        f["tail_crc32"].alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"), feature_text(f).alias("feature"),
+    )
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op2_pack_power_of_two, op3_toxicity, op4_media_containers, op6_mix_sources, op8_line_dedup, op9_warc)
+}
 ORACLE_SQL: dict[str, str] = {}
