@@ -64,8 +64,14 @@ def op4_media_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import jaccard_components
+
+    return jaccard_components(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op2_pack_power_of_two, op3_toxicity, op4_media_containers, op6_mix_sources, op8_line_dedup, op9_warc)
+    for f in (op2_pack_power_of_two, op3_toxicity, op4_media_containers, op6_mix_sources, op7_ngram_jaccard, op8_line_dedup, op9_warc)
 }
 ORACLE_SQL: dict[str, str] = {}
