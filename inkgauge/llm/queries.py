@@ -10,6 +10,12 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import nearest
+
+    return nearest(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -72,6 +78,6 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_pack_power_of_two, op3_toxicity, op4_media_containers, op6_mix_sources, op7_ngram_jaccard, op8_line_dedup, op9_warc)
+    for f in (op2_pack_power_of_two, op3_toxicity, op4_media_containers, op5_nearest, op6_mix_sources, op7_ngram_jaccard, op8_line_dedup, op9_warc)
 }
 ORACLE_SQL: dict[str, str] = {}
