@@ -39,6 +39,13 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(_read(spark, sf_dir, "pages"))
 
 
+def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import surrogate_documents
+
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return surrogate_documents(docs, key="op1").select("doc_id", "text", "entities", F.size("entities").alias("n_entities"))
+
+
 def op2_pack_power_of_two(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -84,6 +91,6 @@ def op10_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_pack_power_of_two, op3_toxicity, op4_media_containers, op5_nearest, op6_mix_sources, op7_ngram_jaccard, op8_line_dedup, op9_warc, op10_pseudo_likelihood)
+    for f in (op1_surrogates, op2_pack_power_of_two, op3_toxicity, op4_media_containers, op5_nearest, op6_mix_sources, op7_ngram_jaccard, op8_line_dedup, op9_warc, op10_pseudo_likelihood)
 }
 ORACLE_SQL: dict[str, str] = {}
