@@ -132,7 +132,7 @@ def function_word_fit(lowers: Column) -> Column:
     n = F.size(lowers)
     close = F.lit(0.0)
     for word, share in lexicon.EXPECTED_SHARE.items():
-        seen = F.size(F.filter(lowers, lambda w, word=word: w == word)) / n
+        seen = (n - F.size(F.array_remove(lowers, word))) / n
         close = close + 1 - F.least(F.lit(1.0), F.abs(seen - share) / (share + 1e-6))
     missing = sum((~F.array_contains(lowers, w)).cast("int") for w in lexicon.RARE_FUNCTION_WORDS)
     fit = M.clamp(0.75 * close / len(lexicon.EXPECTED_SHARE) + 0.25 * missing / len(lexicon.RARE_FUNCTION_WORDS))
@@ -225,12 +225,15 @@ def context_consistency(d: DataFrame) -> DataFrame:
 
 def _window_hits(green_col: str, window: int, stride: int) -> Column:
     """Structs of start, m (words) and hits for each window; a window's first word has no predecessor in it."""
-    return F.transform(
-        T.window_starts(F.col("n"), window, stride),
-        lambda s: F.struct(
-            s.alias("start"),
-            F.least(F.lit(window), F.col("n") - s).alias("m"),
-            F.aggregate(F.slice(green_col, s + 1, F.greatest(F.lit(0), F.least(F.lit(window), F.col("n") - s) - 1)), F.lit(0), lambda a, x: a + x).alias("hits"),
+    size = lambda s: F.least(F.lit(window), F.col("n") - s)
+    add = lambda a, x: a + x
+    return T.let(
+        F.col(green_col),
+        lambda g: F.transform(
+            T.window_starts(F.col("n"), window, stride),
+            lambda s: F.struct(
+                s.alias("start"), size(s).alias("m"), F.aggregate(F.slice(g, s + 1, F.greatest(F.lit(0), size(s) - 1)), F.lit(0), add).alias("hits")
+            ),
         ),
     )
 

@@ -58,6 +58,11 @@ def paragraphs(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, rf"\n[{SPACE}]*\n"), strip), lambda s: s != "")
 
 
+def let(value: Column, f) -> Column:
+    """f(value), with value evaluated once, however often f uses it and in whatever lambda."""
+    return F.transform(F.array(value), f)[0]
+
+
 def ngrams(items: Column, n: int) -> Column:
     """Contiguous runs of n items, joined by U+001F."""
     rest = [F.slice(items, k + 1, F.greatest(F.size(items) - n + 1, F.lit(0))) for k in range(n)]
@@ -70,8 +75,15 @@ def ngrams(items: Column, n: int) -> Column:
 def char_ngrams(c: Column, n: int = 3) -> Column:
     """Runs of n characters of the lower-cased text with single blanks; a shorter text is its own run."""
     flat = F.regexp_replace(F.lower(c), rf"[{SPACE}]+", " ")
-    runs = F.transform(F.sequence(F.lit(1), F.length(flat) - n + 1), lambda i: F.substr(flat, i, F.lit(n)))
-    return F.when(F.length(flat) >= n, runs).when(F.length(flat) > 0, F.array(flat)).otherwise(F.array().cast("array<string>"))
+
+    def runs(chars: Column) -> Column:
+        rest = [F.slice(chars, k + 1, F.greatest(F.size(chars) - n + 1, F.lit(0))) for k in range(n)]
+        out = rest[0]
+        for r in rest[1:]:
+            out = F.zip_with(out, r, lambda a, b: F.concat(a, b))
+        return F.when(F.size(chars) >= n, out).when(F.size(chars) > 0, F.array(F.array_join(chars, ""))).otherwise(F.array().cast("array<string>"))
+
+    return let(F.filter(F.split(flat, ""), lambda x: x != ""), runs)
 
 
 def window_starts(n: Column, window: int, stride: int) -> Column:

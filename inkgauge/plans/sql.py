@@ -79,6 +79,9 @@ flesch AS (SELECT n.doc_id, CASE WHEN n > 0 AND k > 0 THEN 206.835 - 1.015 * n /
 
 
 RANKS = f"ranks AS (SELECT tok AS word, row_number() OVER (ORDER BY c DESC, tok) AS rank FROM (SELECT tok, count(*) AS c FROM t GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT {L.RANKED_WORDS}))"
+#: The ranks of the words of documents, whatever docs is.
+CORPUS_RANKS = f"""ranks AS (SELECT tok AS word, row_number() OVER (ORDER BY c DESC, tok) AS rank FROM (SELECT tok, count(*) AS c FROM (
+  SELECT unnest({lower_words(strip(f'({INJECTED})'))}) AS tok FROM documents) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT {L.RANKED_WORDS}))"""
 NEXT = "p AS MATERIALIZED (SELECT doc_id, pos, lag(tok) OVER w AS prev, tok, lead(tok) OVER w AS nxt, lead(tok, 2) OVER w AS nxt2 FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY pos))"
 PERPLEXITY = """ppl AS (SELECT n.doc_id, CASE WHEN n = 0 THEN 0 ELSE least(exp(least(m, 20)), 1e6) END AS perplexity FROM n LEFT JOIN (
   SELECT doc_id, avg(CASE WHEN rank IS NULL THEN ln(50000 * ln(50000)) ELSE ln((rank + 2) * ln(50001)) END) AS m
@@ -141,7 +144,7 @@ stylometric AS (SELECT doc_id, n, CASE WHEN n < 12 THEN 0 ELSE {clamp('mix')} EN
   CASE WHEN n < 12 THEN 0 ELSE {clamp('0.40 + 0.40 * log10(greatest(n, 10)::DOUBLE) / 3.0')} END AS stylometric_confidence FROM sty)"""
 STYLOMETRIC_PARTS = [NEXT, FIT, STARTS, ADJACENT, BIGRAMS, STYLE, STYLOMETRIC]
 SCAN = f"""zs AS (SELECT doc_id, seed, i, hits, hits / k AS rate, (hits / k - 0.5) / sqrt(0.25 / k) AS z FROM (
-  SELECT n.doc_id, seed, i, coalesce(hits, 0) AS hits, greatest(1, n - 1)::DOUBLE AS k FROM (
+  SELECT n.doc_id, n.seed, i, coalesce(hits, 0) AS hits, greatest(1, n - 1)::DOUBLE AS k FROM (
     SELECT n.doc_id, n, seed, i FROM n, (VALUES {', '.join(f'({s}, {i})' for i, s in enumerate(L.GREEN_SEEDS))}) s(seed, i)) n LEFT JOIN (
     {' UNION ALL '.join(f'SELECT doc_id, {s} AS seed, sum({green(s)}) AS hits FROM p WHERE prev IS NOT NULL GROUP BY 1' for s in L.GREEN_SEEDS)}) h ON h.doc_id = n.doc_id AND h.seed = n.seed)),
 scan AS (SELECT doc_id, max(z) AS max_z, avg(abs(z)) AS mean_abs_z, stddev_samp(z) AS z_std, avg(rate) AS mean_rate, max(rate) AS max_rate, arg_max(seed, hits * 100 - i) AS best_seed FROM zs GROUP BY 1)"""
@@ -217,8 +220,8 @@ PAIRS = "SELECT doc_id AS pair_id, text AS original, CASE WHEN doc_id % 3 = 0 TH
 
 
 def _grams(x: str) -> str:
-    flat = f"regexp_replace(lower({x}), '[{SP}]+', ' ', 'g')"
-    return f"CASE WHEN length({flat}) >= 3 THEN list_transform(range(1, length({flat}) - 1), lambda i: substr({flat}, i, 3)) WHEN length({flat}) > 0 THEN [{flat}] ELSE [] END"
+    chars = f"list_filter(string_split(regexp_replace(lower({x}), '[{SP}]+', ' ', 'g'), ''), lambda c: c <> '')"
+    return f"list_transform([{chars}], lambda cs: CASE WHEN len(cs) >= 3 THEN list_transform(list_zip(cs[1:len(cs) - 2], cs[2:len(cs) - 1], cs[3:len(cs)]), lambda z: z[1] || z[2] || z[3]) WHEN len(cs) > 0 THEN [array_to_string(cs, '')] ELSE [] END)[1]"
 
 
 COMPARE = f"""WITH pr AS ({PAIRS}),
@@ -265,7 +268,7 @@ SELECT doc_id, len(ps)::BIGINT AS n_paragraphs, coalesce(list_max(list_transform
     "statistical_score": query(STATISTICAL_PARTS, f"SELECT doc_id, n, {R('statistical_score', 'statistical_confidence')} FROM stat"),
     "ensemble_score": query(ENSEMBLE_PARTS, f"SELECT doc_id, {R('ensemble_score', 'ensemble_confidence', 'agreement')}, family, label FROM lab"),
     "label_distribution": query(ENSEMBLE_PARTS, "SELECT lang, label, count(*)::BIGINT AS n FROM lab JOIN documents d USING (doc_id) GROUP BY ALL"),
-    "windowed_detect": query(CLASSICAL_PARTS, f"SELECT doc_id // 1000000 AS doc_id, doc_id % 1000000 AS win, n, {R('classical_score', 'classical_confidence')} FROM classical", WINDOWED).replace(RANKS, RANKS),
+    "windowed_detect": query([CORPUS_RANKS, *CLASSICAL_PARTS[1:]], f"SELECT doc_id // 1000000 AS doc_id, doc_id % 1000000 AS win, n, {R('classical_score', 'classical_confidence')} FROM classical", WINDOWED),
     "markdown_segments": SEGMENTS + f" SELECT doc_id, seg, kind, NOT ({_prose}) AS protected, text FROM sg",
     "prose_only_text": SEGMENTS + f" SELECT md.doc_id, coalesce(x.text, md.text) AS text FROM md LEFT JOIN (SELECT doc_id, string_agg(text, '' ORDER BY seg) AS text FROM sg WHERE {_prose} AND {strip('text')} <> '' GROUP BY 1) x USING (doc_id)",
     "edit_targets": query([RANKS], f""", h0 AS (SELECT doc_id, pos, tok, rank, CASE WHEN NOT regexp_matches(tok, '^\\p{{L}}+$') OR length(tok) < 4 THEN 0.05 WHEN rank IS NULL THEN 0.92 WHEN rank <= 80 THEN 0.08 WHEN rank <= 250 THEN 0.45 ELSE 0.78 END AS hint FROM t LEFT JOIN ranks ON tok = word),
