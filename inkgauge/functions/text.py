@@ -143,3 +143,16 @@ def syllables(word: Column) -> Column:
     letters = F.regexp_replace(F.lower(word), "[^a-z]", "")
     groups = F.regexp_count(F.regexp_replace(letters, "e$", ""), F.lit("[aeiouy]+"))
     return F.when(letters == "", 0).otherwise(F.greatest(F.lit(1), groups))
+
+
+def reconstruct(c: Column, edits: Column) -> Column:
+    """The text with edits (structs of start, end, new) applied from the last; invalid ones and those that overlap a later one are left out."""
+    falling = F.reverse(F.array_sort(F.transform(edits, lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), e["new"].alias("new")))))
+    first = F.struct(F.lit("").alias("out"), F.length(c).alias("at"))
+
+    def put(a: Column, e: Column) -> Column:
+        valid = (e["start"] >= 0) & (e["start"] <= e["end"]) & (e["end"] <= a["at"])
+        tail = F.concat(e["new"], F.substr(c, e["end"] + 1, a["at"] - e["end"]), a["out"])
+        return F.when(valid, F.struct(tail.alias("out"), e["start"].alias("at"))).otherwise(a)
+
+    return F.aggregate(falling, first, put, lambda a: F.concat(F.substr(c, F.lit(1), a["at"]), a["out"]))

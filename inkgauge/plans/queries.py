@@ -248,6 +248,19 @@ def prose_only_text(spark, sf_dir):
     return markdown.prose_only(_markdown(spark, sf_dir))
 
 
+@query
+def prose_detect(spark, sf_dir):
+    """The stylometric detector over documents' prose alone."""
+    return shown(D.stylometric(X.parsed(markdown.prose_only(_markdown(spark, sf_dir)))), "doc_id", "n", "stylometric_score", "stylometric_confidence")
+
+
+@query
+def reconstructed(spark, sf_dir):
+    """Three edits of each text, of which the second overlaps the third and the text may be too short for them."""
+    edits = F.expr("array(named_struct('start', 0, 'end', 1, 'new', '<'), named_struct('start', 5, 'end', 9, 'new', 'lost'), named_struct('start', 8, 'end', 10, 'new', '>'))")
+    return read(spark, sf_dir, "documents").select("doc_id", T.reconstruct(F.col("text"), edits).alias("text"))
+
+
 @query
 def edit_targets(spark, sf_dir):
     ranked = edits.priorities(words(spark, sf_dir), ranks(spark, sf_dir))

@@ -271,6 +271,8 @@ SELECT doc_id, len(ps)::BIGINT AS n_paragraphs, coalesce(list_max(list_transform
     "windowed_detect": query([CORPUS_RANKS, *CLASSICAL_PARTS[1:]], f"SELECT doc_id // 1000000 AS doc_id, doc_id % 1000000 AS win, n, {R('classical_score', 'classical_confidence')} FROM classical", WINDOWED),
     "markdown_segments": SEGMENTS + f" SELECT doc_id, seg, kind, NOT ({_prose}) AS protected, text FROM sg",
     "prose_only_text": SEGMENTS + f" SELECT md.doc_id, coalesce(x.text, md.text) AS text FROM md LEFT JOIN (SELECT doc_id, string_agg(text, '' ORDER BY seg) AS text FROM sg WHERE {_prose} AND {strip('text')} <> '' GROUP BY 1) x USING (doc_id)",
+    "prose_detect": query(STYLOMETRIC_PARTS, f"SELECT doc_id, n, {R('stylometric_score', 'stylometric_confidence')} FROM stylometric", SEGMENTS + f" SELECT md.doc_id, coalesce(x.text, md.text) AS text FROM md LEFT JOIN (SELECT doc_id, string_agg(text, '' ORDER BY seg) AS text FROM sg WHERE {_prose} AND {strip('text')} <> '' GROUP BY 1) x USING (doc_id)"),
+    "reconstructed": "SELECT doc_id, CASE WHEN length(text) >= 10 THEN '<' || substr(text, 2, 7) || '>' || substr(text, 11) WHEN length(text) >= 9 THEN '<' || substr(text, 2, 4) || 'lost' || substr(text, 10) WHEN length(text) >= 1 THEN '<' || substr(text, 2) ELSE text END AS text FROM documents",
     "edit_targets": query([RANKS], f""", h0 AS (SELECT doc_id, pos, tok, rank, CASE WHEN NOT regexp_matches(tok, '^\\p{{L}}+$') OR length(tok) < 4 THEN 0.05 WHEN rank IS NULL THEN 0.92 WHEN rank <= 80 THEN 0.08 WHEN rank <= 250 THEN 0.45 ELSE 0.78 END AS hint FROM t LEFT JOIN ranks ON tok = word),
 h1 AS (SELECT *, CASE WHEN lag(hint) OVER (PARTITION BY doc_id ORDER BY pos) > 0.6 THEN least(1.0, hint + 0.08) ELSE hint END AS prior FROM h0),
 h2 AS (SELECT *, round(prior * CASE WHEN tok IN {words_in(L.FUNCTION_WORDS)} THEN 0.15 WHEN rank <= 80 THEN 0.35 WHEN length(tok) < 4 THEN 0.25 ELSE 1 END, 6) AS priority, count(*) OVER (PARTITION BY doc_id) AS k FROM h1),

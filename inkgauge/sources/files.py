@@ -12,10 +12,9 @@ MOST_BYTES = 50 * 1024 * 1024
 
 def read_texts(spark: SparkSession, *paths: str, suffixes: tuple[str, ...] | None = SUFFIXES) -> DataFrame:
     """path, text of whole files; directories are read with what lies below them, by suffix."""
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-    if suffixes:
-        reader = reader.option("pathGlobFilter", "*.{" + ",".join(suffixes) + "}")
-    return reader.text(list(paths)).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    glob = "*.{" + ",".join(suffixes) + "}" if suffixes else None
+    rows = spark.read.text(list(paths), wholetext=True, pathGlobFilter=glob, recursiveFileLookup=True)
+    return rows.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def read_bytes(spark: SparkSession, *paths: str, most: int = MOST_BYTES) -> DataFrame:

@@ -129,3 +129,19 @@ def test_files_and_config(spark, tmp_path):
     with pytest.raises(ConfigError):
         load(tmp_path / "c.toml")
     assert load().detect.window_tokens == 256
+
+
+def test_evaluation_report_and_cli(spark, tmp_path, capsys):
+    from inkgauge import cli
+    from inkgauge.operators import evaluate
+
+    d = spark.createDataFrame([(1, "# h\n" + ESSAY), (2, "```\ncode\n```\n"), (3, None)], "doc_id long, text string")
+    got = evaluate.detect_documents(d, {})
+    assert got.count() == 3 and "| docs |" in evaluate.report(got, "label").replace("label | docs", "docs")
+    pair = spark.createDataFrame([(1, ESSAY, NOTE)], "pair_id long, original string, rewritten string")
+    row = evaluate.evaluate(pair, {}).first()
+    assert row["delta"] == pytest.approx(row["after"] - row["before"]) and not row["passed"]
+    (tmp_path / "a.txt").write_text(ESSAY)
+    assert cli.main(["detect", str(tmp_path), "--json"]) == 0 and "ensemble_score" in capsys.readouterr().out
+    assert cli.main(["version"]) == 0
+    assert cli.main(["--config", str(tmp_path / "none.toml"), "version"]) == 2
