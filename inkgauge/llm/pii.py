@@ -64,6 +64,10 @@ PERSON = re.compile(
     r"(?<!\w)(?P<title>" + "|".join(TITLES) + r")\.? (?P<one>[^\W\d_]+)(?: (?P<two>[^\W\d_]+))?(?!\w)"
     r"|(?<!\w)(?P<given>" + "|".join(GIVEN) + r") (?P<last>[^\W\d_]+)(?!\w)"
 )
+#: What a name or title of a capital begins with; titles without one are looked for by themselves.
+CAPITAL = re.compile(r"[A-ZÀ-ÖØ-ÞЀ-Я][^\W\d_]*")
+SMALL_TITLES = tuple(t for t in TITLES if t[0].islower())
+DIGIT, NAMED = re.compile(r"\d"), frozenset(TITLES) | frozenset(GIVEN)
 CARD_FIRST = re.compile(r"4|5[1-5]|2[2-7]|3[47]|6(?:011|5)")
 
 
@@ -133,34 +137,59 @@ def _find_emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", at + 1)
 
 
-def detect(text: str) -> list[tuple[int, int, str, str]]:
-    """start, end, type and normal form of each entity, in order and without overlap."""
-    found: list[tuple[int, int, int, str, str]] = []
+def _find_persons(text: str) -> Iterator[re.Match]:
+    """PERSON's matches, tried only where a listed word stands."""
+    if any(t in text for t in SMALL_TITLES):
+        yield from PERSON.finditer(text)
+        return
+    end = 0
+    for m in CAPITAL.finditer(text):
+        if m[0] in NAMED and m.start() >= end and (found := PERSON.match(text, m.start())):
+            end = found.end()
+            yield found
 
-    def add(rank: int, start: int, end: int, kind: str, norm: str) -> None:
-        found.append((start, rank, end, kind, norm))
 
-    for m in SECRET.finditer(text):
-        if any(c.isdigit() for c in m[1]):
-            add(0, *m.span(1), "secret", m[1])
-    for m in AWS.finditer(text):
-        add(1, *m.span(), "access_key", m[0])
-    if "@" in text:
-        for a, b in _find_emails(text):
-            add(2, a, b, "email", text[a:b].lower())
-    for m in IP.finditer(text):
-        add(3, *m.span(), "ip", m[0])
+def _numbers(text: str, add: Callable[[int, int, int, str, str], None]) -> None:
+    if text.count(".") > 2:
+        for m in IP.finditer(text):
+            add(3, *m.span(), "ip", m[0])
     for m in CARD.finditer(text):
         digits = re.sub(r"\D", "", m[0])
         if 13 <= len(digits) <= 19 and CARD_FIRST.match(digits) and luhn(digits) % 10 == 0:
             add(4, *m.span(), "card", digits)
+    if "-" not in text and "+" not in text and "." not in text:
+        return
     for m in PHONE.finditer(text):
         digits = re.sub(r"\D", "", m[0])
         # Ten digits without a country code are the same number as those after +1.
         add(5, *m.span(), "phone", digits[1:] if m[0][0] == "+" and len(digits) == 11 and digits[0] == "1" else digits)
-    for m in SSN.finditer(text):
-        add(6, *m.span(), "ssn", m[0].replace("-", ""))
-    for m in PERSON.finditer(text):
+    if "-" in text:
+        for m in SSN.finditer(text):
+            add(6, *m.span(), "ssn", m[0].replace("-", ""))
+
+
+def detect(text: str) -> list[tuple[int, int, str, str]]:
+    """start, end, type and normal form of each entity, in order and without overlap."""
+    found: list[tuple[int, int, int, str, str]] = []
+
+    def add(rank: int, start: int, end: int, kind: str, norm: str) -> None:
+        found.append((start, rank, end, kind, norm))
+
+    # Each pattern needs something that a plain search finds faster, and most texts lack.
+    numbers = DIGIT.search(text) is not None
+    if numbers and ("=" in text or ":" in text):
+        for m in SECRET.finditer(text):
+            if any(c.isdigit() for c in m[1]):
+                add(0, *m.span(1), "secret", m[1])
+    if "AKIA" in text or "ASIA" in text:
+        for m in AWS.finditer(text):
+            add(1, *m.span(), "access_key", m[0])
+    if "@" in text:
+        for a, b in _find_emails(text):
+            add(2, a, b, "email", text[a:b].lower())
+    if numbers:
+        _numbers(text, add)
+    for m in _find_persons(text):
         if m["given"]:
             if m["last"][0].isupper():
                 add(7, *m.span("given"), "given", f"{'/'.join(GIVEN[m['given']])}/{m['given']}")
