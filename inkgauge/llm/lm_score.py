@@ -2,8 +2,10 @@
 
 Tokens are words, lower-cased and split at white space. The network sees the classes of `SIDE` words before and behind
 a masked one: embeddings, one hidden layer, and a softmax over the most frequent words of the corpus and one class for
-all others. A word of that class is also spelt, by the corpus's byte pairs. A document's score is the sum of the log
-probabilities of its words, each given both sides.
+all others. A word of that class is also spelt, byte by byte, from the same hidden layer: each byte's probability is the
+corpus's for the byte before it, tilted by what both sides say and normalised again. So the vocabulary is open, and any
+word is predicted from both sides, though a neighbour without a class of its own is seen as other only. A document's
+score is the sum of the log probabilities of its words, each given both sides.
 
 What is learnt covers all documents: word counts and byte pairs of every text, and two rounds in which each partition
 trains on a random eighth of its positions, masked one at a time, starting from what all partitions arrived at in the
@@ -18,7 +20,9 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -61,7 +65,7 @@ def _counts(docs: DataFrame) -> DataFrame:
             for t in batch.column(0):
                 for part in slices(t.as_py().lower()):
                     seen.update(part.split())
-                    b = np.frombuffer(part.encode(), np.uint8).astype(np.uint16)
+                    b = np.frombuffer(f" {part} ".encode(), np.uint8).astype(np.uint16)
                     pairs += np.bincount((b[:-1] << 8) | b[1:], minlength=1 << 16)
                 if len(seen) > 2 * TABLE_WORDS:
                     yield made(list(seen.items()), [None] * len(seen))
@@ -96,8 +100,8 @@ def _collected(rows: DataFrame) -> tuple[float, np.ndarray | None]:
     return sum(w for _, w in found), np.sum([np.frombuffer(x) for x, _ in found], axis=0)
 
 
-def vocabulary(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    """The most frequent words of all documents, and log probabilities of a byte behind another."""
+def vocabulary(docs: DataFrame) -> tuple[list[str], Spelling]:
+    """The most frequent words of all documents, and their spelling."""
     from ._shared import written
 
     counts = written(_counts(docs), "words")
@@ -106,43 +110,70 @@ def vocabulary(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     )
     pairs = counts.where("word is null").select(F.monotonically_increasing_id().alias("pid"), F.lit(1.0).alias("w"), "pairs")
     _, total = _collected(_summed(pairs, "pairs", "<i8"))
-    table = (np.zeros(1 << 16) if total is None else total).reshape(256, 256)
-    table = (table + 0.01) / (table + 0.01).sum(1, keepdims=True)
-    return [r["word"] for r in top], np.log(table)
+    return [r["word"] for r in top], Spelling((np.zeros(1 << 16) if total is None else total).reshape(256, 256))
 
 
-class _Classes(dict):
-    """word -> class, OTHER for those without one."""
+class Spelling:
+    """Words as byte pairs; symbols are the bytes that the corpus's words hold, and the blank around each word."""
 
-    def __missing__(self, word: str) -> int:
-        return OTHER
+    def __init__(self, counts: np.ndarray):
+        seen = counts.sum(0) + counts.sum(1) > 0
+        seen[[*range(0x09, 0x0E), *range(0x1C, 0x20)]] = False  # words are split there
+        seen[0x20] = True
+        self.symbol = np.where(seen, np.cumsum(seen) - 1, 0).astype(np.uint8)
+        self.size = int(seen.sum())
+        table = counts[np.ix_(seen, seen)] + 0.01
+        table = table / table.sum(1, keepdims=True)
+        self.log, self.table = np.log(table), table.astype(np.float32)
+
+
+@dataclass
+class Spelt:
+    """The symbols of words one behind another, a blank before each, and where each word's begin and how many pairs it has."""
+
+    symbols: np.ndarray
+    starts: np.ndarray
+    lengths: np.ndarray
+
+    def pairs(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each byte pair of these words: its word's place among them, and its two symbols."""
+        n = self.lengths[words]
+        at = np.repeat(self.starts[words] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        return np.repeat(np.arange(len(n)), n), *(self.symbols.take(x).astype(np.int64) for x in (at, at + 1))
+
+    @staticmethod
+    def joined(parts: list[Spelt]) -> Spelt:
+        shift = np.cumsum([0, *(len(p.symbols) for p in parts[:-1])])
+        return Spelt(
+            np.concatenate([p.symbols for p in parts]), np.concatenate([p.starts + k for p, k in zip(parts, shift, strict=True)]),
+            np.concatenate([p.lengths for p in parts]),
+        )
 
 
 class Words:
-    """Words to classes, and the log probability of spelling those without one of their own."""
+    """Words to classes, and the spelling of those without one of their own."""
 
-    def __init__(self, words: list[str], spelling: np.ndarray):
+    def __init__(self, words: list[str], spelling: Spelling):
         self.spelling = spelling
-        self.classes = _Classes({w: i + 1 for i, w in enumerate(words)})
-        self.known = np.array([0.0, *map(self._spelt, words)])
-
-    def _spelt(self, text: str) -> float:
-        b = np.frombuffer(f" {text} ".encode(), np.uint8)
-        return float(self.spelling[b[:-1], b[1:]].sum())
+        self.classes = {w: i + 1 for i, w in enumerate(words)}
 
-    def __call__(self, text: str, spell: bool = False) -> tuple[np.ndarray, float]:
-        """Classes of the text's words, and the sum of what spelling adds: that of all words less that of known ones."""
-        ids, spelt = [], 0.0
+    def __call__(self, text: str) -> tuple[np.ndarray, Spelt]:
+        """Classes of the text's words, and how its words of class OTHER are spelt."""
+        ids, raw = [], []
         for part in slices(text.lower()):
             words = part.split()
             if words:
-                ids.append(np.fromiter(map(self.classes.__getitem__, words), np.int32, len(words)))
-                if spell:
-                    spelt += self._spelt(" ".join(words)) - float(self.known[ids[-1]].sum())
-        return np.concatenate(ids) if ids else np.zeros(0, np.int32), spelt
+                found = [*map(self.classes.get, words, repeat(OTHER))]
+                ids.append(np.array(found, np.int32))
+                raw += [b" ", " ".join([w for w, c in zip(words, found, strict=True) if not c]).encode()] if OTHER in found else []
+        b = np.frombuffer(b"".join([*raw, b" "]), np.uint8)
+        edges = np.flatnonzero(b == 0x20)
+        return np.concatenate(ids) if ids else np.zeros(0, np.int32), Spelt(self.spelling.symbol[b], edges[:-1], np.diff(edges))
 
 
 SHAPES = ((CLASSES + 1, WIDTH), (2 * SIDE * WIDTH, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,))
+#: Parameters of these shapes; behind them come those of spelling, for each symbol one from each hidden unit.
+SIZE = sum(int(np.prod(s)) for s in SHAPES)
 
 
 def unpacked(flat: np.ndarray) -> list[np.ndarray]:
@@ -154,10 +185,10 @@ def unpacked(flat: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def start(seed: int) -> np.ndarray:
+def start(seed: int, symbols: int = 0) -> np.ndarray:
     rng = np.random.default_rng(seed)
     parts = [rng.standard_normal(s) * (0.3 if i == 0 else 1 / np.sqrt(s[0])) if len(s) > 1 else np.zeros(s) for i, s in enumerate(SHAPES)]
-    return np.concatenate([p.reshape(-1) for p in parts]).astype(np.float32)
+    return np.concatenate([*(p.reshape(-1) for p in parts), np.zeros(HIDDEN * symbols)]).astype(np.float32)
 
 
 def contexts(ids: np.ndarray) -> np.ndarray:
@@ -166,30 +197,62 @@ def contexts(ids: np.ndarray) -> np.ndarray:
     return np.stack([padded[k : k + len(ids)] for k in range(2 * SIDE + 1) if k != SIDE], 1)
 
 
+def _bounded(z: np.ndarray, w: np.ndarray, b: float | np.ndarray = 0.0, most: float = 60) -> np.ndarray:
+    """z = h w + b, where h is within 1, clipped in place if it may leave the range of its exponential."""
+    return np.clip(z, -most, most, out=z) if float((np.abs(w).sum(0) + np.abs(b)).max()) > most else z
+
+
 class Network:
-    def __init__(self, flat: np.ndarray):
+    def __init__(self, flat: np.ndarray, spelling: Spelling | None = None):
         self.flat = flat.astype(np.float32).copy()
-        self.parts = unpacked(self.flat)
+        self.parts, self.spelling = unpacked(self.flat), spelling
         self.m, self.v, self.t = np.zeros_like(self.flat), np.zeros_like(self.flat), 0
         self.grads = np.zeros_like(self.flat)
 
-    def step(self, ctx: np.ndarray, y: np.ndarray) -> None:
-        """One step of Adam on masked words y between ctx."""
+    def spelt(self, h: np.ndarray, pairs: tuple[np.ndarray, ...], grad: np.ndarray | None = None) -> float | np.ndarray:
+        """The log probability of spelling words by their byte pairs, given their hidden layers; with grad, which gets
+        the gradient of its negative by the parameters, instead that by h.
+
+        A byte b behind a has the probability table[a, b] e[b] / z[a], where e depends on the word's sides and z is the
+        sum of table[a] e: so a word needs one product with the table, however long it is.
+        """
+        (row, first, second), k, s = pairs, self.spelling.size, self.spelling
+        u = self.flat[SIZE:].reshape(HIDDEN, k)
+        a = _bounded(h @ u, u, most=30)
+        e = np.exp(a)
+        at, to = row * k + first, row * k + second
+        z = (e @ s.table.T).ravel().take(at)
+        if grad is None:
+            return float(s.log.take(first * k + second).sum() + a.ravel().take(to).sum(dtype=np.float64) - np.log(z).sum(dtype=np.float64))
+        seen = np.bincount(at, 1 / z, len(h) * k).astype(np.float32).reshape(-1, k)
+        e *= seen @ s.table
+        e -= np.bincount(to, minlength=len(h) * k).reshape(-1, k)
+        grad.reshape(HIDDEN, k)[:] = h.T @ e
+        return e @ u.T
+
+    def step(self, ctx: np.ndarray, y: np.ndarray, pairs: tuple[np.ndarray, ...] | None = None) -> None:
+        """One step of Adam on masked words y between ctx; pairs: the byte pairs of those of class OTHER."""
         e, w1, b1, w2, b2 = self.parts
         ge, g1, gb1, g2, gb2 = unpacked(self.grads)
         n = len(y)
         x = e[ctx].reshape(n, -1)
         h = np.tanh(x @ w1 + b1)
-        p = np.exp(np.clip(h @ w2 + b2, -60, 60))
-        p /= p.sum(1, keepdims=True)
-        p[np.arange(n), y] -= 1
-        p /= n
+        p = h @ w2
+        p += b2
+        np.exp(_bounded(p, w2, b2), out=p)
+        p *= 1 / (n * p.sum(1, keepdims=True))
+        p[np.arange(n), y] -= np.float32(1 / n)
         g2[:], gb2[:] = h.T @ p, p.sum(0)
-        dh = (p @ w2.T) * (1 - h * h)
+        dh = p @ w2.T
+        if pairs is not None:
+            others, grad = np.flatnonzero(y == OTHER), self.grads[SIZE:]
+            dh[others] += self.spelt(h[others], pairs, grad) / np.float32(n)
+            grad /= n
+        dh *= 1 - h * h
         g1[:], gb1[:] = x.T @ dh, dh.sum(0)
         dx, ge[:] = (dh @ w1.T).reshape(-1, WIDTH), 0
         flat = ctx.reshape(-1)
-        order = np.argsort(flat, kind="stable")
+        order = np.argsort(flat.astype(np.int16), kind="stable")
         at = np.flatnonzero(np.diff(flat[order], prepend=-1))
         ge[flat[order][at]] = np.add.reduceat(dx[order], at, axis=0)
         self.t += 1
@@ -198,17 +261,20 @@ class Network:
         rate = RATE * np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t)
         self.flat -= (rate * self.m / (np.sqrt(self.v) + 1e-8)).astype(np.float32)
 
-    def log_probability(self, ids: np.ndarray) -> float:
+    def log_probability(self, ids: np.ndarray, spelt: Spelt | None = None) -> float:
         """The sum over all words of a document, each given both sides."""
         e, w1, b1, w2, b2 = self.parts
         sides = [e @ w1[k * WIDTH : (k + 1) * WIDTH] for k in range(2 * SIDE)]
-        total, ctx = 0.0, contexts(ids)
+        total, ctx, done = 0.0, contexts(ids), 0
         small = float((np.abs(w2).sum(0) + np.abs(b2)).max()) < 80  # then no exponential leaves its range
         for at in range(0, len(ids), POSITIONS):
             c, y = ctx[at : at + POSITIONS], ids[at : at + POSITIONS]
             h = sum(s[c[:, k]] for k, s in enumerate(sides))
             h += b1
             np.tanh(h, out=h)
+            if spelt is not None and len(others := np.flatnonzero(y == OTHER)):
+                total += self.spelt(h[others], spelt.pairs(np.arange(done, done + len(others))))
+                done += len(others)
             z = h @ w2
             z += b2
             if not small:
@@ -219,34 +285,51 @@ class Network:
         return float(total)
 
 
-def _round(docs: DataFrame, words: list[str], spelling: np.ndarray, flat: np.ndarray, seed: int) -> np.ndarray:
+def train(texts: Iterator[str], to_classes: Words, net: Network, seed: int) -> int:
+    """Trains net on the texts' masked words; the number of words it was trained on."""
+    rng, seen = np.random.default_rng(seed), 0
+    held: list[tuple[np.ndarray, np.ndarray, Spelt]] = []
+    have = 0
+
+    def steps() -> None:
+        c, y = (np.concatenate([h[k] for h in held]) for k in range(2))
+        spelt = Spelt.joined([h[2] for h in held])
+        place = np.cumsum(y == OTHER) - 1  # of words of class OTHER among themselves
+        mixed = rng.permutation(len(y))
+        for s in range(0, len(y), BATCH):
+            part = mixed[s : s + BATCH]
+            net.step(c[part], y[part], spelt.pairs(place[part][y[part] == OTHER]))
+
+    for text in texts:
+        ids, spelt = to_classes(text)
+        at = np.flatnonzero(rng.random(len(ids)) < SHARE)
+        if not len(at):
+            continue
+        others = (np.cumsum(ids == OTHER) - 1)[at][ids[at] == OTHER]
+        held.append((contexts(ids)[at], ids[at], Spelt(spelt.symbols, spelt.starts[others], spelt.lengths[others])))
+        have += len(at)
+        if have >= 32 * BATCH:
+            steps()
+            seen, held, have = seen + have, [], 0
+    if have:
+        steps()
+    return seen + have
+
+
+def _round(docs: DataFrame, words: list[str], spelling: Spelling, flat: np.ndarray, seed: int) -> np.ndarray:
     """The parameters that all partitions arrive at from flat, averaged by the positions they trained on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        to_classes, net, seen = Words(words, spelling), Network(flat), 0
-        rng = np.random.default_rng(seed)
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        have, pid = 0, 0
-        for batch in batches:
-            for t, doc in zip(batch.column("text"), batch.column("pid"), strict=True):
-                pid = doc.as_py()
-                ids, _ = to_classes(t.as_py())
-                at = np.flatnonzero(rng.random(len(ids)) < SHARE)
-                if not len(at):
-                    continue
-                held.append((contexts(ids)[at], ids[at]))
-                have += len(at)
-                if have >= 32 * BATCH:
-                    c, y = (np.concatenate(x) for x in zip(*held, strict=True))
-                    mixed = rng.permutation(len(y))
-                    for s in range(0, len(y), BATCH):
-                        net.step(c[mixed[s : s + BATCH]], y[mixed[s : s + BATCH]])
-                    seen, held, have = seen + have, [], 0
-        if have:
-            c, y = (np.concatenate(x) for x in zip(*held, strict=True))
-            for s in range(0, len(y), BATCH):
-                net.step(c[s : s + BATCH], y[s : s + BATCH])
-            seen += have
+        to_classes, net, pid = Words(words, spelling), Network(flat, spelling), 0
+
+        def texts() -> Iterator[str]:
+            nonlocal pid
+            for batch in batches:
+                for t, doc in zip(batch.column("text"), batch.column("pid"), strict=True):
+                    pid = doc.as_py()
+                    yield t.as_py()
+
+        seen = train(texts(), to_classes, net, seed)
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([pid], pa.int32()), pa.array([float(seen)]), pa.array([net.flat.tobytes()], pa.binary())], names=["pid", "w", "p"])
 
@@ -262,22 +345,22 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """doc_id, n_tokens, log_likelihood (summed), mean_log_likelihood (a token)."""
     texts = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     words, spelling = vocabulary(texts)
-    flat = start(seed)
+    flat = start(seed, spelling.size)
     for r in range(ROUNDS):
         flat = _round(texts, words, spelling, flat, seed + r)
-    name = hashlib.sha256(flat.tobytes() + "\n".join(words).encode() + spelling.tobytes()).hexdigest()
+    name = hashlib.sha256(flat.tobytes() + "\n".join(words).encode() + spelling.symbol.tobytes() + spelling.table.tobytes()).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if name not in _ready:
             _ready.clear()
-            _ready[name] = Words(words, spelling), Network(flat)
+            _ready[name] = Words(words, spelling), Network(flat, spelling)
         to_classes, net = _ready[name]
         for batch in batches:
             counts, sums = [], []
             for t in batch.column("text"):
-                ids, spelt = to_classes(t.as_py(), spell=True)
+                ids, spelt = to_classes(t.as_py())
                 counts.append(len(ids))
-                sums.append(net.log_probability(ids) + spelt)
+                sums.append(net.log_probability(ids, spelt))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(sums, pa.float64())], names=["doc_id", "n_tokens", "log_likelihood"])
 
     kind = dict(texts.dtypes)["doc_id"]

@@ -402,6 +402,47 @@ def test_network_gradients_and_learning():
     assert net.log_probability(ids) > before / 4
 
 
+def spelling_of(texts):
+    counts = np.zeros((256, 256))
+    for t in texts:
+        b = f" {t} ".encode()
+        np.add.at(counts, (list(b[:-1]), list(b[1:])), 1)
+    return lm_score.Spelling(counts)
+
+
+def test_rare_words_are_predicted_from_both_sides():
+    """Words without a class: their probabilities are those of a distribution, which moves with the context."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(x for _ in range(40) for x in (("one", f"aba{rng.integers(9)}b", "two") if rng.random() < 0.5 else ("six", f"cdc{rng.integers(9)}d", "ten"))) for _ in range(60)]
+    words = lm_score.Words(["one", "two", "six", "ten"], spelling_of(texts))
+    net = lm_score.Network(lm_score.start(1, words.spelling.size), words.spelling)
+    for seed in range(30):
+        lm_score.train(iter(texts), words, net, seed)
+    score = lambda t: net.log_probability(*words(t))
+    assert score("one aba7b two") - score("one cdc7d two") > 4 and score("six cdc7d ten") - score("six aba7b ten") > 4
+    h = rng.uniform(-1, 1, (2, lm_score.HIDDEN)).astype(np.float32)
+    k = words.spelling.size
+    first, second = (x.reshape(-1) for x in np.meshgrid(np.arange(k), np.arange(k), indexing="ij"))
+    for row in range(2):
+        p = [np.exp(net.spelt(h, (np.array([row]), np.array([a]), np.array([b])))) for a, b in zip(first, second, strict=True)]
+        assert np.allclose(np.reshape(p, (k, k)).sum(1), 1, atol=1e-4)
+
+
+def test_spelling_gradients():
+    rng = np.random.default_rng(4)
+    words = lm_score.Words(["a"], spelling_of(["a été bc bcd a"]))
+    flat = (lm_score.start(1, words.spelling.size) + rng.normal(0, 0.1, lm_score.SIZE + lm_score.HIDDEN * words.spelling.size)).astype(np.float32)
+    ids, spelt = words("bc a été a bcd")
+    pairs = spelt.pairs(np.arange(3))
+    net = lm_score.Network(flat, words.spelling)
+    loss = lambda f: -lm_score.Network(f, words.spelling).log_probability(ids, spelt) / len(ids)
+    net.step(lm_score.contexts(ids), ids, pairs)
+    for i in [*rng.integers(0, lm_score.SIZE, 20), *rng.integers(lm_score.SIZE, len(flat), 20)]:
+        d = np.zeros(len(flat), np.float32)
+        d[i] = 1e-2
+        assert (loss(flat + d) - loss(flat - d)) / 2e-2 == pytest.approx(net.grads[i], abs=2e-3)
+
+
 def test_scores_cover_all_rows(spark, docs):
     got = lm_score.score_documents(docs).collect()
     assert len(got) == len(ROWS)
