@@ -8,8 +8,8 @@ word is predicted from both sides, though a neighbour without a class of its own
 score is the sum of the log probabilities of its words, each given both sides.
 
 What is learnt covers all documents: word counts and byte pairs of every text, and two rounds in which each partition
-trains on a random eighth of its positions, masked one at a time, starting from what all partitions arrived at in the
-round before; their parameters are averaged by the positions they saw. Counts and parameters are summed on the
+trains on every second position of its documents, masked one at a time, the first round on those that the second leaves,
+so that every word is learnt once; each round starts from what all partitions arrived at in the one before; their parameters are averaged by the positions they saw. Counts and parameters are summed on the
 executors; the driver gets the vocabulary, the byte pairs and at most `REDUCERS` parameter sets.
 
 Defined results: null or empty text has no tokens, a score of 0 and a null mean; an empty table gives no rows; ties in
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from ._shared import text_of
 
 CLASSES, SIDE, WIDTH, HIDDEN = 256, 2, 12, 24
-ROUNDS, BATCH, SHARE, RATE = 2, 1024, 1 / 8, 0.01
+ROUNDS, BATCH, RATE = 2, 1024, 0.01
 REDUCERS, TABLE_WORDS, SLICE_CHARS, POSITIONS = 32, 300_000, 1 << 20, 1024
 #: Class 0 is for all other words; CLASSES stands for what lies outside the text.
 OTHER, OUTSIDE = 0, CLASSES
@@ -285,8 +285,8 @@ class Network:
         return float(total)
 
 
-def train(texts: Iterator[str], to_classes: Words, net: Network, seed: int) -> int:
-    """Trains net on the texts' masked words; the number of words it was trained on."""
+def train(texts: Iterator[str], to_classes: Words, net: Network, seed: int, turn: int) -> int:
+    """Trains net on each ROUNDS-th of the texts' words, masked, from turn on; the number of words it was trained on."""
     rng, seen = np.random.default_rng(seed), 0
     held: list[tuple[np.ndarray, np.ndarray, Spelt]] = []
     have = 0
@@ -302,7 +302,7 @@ def train(texts: Iterator[str], to_classes: Words, net: Network, seed: int) -> i
 
     for text in texts:
         ids, spelt = to_classes(text)
-        at = np.flatnonzero(rng.random(len(ids)) < SHARE)
+        at = np.arange(turn, len(ids), ROUNDS)
         if not len(at):
             continue
         others = (np.cumsum(ids == OTHER) - 1)[at][ids[at] == OTHER]
@@ -316,7 +316,7 @@ def train(texts: Iterator[str], to_classes: Words, net: Network, seed: int) -> i
     return seen + have
 
 
-def _round(docs: DataFrame, words: list[str], spelling: Spelling, flat: np.ndarray, seed: int) -> np.ndarray:
+def _round(docs: DataFrame, words: list[str], spelling: Spelling, flat: np.ndarray, seed: int, turn: int) -> np.ndarray:
     """The parameters that all partitions arrive at from flat, averaged by the positions they trained on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,7 +329,7 @@ def _round(docs: DataFrame, words: list[str], spelling: Spelling, flat: np.ndarr
                     pid = doc.as_py()
                     yield t.as_py()
 
-        seen = train(texts(), to_classes, net, seed)
+        seen = train(texts(), to_classes, net, seed, turn)
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([pid], pa.int32()), pa.array([float(seen)]), pa.array([net.flat.tobytes()], pa.binary())], names=["pid", "w", "p"])
 
@@ -347,7 +347,7 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     words, spelling = vocabulary(texts)
     flat = start(seed, spelling.size)
     for r in range(ROUNDS):
-        flat = _round(texts, words, spelling, flat, seed + r)
+        flat = _round(texts, words, spelling, flat, seed + r, r)
     name = hashlib.sha256(flat.tobytes() + "\n".join(words).encode() + spelling.symbol.tobytes() + spelling.table.tobytes()).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -416,8 +416,8 @@ def test_rare_words_are_predicted_from_both_sides():
     texts = [" ".join(x for _ in range(40) for x in (("one", f"aba{rng.integers(9)}b", "two") if rng.random() < 0.5 else ("six", f"cdc{rng.integers(9)}d", "ten"))) for _ in range(60)]
     words = lm_score.Words(["one", "two", "six", "ten"], spelling_of(texts))
     net = lm_score.Network(lm_score.start(1, words.spelling.size), words.spelling)
-    for seed in range(30):
-        lm_score.train(iter(texts), words, net, seed)
+    for seed in range(8):
+        lm_score.train(iter(texts), words, net, seed, seed % lm_score.ROUNDS)
     score = lambda t: net.log_probability(*words(t))
     assert score("one aba7b two") - score("one cdc7d two") > 4 and score("six cdc7d ten") - score("six aba7b ten") > 4
     h = rng.uniform(-1, 1, (2, lm_score.HIDDEN)).astype(np.float32)
@@ -428,6 +428,17 @@ def test_rare_words_are_predicted_from_both_sides():
         assert np.allclose(np.reshape(p, (k, k)).sum(1), 1, atol=1e-4)
 
 
+def test_rounds_train_on_every_word_once():
+    rng = np.random.default_rng(5)
+    texts = [*(" ".join(f"w{i}" for i in rng.integers(0, 50, n)) for n in (1, 2, 7, 40_000, 33)), ""]
+    words = lm_score.Words([f"w{i}" for i in range(40)], spelling_of(texts))
+    net, met = lm_score.Network(lm_score.start(1, words.spelling.size), words.spelling), []
+    net.step = lambda ctx, y, pairs: met.append(np.c_[ctx, y])
+    assert sum(lm_score.train(iter(texts), words, net, r, r) for r in range(lm_score.ROUNDS)) == sum(len(t.split()) for t in texts)
+    want = np.concatenate([np.c_[lm_score.contexts(ids), ids] for ids, _ in map(words, texts)])
+    assert sorted(map(tuple, np.concatenate(met))) == sorted(map(tuple, want))
+
+
 def test_spelling_gradients():
     rng = np.random.default_rng(4)
     words = lm_score.Words(["a"], spelling_of(["a été bc bcd a"]))
