@@ -6,7 +6,8 @@ saves against the ordinary one is compared with several thresholds; how many and
 each of them, calibrated by a logistic fit on the labelled rows, makes the score.
 
 Fitting takes at most `rows_a_class` labelled texts of each class (those first by a seeded hash, texts of at most
-`fit_chars` characters); this is the bound of the sample. The toxic dictionary is trained on the windows of toxic
+`fit_chars` characters); this is the bound of the sample. Both classes are counted over all learnable labels, and the
+sample's rows weigh as much as their class has labels for each, so the cut at 0.5 means the same at every size. The toxic dictionary is trained on the windows of toxic
 texts that hold a character 5-gram which is several times as frequent in toxic texts as in ordinary ones: trained on
 whole toxic texts it would mostly hold what both kinds share. Scoring runs over whole texts, row by row, in slices,
 and shuffles nothing.
@@ -128,18 +129,21 @@ def _trained(samples: list[str], size: int) -> bytes:
         return (b"".join(raw)[-size:]).rjust(8)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    mean, scale = x.mean(0), x.std(0) + 1e-9
+def _logistic(x: np.ndarray, y: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A fit in which each row weighs `of`, on average 1."""
+    mean = np.average(x, axis=0, weights=of)
+    scale = np.sqrt(np.average((x - mean) ** 2, axis=0, weights=of)) + 1e-9
     z, w = np.c_[np.ones(len(x)), (x - mean) / scale], np.zeros(x.shape[1] + 1)
     ridge = np.diag([1e-6] + [1e-4 * len(y) + 0.1] * x.shape[1])
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        w = w - np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge + 1e-9 * np.eye(len(w)), z.T @ (p - y) + ridge @ w)
+        w = w - np.linalg.solve((z * (of * p * (1 - p))[:, None]).T @ z + ridge + 1e-9 * np.eye(len(w)), z.T @ (of * (p - y)) + ridge @ w)
     return mean, scale, w
 
 
-def fit_texts(toxic: list[str], ordinary: list[str], *, ordinary_bytes: int = 48 << 10, toxic_bytes: int = 16 << 10) -> Model:
-    """A model of labelled texts. Both lists must hold something."""
+def fit_texts(toxic: list[str], ordinary: list[str], *, ordinary_bytes: int = 48 << 10, toxic_bytes: int = 16 << 10, rates: tuple[float, float] = (1.0, 1.0)) -> Model:
+    """A model of labelled texts. Both lists must hold something. rates: the shares of all ordinary and of all toxic
+    texts that the lists are."""
 
     def by_text(texts: list[str]) -> Counter:
         seen: Counter = Counter()
@@ -164,7 +168,8 @@ def fit_texts(toxic: list[str], ordinary: list[str], *, ordinary_bytes: int = 48
     features = featurizer(base)
     x = np.array([features(t) for t in (*toxic, *ordinary)])
     y = np.r_[np.ones(len(toxic)), np.zeros(len(ordinary))]
-    mean, scale, w = _logistic(x, y)
+    of = np.where(y == 1, 1 / rates[1], 1 / rates[0])
+    mean, scale, w = _logistic(x, y, of / of.mean())
     return Model(base.ordinary, base.toxic, tuple(mean), tuple(scale), tuple(w))
 
 
@@ -188,6 +193,7 @@ def fit(
     known = (
         labels.where(learnable(id_col) & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).alias("__y"))
     )
+    labelled = {r["__y"]: r["n"] for r in known.groupBy("__y").agg(F.count("*").alias("n")).collect()}
     order = F.xxhash64(F.lit(seed), "__id")
     sample = [known.where(F.col("__y") == y).orderBy(order, "__id").limit(rows_a_class) for y in (0, 1)]
     rows = (
@@ -202,7 +208,7 @@ def fit(
     toxic, ordinary = ([r["__t"] for r in rows if r["__y"] == y and r["__t"].strip()] for y in (1, 0))
     if not toxic or not ordinary:
         return float(bool(toxic))
-    return fit_texts(toxic, ordinary)
+    return fit_texts(toxic, ordinary, rates=tuple(min(1.0, rows_a_class / labelled[y]) for y in (0, 1)))
 
 
 _features: dict[str, Callable[[str], np.ndarray]] = {}

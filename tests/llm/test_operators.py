@@ -111,6 +111,25 @@ def test_toxicity_separates_held_out_rows(spark):
     assert np.mean([r["predicted"] == (r["doc_id"] % 3 == 0) for r in held]) > 0.95
 
 
+def test_toxicity_cut_does_not_move_with_the_sample(spark):
+    """A word that all toxic texts hold and twice as many ordinary ones: it makes no text toxic, however many rows are fitted."""
+    rng = np.random.default_rng(6)
+    rows, labels = [], []
+    for i in range(12_000):
+        w = ["".join(rng.choice(["tion", "er", "an", "in", "ea", "st"], rng.integers(1, 4))) for _ in range(12)]
+        toxic = i % 40 == 0
+        if toxic or i % 20 == 1:
+            w[3] = "blargus"
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(toxic)))
+    d, y = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    marked, scores = [t for _, t in rows if "blargus" in t], []
+    for most in (10_000, 1000):
+        one = toxicity.scorer(toxicity.fit(d, y, rows_a_class=most))
+        scores.append(float(np.mean([one(t) for t in marked[:100]])))
+    assert max(scores) < 0.5 and abs(scores[1] - scores[0]) < 0.15
+
+
 def test_toxicity_of_awkward_rows(spark, docs):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.fit(docs, none) == 0.0
