@@ -157,7 +157,7 @@ def _numbers(text: str, add: Callable[[int, int, int, str, str], None]) -> None:
         digits = re.sub(r"\D", "", m[0])
         if 13 <= len(digits) <= 19 and CARD_FIRST.match(digits) and luhn(digits) % 10 == 0:
             add(4, *m.span(), "card", digits)
-    if "-" not in text and "+" not in text and "." not in text:
+    if not any(c in text for c in "-+.("):
         return
     for m in PHONE.finditer(text):
         digits = re.sub(r"\D", "", m[0])
