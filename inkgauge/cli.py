@@ -1,9 +1,10 @@
-"""Command line: detect, eval, audit, config, version. `python -m inkgauge.cli detect DIR --json`"""
+"""Command line: detect, batch, eval, audit, doctor, config, version. `python -m inkgauge.cli detect DIR --json`"""
 
 from __future__ import annotations
 
 import argparse
 import dataclasses
+import importlib.util
 import json
 import sys
 
@@ -27,6 +28,16 @@ def _ranks(docs: DataFrame) -> dict[str, int]:
     return collected_ranks(word_ranks(docs.select(F.explode(T.lower_words(F.col("text"))).alias("tok"))))
 
 
+def _checks(spark: SparkSession) -> dict[str, str]:
+    """What the engine runs on, and what is missing of what it can use."""
+    found = {"inkgauge": __version__, "python": sys.version.split()[0], "spark": spark.version, "master": spark.sparkContext.master}
+    found["shared folder"] = spark.conf.get("spark.checkpoint.dir", None) or "spark.checkpoint.dir is not set"
+    for name in ("numpy", "pandas", "pyarrow", "xxhash", "yaml"):
+        spec = importlib.util.find_spec(name)
+        found[name] = importlib.import_module(name).__version__ if spec and hasattr(importlib.import_module(name), "__version__") else "there" if spec else "missing"
+    return found
+
+
 def main(args: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="inkgauge", description=__doc__)
     p.add_argument("--config")
@@ -38,6 +49,12 @@ def main(args: list[str] | None = None) -> int:
     v = verbs.add_parser("eval")
     v.add_argument("original")
     v.add_argument("rewritten")
+    v.add_argument("--report", action="store_true")
+    v = verbs.add_parser("batch")
+    v.add_argument("source")
+    v.add_argument("dest")
+    v.add_argument("--suffix", default=".score")
+    verbs.add_parser("doctor")
     verbs.add_parser("config")
     verbs.add_parser("version")
     o = p.parse_args(args)
@@ -53,6 +70,14 @@ def main(args: list[str] | None = None) -> int:
         print(json.dumps(dataclasses.asdict(settings), indent=2))
         return 0
     spark = SparkSession.builder.getOrCreate()
+    if o.verb == "doctor":
+        for name, found in _checks(spark).items():
+            print(f"{name}: {found}")
+        return 0
+    if o.verb == "batch":
+        good, bad = evaluate.detect_batch(spark, o.source, o.dest, settings=settings, suffix=o.suffix)
+        print(f"{good} scored, {bad} failed")
+        return 0 if good and not bad else 1
     if o.verb == "detect":
         docs = _numbered(spark, o.paths)
         out = evaluate.detect_documents(docs, _ranks(docs), settings).select("doc_id", "ensemble_score", "ensemble_confidence", "label")
@@ -66,6 +91,9 @@ def main(args: list[str] | None = None) -> int:
         one = lambda path, c: files.read_texts(spark, path, suffixes=None).select(F.lit(1).alias("pair_id"), F.col("text").alias(c))
         pair = one(o.original, "original").join(one(o.rewritten, "rewritten"), "pair_id")
         out = evaluate.evaluate(pair, _ranks(pair.select(F.col("original").alias("text"))), settings)
+        if o.report:
+            print(evaluate.comparison_report(out))
+            return 0
     rows = files.as_json(out).toLocalIterator() if o.verb == "eval" or o.json else None
     if rows is None:
         out.show(1000, truncate=80)

@@ -60,14 +60,44 @@ class Settings:
     seed: int = 13
 
 
+#: Where settings are looked for when no path is given, in this order.
+NAMES = tuple(f"inkgauge.{end}" for end in ("toml", "yaml", "yml", "json"))
+
+
+def discover(path: str | os.PathLike | None = None) -> Path | None:
+    """The file to read: path (which must be there), else the first of NAMES in the working directory or ~/.config/inkgauge."""
+    if path is not None:
+        if not Path(path).is_file():
+            raise ConfigError(f"{path}: no such file")
+        return Path(path)
+    return next((d / n for d in (Path.cwd(), Path.home() / ".config/inkgauge") for n in NAMES if (d / n).is_file()), None)
+
+
+def _read(path: Path) -> dict:
+    raw = path.read_text()
+    if path.suffix in (".yaml", ".yml"):
+        import yaml
+
+        try:
+            data = yaml.safe_load(raw) or {}
+        except yaml.YAMLError as e:
+            raise ConfigError(f"{path}: {e}") from e
+    else:
+        data = json.loads(raw) if path.suffix == ".json" else tomllib.loads(raw)
+    if not isinstance(data, dict):
+        raise ConfigError(f"{path}: must be a mapping")
+    return data
+
+
 def load(path: str | os.PathLike | None = None) -> Settings:
-    """Settings of a TOML or JSON file, or the defaults; anything that can't be used is a ConfigError."""
-    if path is None:
+    """Settings of a TOML, YAML or JSON file, or the defaults; anything that can't be used is a ConfigError."""
+    found = discover(path)
+    if found is None:
         return Settings()
     try:
-        raw = Path(path).read_text()
-        data = json.loads(raw) if str(path).endswith(".json") else tomllib.loads(raw)
-        out = Settings()
+        data, out = _read(found), Settings()
+        if unknown := data.keys() - {f.name for f in fields(Settings)}:
+            raise ConfigError(f"{found}: unknown settings {sorted(unknown)}")
         for f in fields(Settings):
             if f.name in data:
                 part = getattr(out, f.name)
@@ -76,5 +106,5 @@ def load(path: str | os.PathLike | None = None) -> Settings:
         return out
     except ConfigError:
         raise
-    except (OSError, ValueError, TypeError) as e:
-        raise ConfigError(f"{path}: {e}") from e
+    except (OSError, ValueError, TypeError, ImportError) as e:
+        raise ConfigError(f"{found}: {e}") from e

@@ -6,9 +6,13 @@ the corpus. parsed() lays the arrays down once; the features below refer to its
 
 from __future__ import annotations
 
+import hashlib
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from .. import lexicon
 from . import maths as M
@@ -68,7 +72,7 @@ def richness(d: DataFrame) -> DataFrame:
 
 def readability(sents: Column, words: Column) -> Column:
     """Flesch reading ease."""
-    syll = F.aggregate(words, F.lit(0), lambda a, w: a + T.syllables(w))
+    syll = T.total_syllables(words)
     ease = 206.835 - 1.015 * F.size(words) / F.size(sents) - 84.6 * syll / F.size(words)
     return F.when((F.size(sents) > 0) & (F.size(words) > 0), ease).otherwise(0.0)
 
@@ -165,7 +169,7 @@ def style_ratios(d: DataFrame) -> DataFrame:
         .withColumn("contraction_ratio", F.size(F.filter("words", lambda w: F.contains(w, F.lit("'")))) / n)
         .withColumn("digit_ratio", F.size(F.filter("toks", lambda t: t.rlike(r"^\p{Nd}"))) / F.greatest(F.lit(1), F.size("toks")))
         .withColumn("quote_count", count('"') + count("“") + count("’s"))
-        .withColumn("avg_syllables", F.aggregate("words", F.lit(0), lambda a, w: a + T.syllables(w)) / n)
+        .withColumn("avg_syllables", T.total_syllables(F.col("words")) / n)
         .withColumn("mean_wl", F.aggregate("words", F.lit(0), lambda a, w: a + F.length(w)) / n)
     )
 
@@ -175,10 +179,42 @@ def green(prev: Column, tok: Column, seed: int) -> Column:
     return (M.keyed_hash([prev, tok, F.lit("g")], seed) % 10_000 < 5_000).cast("int")
 
 
-def greens(lowers: Column, seed: int) -> Column:
-    """For each word but the first, 1 if it is green."""
-    k = F.greatest(F.size(lowers) - 1, F.lit(0))
-    return F.zip_with(F.slice(lowers, 1, k), F.slice(lowers, 2, k), lambda p, t: green(p, t, seed))
+#: Pairs of words whose hashes a scan keeps.
+KEPT_PAIRS = 200_000
+
+
+@F.pandas_udf(StructType([StructField(c, ArrayType(IntegerType())) for c in ("hits", "first", "second")]))
+def scan(lowers: pd.Series) -> pd.DataFrame:
+    """By seed, how many words of a document but the first are green; for the first two seeds, which ones are.
+
+    The same hash as green(), for arrays of words: a document's millions of hashes are made by a loop in an Arrow
+    batch, since lambdas over arrays are not compiled in the JVM. Equal pairs of words are hashed once.
+    """
+    md5, seeds = hashlib.md5, [f"{s}\x1f".encode() for s in lexicon.GREEN_SEEDS]
+    bits, known = np.arange(len(seeds)), {}
+    out = []
+    for words in lowers:
+        masks = []
+        for pair in zip(words[:-1], words[1:], strict=True):
+            mask = known.get(pair)
+            if mask is None:
+                tail = f"{pair[0]}\x1f{pair[1]}\x1fg".encode()
+                mask = 0
+                for i, seed in enumerate(seeds):
+                    if (int.from_bytes(md5(seed + tail).digest()[:4], "big") >> 4) % 10_000 < 5_000:
+                        mask |= 1 << i
+                if len(known) >= KEPT_PAIRS:
+                    known.clear()
+                known[pair] = mask
+            masks.append(mask)
+        m = np.array(masks, np.int32)
+        out.append(((m[:, None] >> bits & 1).sum(0, dtype=np.int32), m & 1, m >> 1 & 1))
+    return pd.DataFrame(out, columns=["hits", "first", "second"])
+
+
+def scanned(d: DataFrame) -> DataFrame:
+    """parsed rows with scan, which the watermark features share."""
+    return d if "scan" in d.columns else d.withColumn("scan", scan("lowers"))
 
 
 def z_score(hits: Column, n: Column) -> Column:
@@ -186,18 +222,24 @@ def z_score(hits: Column, n: Column) -> Column:
 
 
 def multiseed_scan(d: DataFrame) -> DataFrame:
-    """parsed rows with max_z, mean_abs_z, z_std, mean_rate, max_rate, best_seed (the first of the largest z)."""
-    k = F.greatest(F.lit(1), F.col("n") - 1).cast("double")
-    add = lambda a, x: a + x
-    hits = F.array(*[F.aggregate(greens(F.col("lowers"), s), F.lit(0), add) for s in lexicon.GREEN_SEEDS])
-    seeds = F.array(*map(F.lit, lexicon.GREEN_SEEDS))
+    """parsed rows with max_z, mean_abs_z, z_std, mean_rate, max_rate, best_seed (the first of the largest z).
+
+    A seed's z of h hits in k is t / sqrt(k) with t = 2 h - k; sums are of whole numbers, so their order is no matter.
+    """
+    k, seeds = F.greatest(F.lit(1), F.col("n") - 1).cast("long"), F.array(*map(F.lit, lexicon.GREEN_SEEDS))
+    add, m, root = lambda a, x: a + x, len(lexicon.GREEN_SEEDS), F.sqrt(F.col("__k").cast("double"))
+    d = scanned(d).withColumn("__k", k).withColumn("__t", F.transform("scan.hits", lambda h: 2 * h.cast("long") - F.col("__k")))
+    d = (
+        d.withColumn("__s", F.aggregate("__t", F.lit(0).cast("long"), add))
+        .withColumn("__a", F.aggregate(F.transform("__t", F.abs), F.lit(0).cast("long"), add))
+        .withColumn("__q", F.aggregate(F.transform("__t", lambda t: t * t), F.lit(0).cast("long"), add))
+    )
     return (
-        d.withColumn("__h", hits).withColumn("__z", F.transform("__h", lambda h: z_score(h, k))).withColumn("__mz", M.mean(F.col("__z")))
-        .withColumn("max_z", F.array_max("__z")).withColumn("mean_abs_z", M.mean(F.transform("__z", F.abs)))
-        .withColumn("z_std", M.sample_std(F.col("__z"), F.col("__mz")))
-        .withColumn("mean_rate", M.mean(F.transform("__h", lambda h: h / k))).withColumn("max_rate", F.array_max("__h") / k)
-        .withColumn("best_seed", F.get(seeds, (F.array_position("__h", F.array_max("__h")) - 1).cast("int")))
-        .drop("__h", "__z", "__mz")
+        d.withColumn("max_z", F.array_max("__t") / root).withColumn("mean_abs_z", F.col("__a") / (m * root))
+        .withColumn("z_std", F.sqrt((m * F.col("__q") - F.col("__s") * F.col("__s")) / (m * (m - 1) * F.col("__k")).cast("double")))
+        .withColumn("mean_rate", (F.col("__s") + m * F.col("__k")) / (2 * m * F.col("__k"))).withColumn("max_rate", F.array_max("scan.hits") / F.col("__k"))
+        .withColumn("best_seed", F.get(seeds, (F.array_position("__t", F.array_max("__t")) - 1).cast("int")))
+        .drop("__k", "__t", "__s", "__a", "__q")
     )
 
 
@@ -240,7 +282,7 @@ def _window_hits(green_col: str, window: int, stride: int) -> Column:
 
 def window_spike(d: DataFrame, window: int = 48) -> DataFrame:
     """parsed rows with window_spike: how far the greenest or least green window stands out."""
-    d = d.withColumn("__g", greens(F.col("lowers"), lexicon.GREEN_SEEDS[0]))
+    d = scanned(d).withColumn("__g", F.col("scan.first"))
     rates = F.transform(F.filter(_window_hits("__g", window, window // 2), lambda w: w["m"] >= 8), lambda w: w["hits"] / F.greatest(F.lit(1), w["m"] - 1))
     d = d.withColumn("__w", F.when(F.col("n") >= window, rates).otherwise(F.array().cast("array<double>")))
     d = d.withColumn("__m", M.mean(F.col("__w"))).withColumn("__s", M.sample_std(F.col("__w"), F.col("__m")))
@@ -251,7 +293,7 @@ def window_spike(d: DataFrame, window: int = 48) -> DataFrame:
 
 def rare_alignment(d: DataFrame, common: list[str]) -> DataFrame:
     """parsed rows with rare_alignment: how much greener words outside `common` are. Each class needs six words."""
-    d = d.withColumn("__g", greens(F.col("lowers"), lexicon.GREEN_SEEDS[1]))
+    d = scanned(d).withColumn("__g", F.col("scan.second"))
     flags = F.zip_with(F.slice("lowers", 2, F.greatest(F.col("n") - 1, F.lit(0))), F.col("__g"), lambda t, g: F.struct((~t.isin(*common) if common else F.lit(True)).alias("rare"), g.alias("g")))
     d = d.withColumn(
         "__f",
@@ -272,7 +314,7 @@ def rare_alignment(d: DataFrame, common: list[str]) -> DataFrame:
 
 def hot_spans(d: DataFrame, window: int = 80, most: int = 12) -> DataFrame:
     """parsed rows with hot_spans: of the windows with a green z of 1.6 or more, the first `most`."""
-    d = d.withColumn("__g", greens(F.col("lowers"), lexicon.GREEN_SEEDS[0]))
+    d = scanned(d).withColumn("__g", F.col("scan.first"))
     spans = F.transform(
         _window_hits("__g", window, window // 2),
         lambda w: F.struct(w["start"].alias("start"), (w["start"] + w["m"]).alias("end"), z_score(w["hits"], F.greatest(F.lit(1), w["m"] - 1).cast("double")).alias("z")),

@@ -72,9 +72,13 @@ def ngrams(items: Column, n: int) -> Column:
     return zipped
 
 
+def flat(c: Column) -> Column:
+    """The lower-cased text with single blanks."""
+    return F.regexp_replace(F.lower(c), rf"[{SPACE}]+", " ")
+
+
 def char_ngrams(c: Column, n: int = 3) -> Column:
     """Runs of n characters of the lower-cased text with single blanks; a shorter text is its own run."""
-    flat = F.regexp_replace(F.lower(c), rf"[{SPACE}]+", " ")
 
     def runs(chars: Column) -> Column:
         rest = [F.slice(chars, k + 1, F.greatest(F.size(chars) - n + 1, F.lit(0))) for k in range(n)]
@@ -83,7 +87,7 @@ def char_ngrams(c: Column, n: int = 3) -> Column:
             out = F.zip_with(out, r, lambda a, b: F.concat(a, b))
         return F.when(F.size(chars) >= n, out).when(F.size(chars) > 0, F.array(F.array_join(chars, ""))).otherwise(F.array().cast("array<string>"))
 
-    return let(F.filter(F.split(flat, ""), lambda x: x != ""), runs)
+    return let(F.filter(F.split(flat(c), ""), lambda x: x != ""), runs)
 
 
 def window_starts(n: Column, window: int, stride: int) -> Column:
@@ -101,6 +105,34 @@ def protected_spans(c: Column) -> Column:
     return F.concat(F.regexp_extract_all(c, F.lit(URL), F.lit(0)), F.regexp_extract_all(c, F.lit(EMAIL), F.lit(0)))
 
 
+def _places(c: Column, pattern: str) -> Column:
+    """Structs of start and end of a pattern's matches: what lies between them and they themselves, laid end to end."""
+    gaps, found = F.split(c, pattern, -1), F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
+    span = "struct<start:int,end:int>"
+    first = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{span}>").alias("out"))
+
+    def put(a: Column, x: Column) -> Column:
+        start = a["at"] + F.length(x["gap"])
+        end = start + F.length(x["hit"])
+        return F.struct(end.alias("at"), F.array_append(a["out"], F.struct(start.alias("start"), end.alias("end"))).alias("out"))
+
+    laid = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
+    return F.aggregate(laid, first, put, lambda a: a["out"])
+
+
+def protected_offsets(c: Column) -> Column:
+    """Structs of start and end of URLs and addresses in the text, in order; those that touch or overlap are one."""
+    span = "array<struct<start:int,end:int>>"
+
+    def merge(out: Column, x: Column) -> Column:
+        last = F.element_at(out, -1)
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
+        joined = F.concat(F.slice(out, 1, F.size(out) - 1), F.array(longer))
+        return F.when((F.size(out) > 0) & (x["start"] <= F.coalesce(last["end"], F.lit(-1))), joined).otherwise(F.array_append(out, x))
+
+    return F.aggregate(F.array_sort(F.concat(_places(c, URL), _places(c, EMAIL))), F.array().cast(span), merge)
+
+
 def overlaps(start: Column, end: Column, spans: Column) -> Column:
     """Whether [start, end) overlaps one of spans (structs of start and end)."""
     return F.exists(spans, lambda s: (start < s["end"]) & (s["start"] < end))
@@ -145,6 +177,15 @@ def syllables(word: Column) -> Column:
     return F.when(letters == "", 0).otherwise(F.greatest(F.lit(1), groups))
 
 
+def total_syllables(words: Column) -> Column:
+    """The sum of syllables() over an array of words, by a few passes over all of them joined."""
+    letters = F.regexp_replace(F.lower(F.array_join(words, " ")), "[^a-z ]", "")
+    bare = F.regexp_replace(letters, "e(?= |$)", "")
+    count = lambda c, p: F.regexp_count(c, F.lit(p))
+    # A word without a vowel group counts as one.
+    return count(bare, "[aeiouy]+") + count(letters, "[a-z]+") - count(bare, "[b-df-hj-np-tv-xz]*[aeiouy][a-z]*")
+
+
 def reconstruct(c: Column, edits: Column) -> Column:
     """The text with edits (structs of start, end, new) applied from the last; invalid ones and those that overlap a later one are left out."""
     falling = F.reverse(F.array_sort(F.transform(edits, lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), e["new"].alias("new")))))

@@ -6,6 +6,9 @@ rare-word alignment take, is a parameter; its rows are few and become literals.
 
 from __future__ import annotations
 
+import math
+
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,12 +36,29 @@ def signals(**named: tuple[Column, float]) -> Column:
     return F.array(*[F.struct(F.lit(k).alias("name"), v.cast("double").alias("value"), F.lit(w).alias("weight")) for k, (v, w) in named.items()])
 
 
+def _slots(words: list[str]) -> tuple[int, list[int]]:
+    """A table size at which the words' hashes fall into different slots, and these slots."""
+    hashes = [(h := xxhash.xxh64_intdigest(w.encode(), 42)) - (h >> 63 << 64) for w in words]
+    size = 1 << 10
+    while len({h % size for h in hashes}) < len(hashes):
+        size += (size >> 3) + 1
+    return size, [h % size for h in hashes]
+
+
 def _mean_surprisal(lowers: Column, ranks: dict[str, int]) -> Column:
-    """The mean over words: unlisted ones have one value, each listed one its rank's."""
-    n = F.size(lowers)
-    known = F.filter(lowers, lambda w: w.isin(*ranks)) if ranks else F.array().cast("array<string>")
-    place = F.map_from_arrays(F.array(*map(F.lit, ranks)), F.array(*map(F.lit, ranks.values()))) if ranks else None
-    listed = F.aggregate(known, F.lit(0.0), lambda a, w: a + M.surprisal(F.try_element_at(place, w))) if ranks else F.lit(0.0)
+    """The mean over words: unlisted ones have one value, each listed one its rank's.
+
+    A listed word's value is found by its hash: the words lie in a table in which no two of them meet.
+    """
+    n, listed, known = F.size(lowers), F.lit(0.0), F.array().cast("array<string>")
+    if ranks:
+        size, slots = _slots(list(ranks))
+        table = [0.0] * size
+        for slot, rank in zip(slots, ranks.values(), strict=True):
+            table[slot] = math.log((rank + 2) * math.log(M.VOCABULARY + 1))
+        values = F.expr(f"array({', '.join(f'{v!r}D' for v in table)})")
+        known = F.filter(lowers, lambda w: w.isin(*ranks))
+        listed = F.aggregate(known, F.lit(0.0), lambda a, w: a + F.get(values, F.pmod(F.xxhash64(w), F.lit(size)).cast("int")))
     unlisted = (n - F.size(known)) * M.surprisal(F.lit(None).cast("int"))
     return F.when(n > 0, (listed + unlisted) / n).otherwise(0.0)
 
@@ -110,7 +130,7 @@ def stylometric(d: DataFrame) -> DataFrame:
 def statistical(d: DataFrame, ranks: dict[str, int]) -> DataFrame:
     """parsed rows with the watermark heuristics and statistical_score, statistical_confidence, hot_spans."""
     common = [w for w, r in ranks.items() if r <= lexicon.COMMON_RANK]
-    d = X.hot_spans(X.rare_alignment(X.window_spike(X.context_consistency(X.multiseed_scan(d))), common))
+    d = X.hot_spans(X.rare_alignment(X.window_spike(X.context_consistency(X.multiseed_scan(X.scanned(d)))), common))
     c = F.col
     mix = (
         0.34 * M.clamp((c("max_z") - 1.2) / 4.0) + 0.12 * M.clamp(c("mean_abs_z") / 2.5) + 0.10 * M.clamp((c("z_std") - 0.4) / 1.6)
@@ -122,7 +142,7 @@ def statistical(d: DataFrame, ranks: dict[str, int]) -> DataFrame:
     )
 
 
-#: A detector's family, and the columns its score is made of with the weights that are reported for them.
+# A detector's family, and the columns its score is made of with the weights that are reported for them.
 MEMBERS = {"classical": "classical", "stylometric": "stylometric", "statistical": "watermark"}
 REPORTED = {
     "classical": {
@@ -160,11 +180,23 @@ def ensemble(d: DataFrame, settings: Settings = Settings(), members: list[str] |
     var = add(F.when(used[n], (score[n] - F.col("__m")) * (score[n] - F.col("__m"))).otherwise(0.0) for n in names) / F.greatest(F.lit(1), k - 1)
     d = d.withColumn("agreement", F.greatest(F.lit(0.0), 1 - F.sqrt(var) / 0.35))
     d = d.withColumn("ensemble_confidence", M.clamp(0.7 * add(conf[n] * weight[n] for n in names) / total + 0.3 * F.col("agreement")))
-    marks = [n for n in names if MEMBERS.get(n) == "watermark"]
-    mark = F.round(add(score[n] for n in marks) / len(marks), 4) if marks else F.lit(0.0)
+    mark = family_score("watermark", names)
     forced = (mark >= settings.detect.watermark_likely) & (mark >= F.col("ensemble_score"))
     d = d.withColumn("family", F.when(forced, "watermark").otherwise("ensemble"))
-    return d.withColumn("label", label(F.col("ensemble_score"), F.col("family"), settings)).drop("__w", "__k", "__m")
+    spans = promoted_spans(F.col("hot_spans")) if "hot_spans" in d.columns else F.array().cast("array<struct<start:int,end:int,score:double>>")
+    return d.withColumn("label", label(F.col("ensemble_score"), F.col("family"), settings)).withColumn("spans", spans).drop("__w", "__k", "__m")
+
+
+def family_score(family: str, names: list[str] | tuple[str, ...] = tuple(MEMBERS)) -> Column:
+    """The mean of a family's members' scores, each rounded as it is reported; 0 without members."""
+    own = [F.round(F.col(f"{n}_score"), 4) for n in names if MEMBERS.get(n) == family]
+    return sum(own, F.lit(0.0)) / len(own) if own else F.lit(0.0)
+
+
+def whole_text_span(text: Column, score: Column) -> Column:
+    """A document's one score as a span over its text; none without tokens."""
+    one = F.array(F.struct(F.lit(0).alias("start"), F.length(text).alias("end"), score.alias("score")))
+    return F.when(F.size(T.tokens(text)) > 0, one).otherwise(F.array().cast("array<struct<start:int,end:int,score:double>>"))
 
 
 def promoted_spans(spans: Column, most: int = 16) -> Column:

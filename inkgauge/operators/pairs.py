@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..config import Settings
 from ..functions import features as X
@@ -17,21 +22,41 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(both == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / F.greatest(both, F.lit(1)))
 
 
-def counts(d: DataFrame, id_col: str, a: str, b: str) -> DataFrame:
-    """id, dot, aa, bb, common, na, nb of the multisets in two array columns.
+COUNTS = StructType([StructField(c, LongType()) for c in ("dot", "aa", "bb", "common", "na", "nb")])
 
-    Items of both sides are exploded together with a sign and counted: one shuffle by id and item, then one by id, each
-    behind partial sums.
-    """
-    both = F.concat(F.transform(a, lambda x: F.struct(x.alias("x"), F.lit(1).alias("p"), F.lit(0).alias("q"))), F.transform(b, lambda x: F.struct(x.alias("x"), F.lit(0).alias("p"), F.lit(1).alias("q"))))
-    items = d.select(id_col, F.explode_outer(both).alias("i")).select(id_col, "i.*")
-    per = items.groupBy(id_col, "x").agg(F.coalesce(F.sum("p"), F.lit(0)).alias("p"), F.coalesce(F.sum("q"), F.lit(0)).alias("q"))
-    return per.groupBy(id_col).agg(
-        F.sum(F.col("p") * F.col("q")).alias("dot"), F.sum(F.col("p") * F.col("p")).alias("aa"), F.sum(F.col("q") * F.col("q")).alias("bb"),
-        F.sum(F.least("p", "q")).alias("common"), F.sum("p").alias("na"), F.sum("q").alias("nb"),
+
+def _counted(a: Counter, b: Counter) -> tuple[int, ...]:
+    both = [(a[x], b[x]) for x in a.keys() & b.keys()]
+    return (
+        sum(p * q for p, q in both), sum(p * p for p in a.values()), sum(q * q for q in b.values()),
+        sum(min(p, q) for p, q in both), sum(a.values()), sum(b.values()),
     )
 
 
+@F.pandas_udf(COUNTS)
+def counts(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    """dot, aa, bb, common, na, nb of the multisets in two array columns; a row's items stay in the row."""
+    return pd.DataFrame([_counted(Counter(x), Counter(y)) for x, y in zip(a, b, strict=True)], columns=COUNTS.names)
+
+
+def _trigrams(flat: str) -> tuple[np.ndarray, np.ndarray]:
+    c = np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    if len(c) < 3:  # a shorter text is its own run
+        c = np.concatenate([c, np.full(3 - len(c), (1 << 21) - 1, np.uint64)]) if len(c) else c
+    return np.unique(c[:-2] << np.uint64(42) | c[1:-1] << np.uint64(21) | c[2:], return_counts=True) if len(c) else (c, c.astype(int))
+
+
+@F.pandas_udf(COUNTS)
+def trigram_counts(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    """The same of the character trigrams of two text columns."""
+    out = []
+    for x, y in zip(a, b, strict=True):
+        (u, p), (v, q) = _trigrams(x), _trigrams(y)
+        _, i, j = np.intersect1d(u, v, assume_unique=True, return_indices=True)
+        out.append([int(z) for z in (p[i] @ q[j], p @ p, q @ q, np.minimum(p[i], q[j]).sum(), p.sum(), q.sum())])
+    return pd.DataFrame(out, columns=COUNTS.names)
+
+
 def cosine(c: str = "") -> Column:
     """Of the columns of counts(), with prefix c."""
     norm = F.sqrt(F.col(f"{c}aa").cast("double")) * F.sqrt(F.col(f"{c}bb").cast("double"))
@@ -45,25 +70,31 @@ def change_rate(c: str = "") -> Column:
 
 
 def compare(pairs: DataFrame, settings: Settings = Settings(), id_col: str = "pair_id") -> DataFrame:  # noqa: B008
-    """pairs(pair_id, original, rewritten) -> similarity, word_cosine, char_cosine, unigram_jaccard, token_change_rate,
-    readability_before and _after, length_ratio, original_tokens, rewritten_tokens, changed_tokens, reasons, passed."""
-    q = settings.quality
-    d = pairs.select(id_col, F.coalesce("original", F.lit("")).alias("original"), F.coalesce("rewritten", F.lit("")).alias("rewritten"))
-    arrays = d
-    for side, c in (("a", "original"), ("b", "rewritten")):
-        arrays = (
-            arrays.withColumn(f"{side}w", T.lower_words(F.col(c))).withColumn(f"{side}g", T.char_ngrams(F.col(c)))
-            .withColumn(f"{side}r", X.readability(T.sentences(F.col(c)), T.words(F.col(c))))
-        )
-    words = counts(arrays, id_col, "aw", "bw")
-    grams = counts(arrays, id_col, "ag", "bg").select(id_col, *[F.col(x).alias(f"g_{x}") for x in ("dot", "aa", "bb")])
-    row = arrays.select(
-        id_col, jaccard(F.col("aw"), F.col("bw")).alias("unigram_jaccard"), F.col("ar").alias("readability_before"), F.col("br").alias("readability_after"),
-        (F.length("rewritten") / F.greatest(F.lit(1), F.length("original"))).alias("length_ratio"), (T.strip(F.col("rewritten")) == "").alias("__blank"),
+    """pairs(pair_id, original, rewritten) -> similarity, method, word_cosine, char_cosine, unigram_jaccard, token_change_rate,
+    readability_before and _after, length_ratio, original_tokens, rewritten_tokens, changed_tokens, reasons, passed.
+
+    Where pairs also has original_vector and rewritten_vector, similarity is their cosine, and of n-grams only where one is null.
+    A row's measures are made in the row: nothing is shuffled.
+    """
+    q, vectors = settings.quality, ["original_vector", "rewritten_vector"]
+    given = [F.col(v).cast("array<double>").alias(v) if v in pairs.columns else F.lit(None).cast("array<double>").alias(v) for v in vectors]
+    d = pairs.select(id_col, F.coalesce("original", F.lit("")).alias("original"), F.coalesce("rewritten", F.lit("")).alias("rewritten"), *given)
+    words = {c: T.lower_words(F.col(c)) for c in ("original", "rewritten")}
+    out = (
+        d.withColumn("__a", words["original"]).withColumn("__b", words["rewritten"]).withColumn("__w", counts("__a", "__b"))
+        .withColumn("__g", trigram_counts(T.flat(F.col("original")), T.flat(F.col("rewritten"))))
+        .withColumn("readability_before", X.readability(T.sentences(F.col("original")), F.col("__a")))
+        .withColumn("readability_after", X.readability(T.sentences(F.col("rewritten")), F.col("__b")))
+        .select(
+            id_col, jaccard(F.col("__a"), F.col("__b")).alias("unigram_jaccard"), "readability_before", "readability_after",
+            (F.length("rewritten") / F.greatest(F.lit(1), F.length("original"))).alias("length_ratio"), (T.strip(F.col("rewritten")) == "").alias("__blank"),
+            *vectors, "__w.*", *[F.col(f"__g.{x}").alias(f"g_{x}") for x in ("dot", "aa", "bb")],
+        )
     )
-    out = row.join(words, id_col).join(grams, id_col)
     out = out.withColumn("word_cosine", cosine()).withColumn("char_cosine", cosine("g_")).withColumn("token_change_rate", change_rate())
-    out = out.withColumn("similarity", 0.55 * F.col("word_cosine") + 0.45 * F.col("char_cosine"))
+    near = vector_cosine(*map(F.col, vectors))
+    out = out.withColumn("similarity", F.coalesce(near, 0.55 * F.col("word_cosine") + 0.45 * F.col("char_cosine")))
+    out = out.withColumn("method", F.when(near.isNull(), "ngrams").otherwise("embeddings"))
     harder = (F.col("readability_after") < q.min_readability) & (F.col("readability_after") + 15 < F.col("readability_before"))
     reasons = F.array_compact(
         F.array(
@@ -75,7 +106,7 @@ def compare(pairs: DataFrame, settings: Settings = Settings(), id_col: str = "pa
         out.withColumn("reasons", reasons).withColumn("passed", F.size("reasons") == 0)
         .withColumn("changed_tokens", F.bround(F.col("token_change_rate") * F.greatest("na", "nb")).cast("long"))
         .select(
-            id_col, "similarity", "word_cosine", "char_cosine", "unigram_jaccard", "token_change_rate", "readability_before", "readability_after",
+            id_col, "similarity", "method", "word_cosine", "char_cosine", "unigram_jaccard", "token_change_rate", "readability_before", "readability_after",
             "length_ratio", F.col("na").alias("original_tokens"), F.col("nb").alias("rewritten_tokens"), "changed_tokens", "reasons", "passed",
         )
     )
@@ -86,5 +117,6 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def vector_cosine(a: Column, b: Column) -> Column:
+    """Null if either vector is; 0 if either is zero."""
     norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(norm > 0, dot(a, b) / norm).otherwise(0.0)
+    return F.when(norm > 0, dot(a, b) / norm).when(norm.isNotNull(), 0.0)

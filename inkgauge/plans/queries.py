@@ -13,7 +13,9 @@ from ..functions import features as X
 from ..functions import maths as M
 from ..functions import text as T
 from ..operators import detectors as D
-from ..operators import edits, markdown, pairs, provenance
+from ..operators import edits, evaluate, markdown, pairs, provenance
+from ..sources.files import output_name, spread
+from ..streaming import detect as stream
 from . import sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,7 +28,7 @@ def query(f: Query) -> Query:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
 def injected(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -285,9 +287,15 @@ def pair_compare(spark, sf_dir):
 
 @query
 def quality_gate(spark, sf_dir):
-    """The gate without its readability rule, which a Boolean of the other measures can be held against."""
     d = pairs.compare(_pairs(spark, sf_dir))
-    return d.select("pair_id", (F.size(F.array_except("reasons", F.array(F.lit("readability"), F.lit("empty")))) == 0).alias("passed"))
+    return shown(d.withColumn("reasons", F.array_join("reasons", ",")), "pair_id", "readability_before", "readability_after", "changed_tokens", "method", "reasons", "passed")
+
+
+@query
+def evaluated_pairs(spark, sf_dir):
+    """Both sides' ensemble scores, the gate, and whether the target is met."""
+    d = evaluate.evaluate(_pairs(spark, sf_dir), known_ranks(spark, sf_dir))
+    return shown(d, "pair_id", "before", "after", "delta", "before_label", "after_label", "passed", "target_met")
 
 
 @query
@@ -353,10 +361,87 @@ def json_rows(spark, sf_dir):
 
 @query
 def detector_records(spark, sf_dir):
-    """Each document's three detectors as records with their signals."""
+    """Each document's three detectors as records, a row for each of their signals."""
     d = D.detect(injected(spark, sf_dir), known_ranks(spark, sf_dir))
     records = d.select("doc_id", F.explode(F.array(*[D.result(n) for n in D.MEMBERS])).alias("r")).select("doc_id", "r.*")
-    return shown(records, "doc_id", "name", "family", "score", "confidence", "label", "signals")
+    flat = records.select("doc_id", "name", "family", "score", "confidence", "label", F.explode("signals").alias("s"))
+    return shown(flat.select("*", F.col("s.name").alias("signal"), "s.value", "s.weight").drop("s"), "doc_id", "name", "family", "score", "confidence", "label", "signal", "value", "weight")
+
+
+@query
+def promoted_spans(spark, sf_dir):
+    """The strongest hot windows that the ensemble reports, in the order of their strength."""
+    d = X.hot_spans(parsed(spark, sf_dir)).select("doc_id", F.posexplode_outer(D.promoted_spans(F.col("hot_spans"))).alias("place", "s")).where("s is not null")
+    return shown(d.select("doc_id", "place", "s.*"), "doc_id", "place", "start", "end", "score")
+
+
+@query
+def prose_chunks(spark, sf_dir):
+    """Chunks of 300 characters at most of texts with a paragraph for each sentence."""
+    block = F.regexp_replace("text", "([.!?]) ", "$1\n\n")
+    d = read(spark, sf_dir, "documents").select("doc_id", T.prose_chunks(block, 300).alias("c"))
+    longest = F.coalesce(F.array_max(F.transform("c", F.length)), F.lit(0))
+    return shown(d.select("doc_id", F.size("c").alias("n_chunks"), longest.alias("longest"), F.md5(F.array_join("c", "|")).alias("digest")), "doc_id", "n_chunks", "longest", "digest")
+
+
+@query
+def protected_offsets(spark, sf_dir):
+    """Where URLs and addresses stand in texts of which every fourth has some that touch."""
+    text = F.when(F.col("doc_id") % 4 == 0, F.concat(F.substr("text", F.lit(1), F.lit(30)), F.lit(" https://a.example/x?y=jo@b.example and q@c.example "))).otherwise(F.col("text"))
+    d = read(spark, sf_dir, "documents").select("doc_id", F.explode(T.protected_offsets(text)).alias("s")).select("doc_id", "s.*")
+    return shown(d, "doc_id", "start", "end")
+
+
+@query
+def overlapping_spans(spark, sf_dir):
+    spans = F.expr("array(named_struct('start', 10, 'end', 20), named_struct('start', 30, 'end', 31))")
+    at = (F.col("doc_id") % 50).cast("int")
+    return read(spark, sf_dir, "documents").select("doc_id", T.overlaps(at, at + 3, spans).alias("hit"))
+
+
+@query
+def finite_units(spark, sf_dir):
+    x = F.expr("case doc_id % 4 when 0 then double('NaN') when 1 then double('-Infinity') else n_chars / 1000D - 0.5D end")
+    return shown(read(spark, sf_dir, "documents").withColumn("unit", M.finite_unit(x, 0.25)), "doc_id", "unit")
+
+
+@query
+def matched_casing(spark, sf_dir):
+    """A word in the casing of each document's words, of which every third document's are capitals."""
+    d = words_cased(spark, sf_dir).select("doc_id", T.match_casing(F.col("w"), F.lit("éxample")).alias("word"))
+    return d.groupBy("doc_id", "word").agg(F.count("*").alias("n"))
+
+
+def words_cased(spark, sf_dir):
+    text = F.when(F.col("doc_id") % 3 == 0, F.upper("text")).otherwise(F.col("text"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.explode(T.words(text)).alias("w"))
+
+
+@query
+def joined_sentences(spark, sf_dir):
+    lines = F.split("text", "[,;] ")
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5(T.join_sentences(lines)).alias("digest"), F.length(T.join_sentences(lines)).cast("long").alias("chars"))
+
+
+@query
+def outer_space(spark, sf_dir):
+    around = F.concat(F.lit(" \n\t"), F.substr("text", F.lit(1), F.lit(20)), F.lit("\n "))
+    return read(spark, sf_dir, "documents").select("doc_id", markdown.keep_outer_space(around, F.lit("  new ")).alias("text"))
+
+
+@query
+def suffix_kinds(spark, sf_dir):
+    ends = F.expr("array('.HTML', '.png', '.pdf', '.md', '.tar.gz', '')")
+    path = F.concat(F.lit("s3a://b/d.x/"), F.col("page_id").cast("string"), F.get(ends, (F.col("page_id") % 6).cast("int")))
+    d = read(spark, sf_dir, "pages").select("page_id", provenance.suffix_kind(path).alias("kind"), output_name(path, ".out").alias("name"))
+    return shown(d, "page_id", "kind", "name")
+
+
+@query
+def event_rates(spark, sf_dir):
+    """Events by hour and kind, as the stream's operator counts them."""
+    d = stream.event_rates(read(spark, sf_dir, "events"))
+    return shown(d.select("start", "event_type", "events", "value"), "start", "event_type", "events", "value")
 
 
 @query
@@ -365,15 +450,13 @@ def streaming_detect(spark, sf_dir):
     import tempfile
     import uuid
 
-    from ..streaming import detect as S
-
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="inkgauge-")
     work = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
     path = f"{sf_dir}/documents.parquet"
     schema = spark.read.parquet(path).schema
     source = path if spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(spark._jvm.org.apache.hadoop.fs.Path(path)).isDirectory() else f"{sf_dir}/documents*.parquet"
-    scored = S.score_stream(S.read_documents(spark, source, schema), known_ranks(spark, sf_dir))
-    S.run_available(scored, f"{work}/out", f"{work}/checkpoint")
+    scored = stream.score_stream(stream.read_documents(spark, source, schema), known_ranks(spark, sf_dir))
+    stream.run_available(scored, f"{work}/out", f"{work}/checkpoint")
     return shown(spark.read.parquet(f"{work}/out"), "doc_id", "ensemble_score", "ensemble_confidence", "label")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .. import lexicon as L
 from ..functions import text as T
+from ..operators import detectors as D
 from ..operators import markdown as MD
 from ..operators import provenance as P
 
@@ -143,11 +144,13 @@ STYLOMETRIC = f"""sty AS (SELECT n.doc_id, n,
 stylometric AS (SELECT doc_id, n, CASE WHEN n < 12 THEN 0 ELSE {clamp('mix')} END AS stylometric_score,
   CASE WHEN n < 12 THEN 0 ELSE {clamp('0.40 + 0.40 * log10(greatest(n, 10)::DOUBLE) / 3.0')} END AS stylometric_confidence FROM sty)"""
 STYLOMETRIC_PARTS = [NEXT, FIT, STARTS, ADJACENT, BIGRAMS, STYLE, STYLOMETRIC]
-SCAN = f"""zs AS (SELECT doc_id, seed, i, hits, hits / k AS rate, (hits / k - 0.5) / sqrt(0.25 / k) AS z FROM (
-  SELECT n.doc_id, n.seed, i, coalesce(hits, 0) AS hits, greatest(1, n - 1)::DOUBLE AS k FROM (
+SCAN = f"""zs AS (SELECT doc_id, seed, i, k, hits, 2 * hits - k AS t FROM (
+  SELECT n.doc_id, n.seed, i, coalesce(hits, 0)::BIGINT AS hits, greatest(1, n - 1)::BIGINT AS k FROM (
     SELECT n.doc_id, n, seed, i FROM n, (VALUES {', '.join(f'({s}, {i})' for i, s in enumerate(L.GREEN_SEEDS))}) s(seed, i)) n LEFT JOIN (
     {' UNION ALL '.join(f'SELECT doc_id, {s} AS seed, sum({green(s)}) AS hits FROM p WHERE prev IS NOT NULL GROUP BY 1' for s in L.GREEN_SEEDS)}) h ON h.doc_id = n.doc_id AND h.seed = n.seed)),
-scan AS (SELECT doc_id, max(z) AS max_z, avg(abs(z)) AS mean_abs_z, stddev_samp(z) AS z_std, avg(rate) AS mean_rate, max(rate) AS max_rate, arg_max(seed, hits * 100 - i) AS best_seed FROM zs GROUP BY 1)"""
+scan AS (SELECT doc_id, max(t)::DOUBLE / sqrt(any_value(k)::DOUBLE) AS max_z, sum(abs(t))::DOUBLE / (12 * sqrt(any_value(k)::DOUBLE)) AS mean_abs_z,
+  sqrt((12 * sum(t * t) - sum(t) * sum(t))::DOUBLE / (132 * any_value(k))::DOUBLE) AS z_std, sum(hits)::DOUBLE / (12 * any_value(k)) AS mean_rate,
+  max(hits)::DOUBLE / any_value(k) AS max_rate, arg_max(seed, hits * 100 - i) AS best_seed FROM zs GROUP BY 1)"""
 CONSISTENCY = f"""cc AS (SELECT n.doc_id, CASE WHEN n < 24 THEN 0 WHEN coalesce(k2, 0) < 4 THEN 0.15 ELSE {clamp('(m - 0.35) / 0.5')} END AS context_consistency FROM n LEFT JOIN (
   SELECT doc_id, count(*) AS k2, avg(top / s::DOUBLE) AS m FROM (
     SELECT doc_id, max(c) AS top, sum(c) AS s FROM (SELECT doc_id, tok, nxt, nxt2, count(*) AS c FROM p WHERE nxt2 IS NOT NULL GROUP BY ALL) GROUP BY doc_id, tok, nxt)
@@ -234,9 +237,22 @@ cmp AS (SELECT pr.pair_id, coalesce(w.cosine, 0) AS word_cosine, coalesce(g.cosi
   CASE WHEN coalesce(w.na, 0) = 0 THEN CASE WHEN coalesce(w.nb, 0) > 0 THEN 1 ELSE 0 END ELSE 1 - w.common / greatest(w.na, w.nb)::DOUBLE END AS token_change_rate,
   length(rewritten) / greatest(1, length(original))::DOUBLE AS length_ratio, coalesce(w.na, 0)::BIGINT AS original_tokens, coalesce(w.nb, 0)::BIGINT AS rewritten_tokens
   FROM pr LEFT JOIN (SELECT * FROM ag WHERE kind = 'w') w USING (pair_id) LEFT JOIN (SELECT * FROM ag WHERE kind = 'g') g ON g.pair_id = pr.pair_id)"""
+#: Each pair's sides as two documents.
+SIDES = f"SELECT pair_id * 2 AS doc_id, original AS text FROM ({PAIRS}) UNION ALL SELECT pair_id * 2 + 1, rewritten FROM ({PAIRS})"
+GATE = f"""gate AS (SELECT cmp.*, a.flesch AS readability_before, b.flesch AS readability_after, round_even(token_change_rate * greatest(original_tokens, rewritten_tokens), 0)::BIGINT AS changed_tokens,
+  concat_ws(',', CASE WHEN similarity < 0.82 THEN 'similarity' END, CASE WHEN length_ratio > 1.45 THEN 'too long' END, CASE WHEN length_ratio < 0.62 THEN 'too short' END,
+    CASE WHEN b.flesch < 20 AND b.flesch + 15 < a.flesch THEN 'readability' END, CASE WHEN {strip('rewritten')} = '' THEN 'empty' END) AS reasons
+  FROM cmp JOIN pr USING (pair_id) JOIN flesch a ON a.doc_id = pair_id * 2 JOIN flesch b ON b.doc_id = pair_id * 2 + 1)"""
 WINDOWED = f"""SELECT doc_id * 1000000 + win AS doc_id, array_to_string(toks[win * 128 + 1 : win * 128 + 256], ' ') AS text FROM (
   SELECT doc_id, toks, unnest(range(0, greatest(0, ceil((len(toks) - 256) / 128.0))::BIGINT + 1)) AS win FROM (SELECT doc_id, regexp_extract_all({INJECTED}, '{TOK}') AS toks FROM documents))"""
 
+_reported = {"classical": ("classical", ["classical"]), "stylometric": ("stylometric", ["stylometric", "rich", "sl", "fit", "st", "sd", "adj", "bi"]), "statistical": ("stat", ["stat"])}
+_signals = " UNION ALL ".join(
+    f"SELECT doc_id, '{name}' AS name, '{D.MEMBERS[name]}' AS family, {name}_score AS score, {name}_confidence AS confidence, '{k}' AS signal, {table + '.' if k == 'n' else ''}{k} AS value, {w} AS weight FROM {tables[0]}"
+    + "".join(f" JOIN {x} USING (doc_id)" for x in tables[1:])
+    for name, (table, tables) in _reported.items() for k, w in D.REPORTED[name].items()
+)
+
 ORACLE_SQL = {
     "token_kind_counts": query([], r"""SELECT doc_id, len(toks)::BIGINT AS n_tokens, len(words)::BIGINT AS n_words, len(list_filter(toks, lambda x: regexp_matches(x, '^\p{Nd}')))::BIGINT AS n_numbers,
   len(list_filter(toks, lambda x: NOT regexp_matches(x, '^[\p{L}\p{Nd}]')))::BIGINT AS n_punct FROM b"""),
@@ -279,7 +295,38 @@ h2 AS (SELECT *, round(prior * CASE WHEN tok IN {words_in(L.FUNCTION_WORDS)} THE
 h3 AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY priority DESC, pos) AS place FROM h2)
 SELECT doc_id, pos::BIGINT AS pos, tok, priority::DOUBLE AS priority, place::BIGINT AS place FROM h3 WHERE priority >= 0.25 AND place <= greatest(1, round_even(k * 0.31, 0)::BIGINT)""").replace("\n, h0", ",\nh0"),
     "pair_compare": COMPARE + f" SELECT pair_id, {R('similarity', 'word_cosine', 'char_cosine', 'unigram_jaccard', 'token_change_rate', 'length_ratio')}, original_tokens, rewritten_tokens FROM cmp",
-    "quality_gate": COMPARE + """ SELECT pair_id, similarity >= 0.82 AND length_ratio <= 1.45 AND length_ratio >= 0.62 AS passed FROM cmp""",
+    "quality_gate": query([COMPARE.removeprefix("WITH "), GATE], f"SELECT pair_id, {R('readability_before', 'readability_after')}, changed_tokens, 'ngrams' AS method, reasons, reasons = '' AS passed FROM gate", SIDES),
+    "evaluated_pairs": query([CORPUS_RANKS if x == RANKS else x for x in ENSEMBLE_PARTS] + [COMPARE.removeprefix("WITH "), GATE], """SELECT pair_id, round(a.ensemble_score, 6) AS before, round(b.ensemble_score, 6) AS after, round(b.ensemble_score - a.ensemble_score, 6) AS delta,
+  a.label AS before_label, b.label AS after_label, reasons = '' AS passed, reasons = '' AND b.ensemble_score <= 0.40 AS target_met
+  FROM gate JOIN lab a ON a.doc_id = pair_id * 2 JOIN lab b ON b.doc_id = pair_id * 2 + 1""", SIDES),
+    "detector_records": query(ENSEMBLE_PARTS, f"""SELECT doc_id, name, family, round(score::DOUBLE, 6) AS score, round(confidence::DOUBLE, 6) AS confidence,
+  CASE WHEN confidence = 0 THEN 'uncertain' WHEN family = 'watermark' AND score >= 0.70 THEN 'watermarked' WHEN family <> 'watermark' AND score >= 0.62 THEN 'ai' WHEN score >= 0.45 THEN 'uncertain' ELSE 'human' END AS label,
+  signal, round(value::DOUBLE, 6) AS value, weight::DOUBLE AS weight FROM ({_signals})"""),
+    "promoted_spans": query([NEXT, HOT], f"""SELECT doc_id, place, "start", "end", round(score, 6) AS score FROM (
+  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, start) - 1 AS place, start::BIGINT AS "start", stop::BIGINT AS "end", score FROM (
+    SELECT doc_id, start, stop, {clamp('(z - 1) / 4')} AS score FROM hot WHERE z >= 1.6 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY start) <= 12)) WHERE place < 16"""),
+    "prose_chunks": r"""WITH p AS (SELECT doc_id, list_transform(string_split(regexp_replace(regexp_replace(text, '([.!?]) ', '\1' || chr(10) || chr(10), 'g'), '(
+\s*
+)', '\1' || chr(1), 'g'), chr(1)), lambda x: [x]) AS ps FROM documents),
+c AS (SELECT doc_id, list_filter(list_reduce(ps, lambda a, x: CASE WHEN length(a[len(a)]) + length(x[1]) <= 300 THEN list_append(a[1:len(a) - 1], a[len(a)] || x[1]) ELSE list_append(a, x[1]) END), lambda x: x <> '') AS c FROM p)
+SELECT doc_id, len(c)::BIGINT AS n_chunks, coalesce(list_max(list_transform(c, lambda x: length(x))), 0)::BIGINT AS longest, md5(array_to_string(c, '|')) AS digest FROM c""".replace("\\\\", "\\"),
+    "protected_offsets": f"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN substr(text, 1, 30) || ' https://a.example/x?y=jo@b.example and q@c.example ' ELSE text END AS x FROM documents),
+m AS ({' UNION ALL '.join(f"SELECT doc_id, i, hits[i] AS hit, list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda h: length(h))), 0) AS s FROM (SELECT doc_id, hits, gaps, unnest(generate_series(1, len(hits))) AS i FROM (SELECT doc_id, regexp_extract_all(x, '{Q(p)}') AS hits, regexp_split_to_array(x, '{Q(p)}') AS gaps FROM d))" for p in (T.URL, T.EMAIL))}),
+s AS (SELECT doc_id, s::BIGINT AS s, (s + length(hit))::BIGINT AS e FROM m),
+f AS (SELECT *, coalesce(s > max(e) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true)::INT AS fresh FROM s),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM f)
+SELECT doc_id, min(s) AS "start", max(e) AS "end" FROM g GROUP BY doc_id, island""",
+    "overlapping_spans": "SELECT doc_id, (doc_id % 50 < 20 AND doc_id % 50 + 3 > 10) OR (doc_id % 50 < 31 AND doc_id % 50 + 3 > 30) AS hit FROM documents",
+    "finite_units": f"SELECT doc_id, round(CASE WHEN doc_id % 4 < 2 THEN 0.25 ELSE {clamp('n_chars / 1000.0 - 0.5')} END::DOUBLE, 6) AS unit FROM documents",
+    "matched_casing": f"""WITH w AS (SELECT doc_id, unnest(list_filter(regexp_extract_all(CASE WHEN doc_id % 3 = 0 THEN upper(text) ELSE text END, '{TOK}'), lambda x: {WORD})) AS w FROM documents)
+SELECT doc_id, CASE WHEN w = upper(w) AND w <> lower(w) THEN 'ÉXAMPLE' WHEN substr(w, 1, 1) = upper(substr(w, 1, 1)) AND substr(w, 1, 1) <> lower(substr(w, 1, 1)) THEN 'Éxample' ELSE 'éxample' END AS word, count(*)::BIGINT AS n FROM w GROUP BY ALL""",
+    "joined_sentences": f"""WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[,;] '), lambda x: {strip('x')}), lambda x: x <> '') AS s FROM documents),
+j AS (SELECT doc_id, array_to_string(list_transform(s, lambda x, i: CASE WHEN i = len(s) OR regexp_matches(x, '[.!?:;]$') THEN x ELSE x || '.' END), ' ') AS j FROM s)
+SELECT doc_id, md5(j) AS digest, length(j)::BIGINT AS chars FROM j""",
+    "outer_space": f"""SELECT doc_id, CASE WHEN {strip('x')} = '' THEN x ELSE regexp_extract(x, '^[{SP}]*') || 'new' || regexp_extract(x, '[{SP}]*$') END AS text FROM (
+  SELECT doc_id, ' ' || chr(10) || chr(9) || substr(text, 1, 20) || chr(10) || ' ' AS x FROM documents)""",
+    "suffix_kinds": """SELECT page_id, ['html', 'image', 'pdf', 'text', 'other', 'other'][page_id % 6 + 1] AS kind, page_id || ['.HTML', '.png', '.pdf', '.md', '.tar.gz', ''][page_id % 6 + 1] || '.out' AS name FROM pages""",
+    "event_rates": "SELECT date_trunc('hour', ts) AS start, event_type, count(*)::BIGINT AS events, round(sum(value), 6) AS value FROM events GROUP BY ALL",
     "embedding_cosine": "SELECT a.vec_id, b.vec_id AS other_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
     "protected_spans": f"SELECT doc_id, len(regexp_extract_all(x, '{Q(T.URL)}'))::BIGINT AS urls, len(regexp_extract_all(x, '{Q(T.EMAIL)}'))::BIGINT AS emails FROM (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN text || ' see https://a.example/x?y=1 ' ELSE text END AS x FROM documents)",
     "provenance_audit": f"""SELECT page_id, len(regexp_extract_all(h, '{Q(P.HTML_META)}'))::BIGINT AS metas, len(regexp_extract_all(h, '{Q(P.HTML_LINK)}'))::BIGINT AS links,

@@ -17,13 +17,29 @@ def read_texts(spark: SparkSession, *paths: str, suffixes: tuple[str, ...] | Non
     return rows.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
-def read_bytes(spark: SparkSession, *paths: str, most: int = MOST_BYTES) -> DataFrame:
+def read_bytes(spark: SparkSession, *paths: str, most: int = MOST_BYTES, glob: str | None = None) -> DataFrame:
     """path, length, content of files; content is null, and error told, over `most` bytes."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(paths))
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    files = (reader.option("pathGlobFilter", glob) if glob else reader).load(list(paths))
     small = F.col("length") <= most
     return files.select("path", "length", F.when(small, F.col("content")).alias("content"), F.when(~small, F.concat(F.lit("larger than "), F.lit(most), F.lit(" bytes"))).alias("error"))
 
 
+def read_documents(spark: SparkSession, *paths: str, suffixes: tuple[str, ...] = SUFFIXES, most: int = MOST_BYTES) -> DataFrame:
+    """path, text, error of files by suffix: one that is too large or isn't UTF-8 has an error and no text, and stops nothing else."""
+    rows = read_bytes(spark, *paths, most=most, glob="*.{" + ",".join(suffixes) + "}")
+    bad = F.col("content").isNotNull() & ~F.is_valid_utf8(F.col("content").cast("string"))
+    return rows.select(
+        "path", F.when(~bad, F.col("content").cast("string")).alias("text"), F.coalesce("error", F.when(bad, "not UTF-8")).alias("error")
+    )
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan's rows over all cores, where its files can't be split into as many tasks; else df as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def as_json(df: DataFrame) -> DataFrame:
     """json: each row as an object."""
     return df.select(F.to_json(F.struct(*df.columns)).alias("json"))
@@ -33,10 +49,10 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def write_batch(df: DataFrame, path: str, by: str | Column | None = None) -> None:
+def write_batch(df: DataFrame, path: str, by: str | None = None) -> None:
     """Rows by Spark's commit protocol: a failed job leaves nothing half written."""
     out = df.write.mode("overwrite")
-    (out.partitionBy(by) if isinstance(by, str) else out).parquet(path)
+    (out.partitionBy(by) if by else out).parquet(path)
 
 
 def output_name(path: Column, suffix: str) -> Column:
