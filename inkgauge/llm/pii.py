@@ -11,12 +11,17 @@ original has the same one everywhere, in whatever format it is written. Cards ge
 octets, domains end in ".example". Given names are permuted within those of their gender and script; endings of gendered
 Cyrillic surnames stay. Parts of a person's name are replaced part by part, so short mentions agree with long ones.
 
+Letters of other scripts change among those of one Unicode category in their block, so no letter of any script stays fixed.
+
 Collisions are checked nonetheless, over the whole corpus: distinct entities are grouped by surrogate, and those that
-share one, or equal an original, get the first later attempt that is free. Only these exceptions, usually none, meet the
-documents again.
+share one, or whose surrogate is an original of its type anywhere in the corpus, get the first later attempt that is free. Later attempts
+lengthen a surrogate, so a shape of which every form is taken ends too; attempts go on until each entity is alone. Only a given name may
+be another person's: it is one of a short public list, and the surname beside it is nobody's. Only these exceptions,
+usually few, meet the documents again.
 
 Texts are read twice, whole, row by row. Defined results: null text stays null, without entities; an empty table gives no
-rows; extra columns stay, but for those named like what is added; documents with one id, or without, share exceptions.
+rows; extra columns stay, but for those named like what is added; rows are matched with their exceptions by their text, so ids
+may be null or repeated. Persons are found by titles and a list of given names, so a name with neither stays.
 """
 
 from __future__ import annotations
@@ -24,7 +29,9 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,7 +40,10 @@ from pyspark.sql.types import StructType
 
 from ._shared import join_small, written
 
-ATTEMPTS = 8
+#: Attempts that are offered at a time, and the last one of a surrogate's own length.
+ATTEMPTS, OWN_LENGTH = 8, 8
+#: Longer values are permuted part by part.
+PART = 256
 #: Given names by gender and script.
 NAMES = {
     ("f", "latin"): "Alice Anna Barbara Carmen Caroline Catherine Charlotte Christine Claire Clara Daniela Elena Elizabeth Emily Emma Eva Grace Hannah Helen Ines Irene Isabel Jane Jennifer Jessica Julia Karen Laura Linda Louise Lucia Lucy Margaret Maria Marie Marta Mary Monica Natalie Nicole Olivia Patricia Paula Rachel Rebecca Rosa Ruth Sarah Sofia Sophie Susan Teresa Ursula Victoria".split(),
@@ -59,7 +69,7 @@ PHONE = re.compile(r"(?<![\w+.\-])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{3}\)[ .\-]?|(?<![
 CARD = re.compile(r"(?<![\w.\-])(?:\d{13,19}|\d{4}([ \-])\d{4}\1\d{4}\1\d{1,7})(?![\w\-])")
 SSN = re.compile(r"(?<![\w\-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w\-])")
 AWS = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])")
-SECRET = re.compile(r"(?i)(?<![A-Za-z])(?:token|secret|password|passwd|api[_\-]?key|access[_\-]?key)\s{0,4}[=:]\s{0,4}[\"']?([A-Za-z0-9_\-+/]{16,512})(?![A-Za-z0-9])")
+SECRET = re.compile(r"(?i)(?<![A-Za-z])(?:token|secret|password|passwd|api[_\-]?key|access[_\-]?key)\s{0,4}[=:]\s{0,4}[\"']?([A-Za-z0-9_\-+/]{16,})")
 PERSON = re.compile(
     r"(?<!\w)(?P<title>" + "|".join(TITLES) + r")\.? (?P<one>[^\W\d_]+)(?: (?P<two>[^\W\d_]+))?(?!\w)"
     r"|(?<!\w)(?P<given>" + "|".join(GIVEN) + r") (?P<last>[^\W\d_]+)(?!\w)"
@@ -77,6 +87,18 @@ def luhn(digits: str) -> int:
     return sum(d[::2]) + sum(2 * x - 9 * (x > 4) for x in d[1::2])
 
 
+@lru_cache(4096)
+def letters_like(ch: str) -> str:
+    """The letters of ch's category in its block of 128 characters; those whose case can be changed and back apart from the others."""
+
+    def kind(c: str) -> tuple[str, bool]:
+        return unicodedata.category(c), len(c.upper()) == 1 and c.upper().lower() == c
+
+    first, own = ord(ch) & ~127, kind(ch)
+    listed = "".join(CLASSES)  # so that each letter is of one class, and a surrogate has its original's shape
+    return "".join(c for c in map(chr, range(first, first + 128)) if c == ch or kind(c) == own and c not in listed)
+
+
 class Permuter:
     """Keyed permutations of the numbers below any bound."""
 
@@ -106,13 +128,23 @@ class Permuter:
                 return x
 
     def text(self, value: str, classes: list[str], tweak: bytes) -> str:
-        """value, each character replaced by one of its class; characters of no class stay."""
-        kinds = [next((c for c in classes if ch in c), "") for ch in value]
+        """value, each character replaced by one of its class, letters of no class by ones of their script; others stay.
+
+        Long values are permuted part by part, each under a key that the parts before it set, so that no two values meet.
+        """
+        if len(value) > PART:
+            out = []
+            for at in range(0, len(value), PART):
+                part = value[at : at + PART]
+                out.append(self.text(part, classes, tweak))
+                tweak = hashlib.sha256(tweak + b"|part|" + part.encode()).digest()
+            return "".join(out)
+        kinds = [next((c for c in classes if ch in c), "") or (letters_like(ch) if ch.isalpha() else "") for ch in value]
         x, bound = 0, 1
         for ch, c in zip(value, kinds, strict=True):
             if c:
                 x, bound = x * len(c) + c.index(ch), bound * len(c)
-        shape = "".join(str(classes.index(c)) if c else ch for ch, c in zip(value, kinds, strict=True))
+        shape = "".join(c[0] if c else ch for ch, c in zip(value, kinds, strict=True))
         x = self(x, bound, tweak + b"|" + shape.encode())
         out = []
         for ch, c in zip(reversed(value), reversed(kinds), strict=True):
@@ -122,6 +154,11 @@ class Permuter:
             out.append(ch)
         return "".join(reversed(out))
 
+    def more(self, value: str, tweak: bytes, n: int) -> str:
+        """n letters that depend on value."""
+        h = int.from_bytes(hmac.new(self.key, b"more|" + tweak + b"|" + value.encode(), hashlib.sha256).digest(), "big")
+        return "".join("abcdefghijklmnopqrstuvwxyz"[h // 26**i % 26] for i in range(n))
+
 
 def recased(new: str, like: str) -> str:
     return "".join(n.upper() if o.isupper() else n for n, o in zip(new, like, strict=True))
@@ -239,7 +276,14 @@ class Surrogates:
         return self.table[k]
 
     def _made(self, kind: str, norm: str, tweak: bytes) -> str:
-        p = self.permute
+        p, attempt = self.permute, int(tweak.rsplit(b"|", 1)[1])
+        if kind in ("given", "surname", "email", "secret") and attempt > OWN_LENGTH:
+            # Room for every entity of a shape whose forms are all taken.
+            more = p.more(norm, tweak, min(2 * (attempt - OWN_LENGTH), 40))
+            if kind != "email":
+                return self._made(kind, norm, f"{kind}|0".encode()) + more
+            local, domain = self._made(kind, norm, f"{kind}|0".encode()).rsplit("@", 1)
+            return f"{local}@{more}.{domain}"
         if kind in ("phone", "ssn"):
             return p.text(norm, PLAIN[:1], tweak)
         if kind == "card":
@@ -267,7 +311,6 @@ class Surrogates:
             return f"{p.text(local, PLAIN, tweak + domain.encode())}@{hidden}{top}.example"
         if kind == "given":
             gender, script, name = norm.split("/", 2)
-            attempt = int(tweak.rsplit(b"|", 1)[1])
             known = self._cycle(gender, script, attempt)
             return f"{gender}/{script}/{known.get(name) or self._other_name(name, tweak)}"
         end = next((e for e in ENDINGS if norm.endswith(e) and len(norm) > len(e) + 1), "")
@@ -339,46 +382,65 @@ def _mapped(docs: DataFrame, text_col: str, key: bytes, attempts: str | None) ->
 
 
 def collisions(entities: DataFrame, key: bytes, remade: Callable[[str, str, int], str] | None = None) -> DataFrame:
-    """entities(type, norm, made) -> type, norm, attempt for those whose surrogate isn't theirs alone."""
-    made = remade or Surrogates(key).make
+    """entities(type, norm, made) -> type, norm, attempt, made for those whose surrogate isn't theirs alone.
+
+    Taken are all originals of a type (of given names only the entity's own) and what others hold. Attempts are offered in rounds, a
+    written table each, until every entity has one; nothing of them comes to the driver but a count.
+    """
+    make = remade or Surrogates(key).make
     distinct = written(entities.distinct(), "entities")
+    originals = distinct.where("type != 'given'").select("type", F.col("norm").alias("made"))
     shared = distinct.groupBy("type", "made").agg(F.count("*").alias("n"), F.min("norm").alias("first")).where("n > 1")
-    clash = (
+    left = written(
         distinct.join(shared, ["type", "made"]).where("norm != first").select("type", "norm")
+        .union(distinct.join(originals, ["type", "made"], "left_semi").select("type", "norm"))
         .union(distinct.where("norm = made").select("type", "norm"))
-        .distinct()
+        .distinct(),
+        "clashes",
     )
-
-    def tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [
-                (t, n, a, made(t, n, a))
-                for t, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-                for a in range(1, ATTEMPTS + 1)
-            ]
-            cols = [list(c) for c in zip(*rows, strict=True)] or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.string())],
-                names=["type", "norm", "attempt", "made"],
-            )
-
-    offered = written(clash.mapInArrow(tries, "type string, norm string, attempt int, made string"), "tries")
-    free = offered.join(distinct.select("type", "made"), ["type", "made"], "left_anti").where("norm != made")
-    # Of those that would share an attempt the first keeps it, and each entity takes its first free one.
-    owner = free.groupBy("type", "made").agg(F.min("norm").alias("norm"))
-    return free.join(owner, ["type", "made", "norm"]).groupBy("type", "norm").agg(F.min("attempt").alias("attempt"))
-
-
-def surrogate_documents(docs: DataFrame, key: bytes | str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    taken = distinct.select("type", "made").union(originals)
+    names = ["type", "norm", "attempt", "made"]
+    done = distinct.sparkSession.createDataFrame([], "type string, norm string, attempt int, made string")
+
+    def offers(first: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 10_000):
+                    part = batch.slice(at, 10_000)
+                    rows = [
+                        (t, n, a, make(t, n, a))
+                        for t, n in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)
+                        for a in range(first, first + ATTEMPTS)
+                    ]
+                    cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int32(), pa.string()), strict=True)]
+                    yield pa.RecordBatch.from_arrays(cols, names=names)
+
+        return run
+
+    first = 1
+    while left.count():
+        offered = written(left.mapInArrow(offers(first), "type string, norm string, attempt int, made string"), "tries")
+        free = offered.join(taken, ["type", "made"], "left_anti").join(done.select("type", "made"), ["type", "made"], "left_anti").where("norm != made")
+        # Of those that would share an attempt the first keeps it, and each entity takes its first free one.
+        owner = free.groupBy("type", "made").agg(F.min("norm").alias("norm"))
+        won = free.join(owner, ["type", "made", "norm"]).groupBy("type", "norm").agg(F.min(F.struct("attempt", "made")).alias("w"))
+        done = written(done.union(won.select("type", "norm", "w.attempt", "w.made")), "exceptions")
+        left = written(left.join(done, ["type", "norm"], "left_anti"), "clashes")
+        first += ATTEMPTS
+    return done
+
+
+def surrogate_documents(docs: DataFrame, key: bytes | str, *, text_col: str = "text") -> DataFrame:
     """docs with text replaced, original_text left out, and entities (type, start, end, surrogate)."""
     key = key.encode() if isinstance(key, str) else key
-    first = _mapped(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")), "__t", key, None)
+    name = F.sha2(F.col(text_col).cast("string"), 256)  # equal texts have equal exceptions
+    first = _mapped(docs.select(name.alias("__id"), F.col(text_col).alias("__t")), "__t", key, None)
     seen = written(first.select("__id", F.explode("__entities").alias("e")).select("__id", "e.type", "e.norm", "e.made"), "found")
-    again = written(collisions(seen.select("type", "norm", "made"), key), "exceptions")
-    by_doc = join_small(seen.select("__id", "type", "norm").distinct(), again, ["type", "norm"], "inner").groupBy("__id").agg(
+    again = written(collisions(seen.select("type", "norm", "made"), key).drop("made"), "exceptions")
+    by_text = join_small(seen.select("__id", "type", "norm").distinct(), again, ["type", "norm"], "inner").groupBy("__id").agg(
         F.collect_list(F.struct("type", "norm", "attempt")).alias("__again")
     )
-    told = join_small(docs.drop("entities").withColumn("__id", F.col(id_col)), by_doc, ["__id"])
+    told = join_small(docs.drop("entities").withColumn("__id", name), by_text, ["__id"])
     e = lambda x: F.struct(x["type"].alias("type"), x["start"].alias("start"), x["end"].alias("end"), x["surrogate"].alias("surrogate"))
     out = _mapped(told, text_col, key, "__again")
     return out.select(
