@@ -7,10 +7,11 @@ shuffled, and a document's pieces leave the worker as they are cut.
 
 Ids come from a `tokenizers` file. For byte-level BPE files without normalizer the same vocabulary also drives a
 faster merge engine, and the ids of words seen before come from a bounded table; texts are only split before a
-blank that a non-blank follows, where this pre-tokenizer splits too. Other files are encoded by `tokenizers` alone.
+blank that a non-blank follows, where this pre-tokenizer splits too, and around the file's added tokens, which keep their own
+ids as `tokenizers` gives them. Other files are encoded by `tokenizers` alone.
 
 Defined results: null text is empty and gives the end id alone (one piece of length 1); repeated rows and null ids
-are packed like any other; strings of special tokens in a text are ordinary text; an empty table gives no rows;
+are packed like any other; an empty table gives no rows;
 extra columns aren't kept.
 """
 
@@ -67,8 +68,10 @@ def encoder(path: str) -> Callable[[str], bytes]:
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     engine = _merge_engine(tok)
+    added = {t["content"]: t for t in json.loads(tok.to_str())["added_tokens"]}
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] and not t["special"] for t in added.values()):
+        engine = None
     packed = lambda ids: np.asarray(ids, "<u4").tobytes()
     if engine is None:
         _encoders[path] = lambda text: packed(tok.encode(text, add_special_tokens=False).ids)
@@ -103,7 +106,7 @@ def encoder(path: str) -> Callable[[str], bytes]:
             parts = [p if p is not None else table[w] for w, p in zip(words, parts, strict=True)]
         return packed(engine(first)) + b"".join(parts)
 
-    def encode(text: str) -> bytes:
+    def encode_plain(text: str) -> bytes:
         if len(text) <= SLICE_CHARS:
             return encode_slice(text)
         out, at = [], 0
@@ -115,6 +118,17 @@ def encoder(path: str) -> Callable[[str], bytes]:
             at = end
         return b"".join(out)
 
+    apart = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
+
+    def encode(text: str) -> bytes:
+        if not any(t in text for t in added):
+            return encode_plain(text)
+        out, at = [], 0
+        for m in apart.finditer(text):
+            out += [encode_plain(text[at : m.start()]) if m.start() > at else b"", packed([added[m[0]]["id"]])]
+            at = m.end()
+        return b"".join([*out, encode_plain(text[at:]) if at < len(text) else b""])
+
     _encoders[path] = encode
     return encode
 
