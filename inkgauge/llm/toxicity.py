@@ -1,9 +1,10 @@
 """Toxicity by compression distance: two zstandard dictionaries, one of toxic and one of ordinary text.
 
-A text's windows are its words. Each is compressed with either dictionary, between a head and a tail that both
-hold, so that even a short window is searched and its marginal length shows. How many bytes the toxic dictionary
-saves against the ordinary one is compared with several thresholds; how many and which share of the windows exceed
-each of them, calibrated by a logistic fit on the labelled rows, makes the score.
+A text's windows are its words: on held-out rows windows of two, three, four and six words told the classes apart worse (README
+has the figures). Each is compressed with either dictionary, between a head and a tail that both hold, so that even
+a short window is searched and its marginal length shows. How many bytes the toxic dictionary saves against the ordinary
+one is compared with several thresholds, calibrated on the ordinary labelled texts so that set shares of their windows lie above them; how many and
+which share of a text's windows exceed each of them, weighed by a logistic fit on the labelled rows, makes the score.
 
 Fitting takes at most `rows_a_class` labelled texts of each class (those first by a seeded hash, texts of at most
 `fit_chars` characters); this is the bound of the sample. Both classes are counted over all learnable labels, and the
@@ -24,7 +25,7 @@ import hashlib
 import pickle
 from collections import Counter
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,8 @@ from pyspark.sql.types import StructType
 HEAD, TAIL = b"0123456789abcdefghijklmnopqrstuvwxyz#", b"~QWERTYUIOPASDFG"
 STRIP = ".,;:!?*#%&$\"'()[]{}<>|-_=+/\\`~"
 LEVEL, GRAM = 3, 5
-THRESHOLDS = (2, 3, 4, 5, 6)
+#: Thresholds are where so many of all ordinary windows save more bytes.
+RATES = (0.1, 0.03, 0.01, 0.003, 0.001)
 TABLE_WORDS, SLICE_CHARS = 400_000, 1 << 20
 
 
@@ -67,6 +69,7 @@ class Model:
     mean: tuple[float, ...]
     scale: tuple[float, ...]
     weights: tuple[float, ...]  # the first is the intercept
+    thresholds: tuple[int, ...] = ()
 
 
 def saving(model: Model) -> Callable[[str], int]:
@@ -97,7 +100,7 @@ def featurizer(model: Model) -> Callable[[str], np.ndarray]:
     one, table = saving(model), {}
 
     def features(text: str) -> np.ndarray:
-        n, most, over = 0, 0, np.zeros(len(THRESHOLDS))
+        n, most, over = 0, 0, np.zeros(len(model.thresholds))
         for part in slices(text):
             words = windows(part)
             found = [*map(table.get, words)]
@@ -112,7 +115,7 @@ def featurizer(model: Model) -> Callable[[str], np.ndarray]:
             if found:
                 d = np.asarray(found)
                 n, most = n + len(d), max(most, int(d.max()))
-                over += [(d >= k).sum() for k in THRESHOLDS]
+                over += [(d >= k).sum() for k in model.thresholds]
         share = over / max(n, 1)
         return np.concatenate([[most], np.log1p(over), share, np.sqrt(share)])
 
@@ -141,9 +144,25 @@ def _logistic(x: np.ndarray, y: np.ndarray, of: np.ndarray) -> tuple[np.ndarray,
     return mean, scale, w
 
 
-def fit_texts(toxic: list[str], ordinary: list[str], *, ordinary_bytes: int = 48 << 10, toxic_bytes: int = 16 << 10, rates: tuple[float, float] = (1.0, 1.0)) -> Model:
+def _thresholds(model: Model, ordinary: list[str]) -> tuple[int, ...]:
+    """Rising numbers of bytes, each the least that at most a share of RATES of the ordinary texts' windows saves."""
+    words = Counter(w for t in ordinary for w in windows(t))
+    one, saved = saving(model), Counter()
+    for w, n in words.items():
+        saved[one(w)] += n
+    out, total = [], sum(saved.values())
+    for rate in RATES:
+        at = max(1, out[-1] + 1 if out else 1)
+        while sum(n for d, n in saved.items() if d >= at) > rate * total:
+            at += 1
+        out.append(at)
+    return tuple(out)
+
+
+def fit_texts(toxic: list[str], ordinary: list[str], *, ordinary_bytes: int = 48 << 10, toxic_bytes: int = 16 << 10, rates: tuple[float, float] = (1.0, 1.0), most_chunks: int = 12_000) -> Model:
     """A model of labelled texts. Both lists must hold something. rates: the shares of all ordinary and of all toxic
-    texts that the lists are."""
+    texts that the lists are. The ordinary dictionary is trained on chunks of 64 words, evenly spread ones if there are
+    over most_chunks (the trainer's time grows with them, and its dictionary holds a thousandth of so many)."""
 
     def by_text(texts: list[str]) -> Counter:
         seen: Counter = Counter()
@@ -162,15 +181,16 @@ def fit_texts(toxic: list[str], ordinary: list[str], *, ordinary_bytes: int = 48
     for t in ordinary:
         words = [w.strip(STRIP) for w in windows(t)]
         chunks += [f" {' '.join(words[i : i + 64])} " for i in range(0, len(words), 64)]
-    chunks = chunks[:: max(1, len(chunks) // 12_000)]
+    chunks = [chunks[i * len(chunks) // most_chunks] for i in range(most_chunks)] if len(chunks) > most_chunks else chunks
     raw_toxic = _trained(marked * max(1, 3000 // len(marked)), toxic_bytes)
     base = Model(_trained(chunks, ordinary_bytes), raw_toxic, (), (), ())
+    base = replace(base, thresholds=_thresholds(base, ordinary))
     features = featurizer(base)
     x = np.array([features(t) for t in (*toxic, *ordinary)])
     y = np.r_[np.ones(len(toxic)), np.zeros(len(ordinary))]
     of = np.where(y == 1, 1 / rates[1], 1 / rates[0])
     mean, scale, w = _logistic(x, y, of / of.mean())
-    return Model(base.ordinary, base.toxic, tuple(mean), tuple(scale), tuple(w))
+    return replace(base, mean=tuple(mean), scale=tuple(scale), weights=tuple(w))
 
 
 def learnable(id_col: str) -> Column:
