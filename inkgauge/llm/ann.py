@@ -4,9 +4,11 @@ Inner products become distances: every vector gets one more component so that al
 zero there. Both are projected to a few dimensions by a seeded Gaussian (2-stable) matrix; then the squared projected
 distance of two vectors over their squared distance follows a chi-square law of as many degrees. A kd-tree, fitted on
 a bounded sample of projections, cuts them into blocks, and every row is put into its block; within a block a further
-kd-tree has small leaves. For a query, leaves come by projected distance and their rows are verified on the whole
-vectors, until the nearest leaf that is left lies so far that, by the chi-square law, a row beyond it is nearer than
-the k-th found with a chance below 1 - `sure`.
+kd-tree has small leaves. For a query, leaves come by projected distance, and of their rows those are verified on the
+whole vectors whose own projected distance passes the stopping test: by the chi-square law, a row beyond it that is nearer
+than the k-th found would have a projected distance below it with the chance `sure`. The search ends at the first leaf that
+lies beyond. Thirty-two dimensions are more than such trees cut well, but on vectors without much structure fewer
+can't tell near from far: there the test has to save verifications, not leaves.
 
 The search runs twice: at the block where the query lies, which bounds the k-th distance, and then at the blocks that
 this bound can't rule out. Tasks are pairs of a block and a group of its queries. Blocks that the sample made too large
@@ -31,9 +33,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._shared import written
+from ._shared import join_small, written
 
-SAMPLE_ROWS, BLOCK_ROWS, LEAF_ROWS, MOST_BLOCKS, QUERY_GROUP = 50_000, 4096, 64, 4096, 2048
+SAMPLE_ROWS, BLOCK_ROWS, LEAF_ROWS, MOST_BLOCKS, QUERY_GROUP = 20_000, 4096, 64, 4096, 2048
 VERIFY_AT_ONCE = 512
 
 
@@ -130,38 +132,46 @@ class Projection:
 
 def search(
     q: np.ndarray, bound: np.ndarray, x: np.ndarray, weight: np.ndarray, proj: Projection, k: int, limit: float
-) -> list[np.ndarray]:
-    """For each query the rows of x that may be among its k best; weight: how many ids a row stands for.
+) -> list[tuple[np.ndarray, int]]:
+    """For each query the rows of x that may be among its k best, and how many rows were verified for it.
 
-    bound: squared distances that the k-th best is known not to exceed. Distances are |q|^2 + most - 2 <q, x>.
+    bound: squared distances that the k-th best is known not to exceed; weight: how many ids a row stands for.
+    Distances are |q|^2 + most - 2 <q, x>.
     """
     px, pq = proj.data(x), proj.query(q)
     tree = KdTree(px, LEAF_ROWS)
     low = np.array([px[r].min(0) for r in tree.rows])
     high = np.array([px[r].max(0) for r in tree.rows])
+    inside = np.concatenate(tree.rows)  # rows leaf by leaf
+    ends = np.cumsum([len(r) for r in tree.rows])
+    px = px[inside]
+    square = (px * px).sum(1)
     near = box_distance(pq, low, high)
     base = (q * q).sum(1) + proj.most
     out = []
     for i in range(len(q)):
         order = np.argsort(near[i], kind="stable")
-        kth, rows, dist, at = bound[i], np.zeros(0, int), np.zeros(0), 0
+        kth, rows, dist, at, verified = bound[i], np.zeros(0, int), np.zeros(0), 0, 0
         while at < len(order) and near[i, order[at]] <= limit * kth:
-            take, n = [], 0
-            while at < len(order) and n < VERIFY_AT_ONCE and near[i, order[at]] <= limit * kth:
-                take.append(tree.rows[order[at]])
-                n += len(take[-1])
-                at += 1
-            new = np.concatenate(take)
+            upto = at + max(1, VERIFY_AT_ONCE // LEAF_ROWS)
+            leaves = order[at:upto][near[i, order[at:upto]] <= limit * kth]
+            at = upto
+            met = np.concatenate([np.arange(ends[j] - len(tree.rows[j]), ends[j]) for j in leaves])
+            if np.isfinite(kth):
+                away = square[met] - 2 * (px[met] @ pq[i]) + pq[i] @ pq[i]
+                met = met[away <= limit * kth]
+            new = inside[met]
+            verified += len(new)
             rows = np.concatenate([rows, new])
             dist = np.concatenate([dist, base[i] - 2 * (x[new] @ q[i])])
             sort = np.argsort(dist, kind="stable")
-            upto = np.searchsorted(np.cumsum(weight[rows[sort]]), k)
-            if upto < len(sort):
-                kth = min(kth, max(dist[sort[upto]], 0.0))
+            last = np.searchsorted(np.cumsum(weight[rows[sort]]), k)
+            if last < len(sort):
+                kth = min(kth, max(dist[sort[last]], 0.0))
                 # Equal distances stay: ids decide between them.
-                keep = dist <= dist[sort[upto]] + 1e-9 * proj.most
+                keep = dist <= dist[sort[last]] + 1e-9 * proj.most
                 rows, dist = rows[keep], dist[keep]
-        out.append(rows)
+        out.append((rows, verified))
     return out
 
 
@@ -183,11 +193,14 @@ def nearest(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     k: int = 20,
-    dimensions: int = 12,
-    sure: float = 0.98,
+    dimensions: int = 32,
+    sure: float = 0.8,
     seed: int = 5,
 ) -> DataFrame:
-    """query_id, rank, vec_id, score: each query's k nearest other rows by inner product, ties to the smaller id."""
+    """query_id, rank, vec_id, score: each query's k nearest other rows by inner product, ties to the smaller id.
+
+    Beside them verified: how many distinct vectors were compared with the query's in full.
+    """
     rows = vectors.where(F.col(id_col).isNotNull() & valid(F.col(vector_col))).select(
         F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")
     )
@@ -202,15 +215,21 @@ def nearest(
     shape = distinct.agg(
         F.max(F.size("v")).alias("width"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("most"), F.count("*").alias("n")
     ).first()
-    result = "query_id long, rank int, vec_id long, score double"
+    result = "query_id long, rank int, vec_id long, score double, verified long"
     if not shape["n"]:
         return vectors.sparkSession.createDataFrame([], result)
     width, most, limit = shape["width"], shape["most"], chi2_quantile(sure, dimensions)
     proj = Projection(width, dimensions, seed, most)
 
     share = min(1.0, SAMPLE_ROWS / shape["n"])
-    sample = distinct.where(F.pmod(F.xxhash64(F.lit(seed), "key"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).limit(2 * SAMPLE_ROWS)
-    points = proj.data(matrix([r["v"] for r in sample.select("v").collect()], width))
+    sample = distinct.where(F.pmod(F.xxhash64(F.lit(seed), "key"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+
+    def projected(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"p": list(proj.data(matrix(list(b["v"]), width)))})
+
+    # 2 SAMPLE_ROWS projections at most.
+    points = matrix([r["p"] for r in sample.select("v").mapInPandas(projected, "p array<double>").limit(2 * SAMPLE_ROWS).collect()], dimensions)
     blocks = min(MOST_BLOCKS, max(1, round(shape["n"] / BLOCK_ROWS)))
     top = KdTree(points, max(1, math.ceil(len(points) / blocks)))
 
@@ -233,21 +252,22 @@ def nearest(
     at_home = queries.mapInPandas(home, "v array<double>, key string, block long, bound double")
 
     def answer(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        names = ["key", "score", "ids"]
+        names = ["key", "score", "ids", "verified"]
         if not len(left) or not len(right):
             return pd.DataFrame([], columns=names)
         q, x = matrix(list(left["v"]), width), matrix(list(right["v"]), width)
         ids, keys = list(right["ids"]), list(left["key"])
         found = search(q, left["bound"].to_numpy(float), x, np.array([len(i) for i in ids]), proj, k + 1, limit)
         out = []
-        for i, at in enumerate(found):
+        for i, (at, verified) in enumerate(found):
             # The score sums the products in order, as plain double arithmetic does.
             scores = np.cumsum(x[at] * q[i], axis=1)[:, -1].tolist() if len(at) else []
-            out += [(keys[i], s, ids[j]) for s, j in zip(scores, at.tolist(), strict=True)]
+            out += [(keys[i], s, ids[j], 0) for s, j in zip(scores, at.tolist(), strict=True)]
+            out.append((keys[i], None, None, verified))
         return pd.DataFrame(out, columns=names)
 
     def ask(routed: DataFrame) -> DataFrame:
-        """routed (v, key, block, bound) -> key, score, ids found in those blocks."""
+        """routed (v, key, block, bound) -> key, score, ids found in those blocks; without ids, the rows verified there."""
         spread = (
             routed.join(F.broadcast(split), "block")
             .withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
@@ -256,7 +276,7 @@ def nearest(
         spread = spread.join(F.broadcast(load), "block").withColumn("group", F.pmod(F.xxhash64("key"), "groups")).drop("groups", "parts")
         wanted = data.join(F.broadcast(load), "block").withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1))).drop("groups")
         keys = ["block", "part", "group"]
-        return spread.groupBy(*keys).cogroup(wanted.groupBy(*keys)).applyInPandas(answer, "key string, score double, ids array<long>")
+        return spread.groupBy(*keys).cogroup(wanted.groupBy(*keys)).applyInPandas(answer, "key string, score double, ids array<long>, verified long")
 
     first_found = written(ask(at_home), "found")
     # The k+1-th best so far bounds the distance: |q|^2 + most - 2 score.
@@ -279,13 +299,15 @@ def nearest(
                 yield pd.DataFrame({"v": c["v"].to_numpy()[i], "key": c["key"].to_numpy()[i], "block": j, "bound": c["bound"].to_numpy()[i]})
 
     second = ask(written(bounded.mapInPandas(route, "v array<double>, key string, block long, bound double"), "routed"))
-    found = first_found.unionByName(second).select("key", "score", F.explode("ids").alias("id"))
+    both = written(first_found.unionByName(second), "found")
+    verified = both.groupBy("key").agg(F.sum("verified").alias("verified"))
+    found = both.select("key", "score", F.explode("ids").alias("id"))
     best = found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).groupBy("key").agg(
         F.sort_array(F.collect_list(F.struct("n", "id", "score"))).alias("best")
     )
-    best = written(best, "best")
-    own = asked.select(F.col("vec_id").alias("query_id"), "key").distinct().join(best, "key")
+    # k + 1 results for each distinct query vector; one that very many queries share is split.
+    own = join_small(asked.select(F.col("vec_id").alias("query_id"), "key").distinct(), best.join(verified, "key"), ["key"], "inner", 10_000)
     rest = F.slice(F.filter("best", lambda b: b["id"] != F.col("query_id")), 1, k)
-    return own.select("query_id", F.posexplode(rest).alias("rank", "b")).select(
-        "query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("b.id").alias("vec_id"), F.col("b.score").alias("score")
+    return own.select("query_id", "verified", F.posexplode(rest).alias("rank", "b")).select(
+        "query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("b.id").alias("vec_id"), F.col("b.score").alias("score"), "verified"
     )
