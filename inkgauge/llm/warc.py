@@ -5,9 +5,10 @@ page's id is kept; request and metadata name the response by WARC-Concurrent-To.
 as they are, with the CRLF that ends a record as its line end, so files come into being by Spark's commit protocol
 in any store Spark can write. Every record begins with a boundary line (the version and a field with a nonce);
 the text reader takes this boundary as its line end, so archives are read in splits, and what must fit in memory
-is one record, never an archive.
+is one record, never an archive. Archives of other writers, which hold no such field, and gzip ones are read by
+read_archives(), which cuts records by their length.
 
-Revisits. Of pages with equal payloads (SHA-256) of `min_bytes` at least the one with the smallest id is the
+Record ids are hashes of what a record is of, so a task that runs twice writes the same ones. Revisits. Of pages with equal payloads (SHA-256) of `min_bytes` at least the one with the smallest id is the
 response. Payloads that occur once need no entry, so what meets the pages again is one narrow row for each
 repeated payload.
 
@@ -15,18 +16,22 @@ Assembly. Requests and metadata find their response through the concurrent-to id
 capture is one nested row. A revisit's payload is its response's, found by WARC-Refers-To.
 
 Defined results: null html is an empty payload; a null id comes after all others and is read back as null; of rows
-alike in id and payload one is the response; a null url leaves out WARC-Target-URI; an empty table gives an archive
+alike in id and payload that with the smallest url (null last) is the response, of rows alike in all one; a null url leaves out WARC-Target-URI; an empty table gives an archive
 without records; extra columns are not archived.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
+import zlib
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import join_small, scratch_path, text_of
+from ._shared import join_small, scratch_path, text_of, written
 
 CRLF = "\r\n"
 #: RFC 4648.
@@ -72,24 +77,34 @@ def write_warc(
     """Writes the archives under path and returns the nonce of their boundary, by which read_records() splits them."""
     nonce = uuid.uuid4().hex
     base = pages.select(
-        F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"),
-        text_of(html_col).alias("html"), F.monotonically_increasing_id().alias("row"),
+        F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), text_of(html_col).alias("html"),
     ).withColumn("payload_key", F.unhex(F.sha2("html", 256)))
-    first = F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row"))
+    alike = ["payload_key", "page_id", "url"]
+    per = written(base.withColumn("long", F.octet_length("html") >= min_bytes).groupBy(*alike, "long").agg(F.count("*").alias("n")), "pages")
+    # Rows alike in all that is archived are told apart by a number; they meet as one row with a count.
+    again = per.where("n > 1").select(*alike, "n")
+    twin = join_small(base, again, alike)
+    numbered = twin.where("n is null").drop("n").withColumn("no", F.lit(1)).unionByName(
+        twin.where("n is not null").groupBy(*alike).agg(F.first("html").alias("html"), F.first("n").alias("n"))
+        .withColumn("no", F.explode(F.expr("sequence(1, cast(n as int))"))).drop("n")
+    )
+    order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", F.col("url").isNull().alias("bare"), "url")
     same = (
-        base.where(F.octet_length("html") >= min_bytes)
-        .groupBy("payload_key")
-        .agg(first.alias("f"), F.count("*").alias("n"))
-        .where("n > 1")
-        .select("payload_key", F.col("f.page_id").alias("first_id"), F.col("f.row").alias("first_row"))
-    )
-    ids = lambda kind, page, row: _uuid(F.lit(kind), F.coalesce(page.cast("string"), F.lit("-")), row.cast("string"))
+        per.where("long").groupBy("payload_key").agg(F.min(order).alias("f"), F.sum("n").alias("n")).where("n > 1")
+        .select("payload_key", F.lit(True).alias("shared"), F.col("f.page_id").alias("first_id"), F.col("f.url").alias("first_url"))
+    )
+
+    def ids(kind: str, page: Column, url: Column, no: Column) -> Column:
+        return _uuid(F.lit(nonce), F.lit(kind), F.coalesce(page.cast("string"), F.lit("-")), F.coalesce(F.concat(F.lit("u"), url), F.lit("-")), F.hex("payload_key"), no.cast("string"))
+
+    page, url, no = F.col("page_id"), F.col("url"), F.col("no")
+    is_first = page.eqNullSafe(F.col("first_id")) & url.eqNullSafe(F.col("first_url")) & (no == 1)
     known = (
-        join_small(base, same, ["payload_key"])
-        .withColumn("again", F.col("first_row").isNotNull() & (F.col("first_row") != F.col("row")))
+        join_small(numbered, same, ["payload_key"])
+        .withColumn("again", F.col("shared").isNotNull() & ~is_first)
         .withColumn("sha1", F.sha1("html"))
-        .withColumn("rid", ids("response", F.col("page_id"), F.col("row")))
-        .withColumn("refers", F.when(F.col("again"), F.concat(F.lit("<"), ids("response", F.col("first_id"), F.col("first_row")), F.lit(">"))))
+        .withColumn("rid", ids("response", page, url, no))
+        .withColumn("refers", F.when(F.col("again"), F.concat(F.lit("<"), ids("response", F.col("first_id"), F.col("first_url"), F.lit(1)), F.lit(">"))))
         .withColumn("uri", F.regexp_replace("url", r"[\x00-\x1f\x7f]", ""))
     )
     stamp = [("WARC-Date", F.lit(date)), ("WARC-Target-URI", F.col("uri"))]
@@ -98,7 +113,7 @@ def write_warc(
     target = F.regexp_extract(F.coalesce("uri", F.lit("")), r"://[^/?#]*([^#]*)", 1)
     ask = F.concat(F.lit("GET "), F.when(target.startswith("/"), target).otherwise(F.concat(F.lit("/"), target)), F.lit(f" HTTP/1.1{CRLF}Host: "), host, F.lit(CRLF * 2))
     head = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.octet_length("html").cast("string"), F.lit(CRLF * 2))
-    request = _record(nonce, "request", ids("request", F.col("page_id"), F.col("row")), beside, "application/http;msgtype=request", ask)
+    request = _record(nonce, "request", ids("request", page, url, no), beside, "application/http;msgtype=request", ask)
     capture = _record(
         nonce, F.when(F.col("again"), "revisit").otherwise("response"), F.col("rid"),
         [*stamp, ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32_of_hex(F.col("sha1")))), ("WARC-Refers-To", F.col("refers")),
@@ -106,7 +121,7 @@ def write_warc(
         "application/http;msgtype=response", F.when(F.col("again"), head).otherwise(F.concat(head, F.col("html"))),
     )
     note = F.concat(F.lit("page-id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(CRLF))
-    metadata = _record(nonce, "metadata", ids("metadata", F.col("page_id"), F.col("row")), beside, "application/warc-fields", note)
+    metadata = _record(nonce, "metadata", ids("metadata", page, url, no), beside, "application/warc-fields", note)
     known.select(F.explode(F.array(request, capture, metadata)).alias("value")).write.option("lineSep", CRLF).text(path)
     return nonce
 
@@ -132,6 +147,84 @@ def read_records(spark: SparkSession, path: str, nonce: str) -> DataFrame:
     )
 
 
+RECORD = "record_type string, record_id string, target_uri string, concurrent_to array<string>, refers_to string, header string, content_length long, block binary"
+CHUNK = 1 << 20
+
+
+def _unzipped(data: bytes) -> Iterator[bytes]:
+    """The content of an archive's bytes, in chunks; of gzip members one behind another, each."""
+    if data[:2] != b"\x1f\x8b":
+        yield from (data[at : at + CHUNK] for at in range(0, len(data), CHUNK))
+        return
+    rest = memoryview(data)
+    while len(rest):
+        member = zlib.decompressobj(31)
+        while not member.eof and len(rest):
+            part, rest = rest[:CHUNK], rest[CHUNK:]
+            yield member.decompress(part)
+            if member.unused_data:
+                rest = memoryview(data)[len(data) - len(rest) - len(member.unused_data) :]
+        yield member.flush()
+        while len(rest) and rest[0] == 0:  # padding behind the last member
+            rest = rest[1:]
+
+
+def parse_archive(data: bytes) -> Iterator[tuple]:
+    """The records of one archive, cut by their Content-Length; what is cut off at the end is left out."""
+    chunks, held = _unzipped(data), bytearray()
+
+    def have(n: int) -> bool:
+        while len(held) < n:
+            if (more := next(chunks, None)) is None:
+                return False
+            held.extend(more)
+        return True
+
+    while True:
+        while have(1) and held[:1] in b"\r\n":
+            del held[:1]
+        seen = 0
+        while (end := held.find(b"\r\n\r\n", max(0, seen - 3))) < 0:
+            seen = len(held)
+            if not have(seen + 1):
+                return
+        header = held[:end].decode("utf-8", "replace")
+        fields: dict[str, list[str]] = {}
+        for line in re.sub(r"\r\n[ \t]+", " ", header).split("\r\n")[1:]:
+            name, _, value = line.partition(":")
+            fields.setdefault(name.strip().lower(), []).append(value.strip().removeprefix("<").removesuffix(">"))
+        one = lambda name: fields.get(name, [None])[0]  # noqa: E731, B023
+        size = one("content-length") or ""
+        if not header.startswith("WARC/") or not size.isdigit() or not have(end + 4 + int(size)):
+            return
+        block = bytes(held[end + 4 : end + 4 + int(size)])
+        del held[: end + 4 + int(size)]
+        yield one("warc-type"), one("warc-record-id"), one("warc-target-uri"), fields.get("warc-concurrent-to", []), one("warc-refers-to"), header, int(size), block
+
+
+def read_archives(spark: SparkSession, path: str) -> DataFrame:
+    """The columns of read_records() for any writer's archives, plain or gzip by record or whole.
+
+    A file is one task's and must fit in memory as it is stored; its content is unpacked a record at a time.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("record_type", pa.string()), ("record_id", pa.string()), ("target_uri", pa.string()), ("concurrent_to", pa.list_(pa.string())), ("refers_to", pa.string()), ("header", pa.string()), ("content_length", pa.int64()), ("block", pa.binary())])
+        rows, held = [], 0
+        for batch in batches:
+            for content in batch.column("content"):
+                for record in parse_archive(content.as_py()):
+                    rows.append(record)
+                    held += record[6]
+                    if held > 1 << 24:
+                        yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema=schema)
+                        rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema=schema)
+
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("content").mapInArrow(run, RECORD)
+
+
 def http_payload(block: Column) -> Column:
     """What follows the HTTP header, as bytes."""
     return F.substr(block, F.octet_length(F.substring_index(block.cast("string"), CRLF * 2, 1)) + 5)
