@@ -1,24 +1,30 @@
 """Masked pseudo-likelihood: a bidirectional window network, in numpy, predicts every token from both sides.
 
 Tokens are words, lower-cased and split at white space. The network sees the classes of `SIDE` words before and behind
-a masked one: embeddings, one hidden layer, and a softmax over the most frequent words of the corpus and one class for
-all others. A word of that class is also spelt, byte by byte, from the same hidden layer: each byte's probability is the
-corpus's for the byte before it, tilted by what both sides say and normalised again. So the vocabulary is open, and any
-word is predicted from both sides, though a neighbour without a class of its own is seen as other only. A document's
+a masked one: embeddings, one hidden layer, and a softmax over the corpus's most frequent words and one class for all
+others. Classes grow with the corpus, as the square root of its tokens, up to `MOST_CLASSES`, so the softmax has two levels: classes are
+laid by frequency into as many groups as each holds, a group's probability is given both sides, and a class's given its
+group and both sides. A word without a class is also spelt, byte by byte, from the same hidden layer: each byte's
+probability is the corpus's for the byte before it, tilted by what both sides say and normalised again. So the
+vocabulary is open, and any word is predicted from both sides, though a neighbour without a class of its own is seen as other only. A document's
 score is the sum of the log probabilities of its words, each given both sides.
 
-What is learnt covers all documents: word counts and byte pairs of every text, and two rounds in which each partition
-trains on every second position of its documents, masked one at a time, the first round on those that the second leaves,
-so that every word is learnt once; each round starts from what all partitions arrived at in the one before; their parameters are averaged by the positions they saw. Counts and parameters are summed on the
-executors; the driver gets the vocabulary, the byte pairs and at most `REDUCERS` parameter sets.
+What is learnt covers all documents: word counts and byte pairs of every text, and `ROUNDS` rounds, each of which trains on every
+word of those documents that a hash of their text deals to it, so every word is learnt once. Within a round the hash deals
+documents to shards, whose number follows from the corpus's tokens, and orders them there; shards start from what the round
+before arrived at, and their parameters are averaged by the words they saw. So the model depends on the documents alone: not on
+their order, on how files are split, or on a task that ran twice. Counts and parameters are summed on the executors; the driver gets
+the classes' words, the byte pairs and a few parameter sets.
 
 Defined results: null or empty text has no tokens, a score of 0 and a null mean; an empty table gives no rows; ties in
-word counts go to the smaller word; repeated rows score alike; extra columns aren't kept.
+word counts go to the smaller word; repeated rows score alike (scores are rounded to thousandths, beyond which sums in single
+precision depend on what is computed with them); extra columns aren't kept.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,13 +35,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import text_of
+from ._shared import text_of, written
 
-CLASSES, SIDE, WIDTH, HIDDEN = 256, 2, 12, 24
-ROUNDS, BATCH, RATE = 2, 1024, 0.01
-REDUCERS, TABLE_WORDS, SLICE_CHARS, POSITIONS = 32, 300_000, 1 << 20, 1024
-#: Class 0 is for all other words; CLASSES stands for what lies outside the text.
-OTHER, OUTSIDE = 0, CLASSES
+LEAST_CLASSES, MOST_CLASSES, SIDE, WIDTH, HIDDEN = 256, 1 << 16, 2, 12, 24
+ROUNDS, BATCH, RATE = 2, 4096, 0.02
+#: Words that a shard is to have, and as many at least for each parameter.
+SHARD_WORDS, WORDS_A_PARAMETER = 1_000_000, 4
+TABLE_WORDS, SLICE_CHARS, POSITIONS = 300_000, 1 << 20, 16_384
+#: Class 0 is for all other words.
+OTHER = 0
+#: Word counts are compared by this many ranges for each doubling when classes are chosen.
+RANGES = 64
 
 
 def slices(text: str) -> Iterator[str]:
@@ -78,8 +88,8 @@ def _counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word string, n long, pairs binary")
 
 
-def _summed(rows: DataFrame, column: str, dtype: str) -> DataFrame:
-    """rows(pid, w, column) with arrays of numbers -> at most REDUCERS rows with their weighted sums."""
+def _summed(rows: DataFrame, column: str, dtype: str, reducers: int = 32) -> DataFrame:
+    """rows(pid, w, column) with arrays of numbers -> a row for each of the reducers with their weighted sums."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, weight = None, 0.0
@@ -90,7 +100,7 @@ def _summed(rows: DataFrame, column: str, dtype: str) -> DataFrame:
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([weight]), pa.array([total.tobytes()], pa.binary())], names=["w", "x"])
 
-    return rows.repartition(REDUCERS, "pid").sortWithinPartitions("pid").mapInArrow(run, "w double, x binary")
+    return rows.repartition(reducers, "pid").sortWithinPartitions("pid").mapInArrow(run, "w double, x binary")
 
 
 def _collected(rows: DataFrame) -> tuple[float, np.ndarray | None]:
@@ -100,17 +110,40 @@ def _collected(rows: DataFrame) -> tuple[float, np.ndarray | None]:
     return sum(w for _, w in found), np.sum([np.frombuffer(x) for x, _ in found], axis=0)
 
 
-def vocabulary(docs: DataFrame) -> tuple[list[str], Spelling]:
-    """The most frequent words of all documents, and their spelling."""
-    from ._shared import written
+@dataclass
+class Vocabulary:
+    """The words with a class, most frequent first, with their counts, all tokens, and the spelling of the rest."""
+
+    words: list[str]
+    counts: list[int]
+    tokens: int
+    spelling: Spelling
+
+    @property
+    def base(self) -> int:
+        """As many groups of classes, each of as many, hold class OTHER and the words."""
+        return max(2, math.isqrt(len(self.words)) + 1)
+
 
+def vocabulary(docs: DataFrame) -> Vocabulary:
+    """Of all documents."""
     counts = written(_counts(docs), "words")
-    top = (
-        counts.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "word").limit(CLASSES - 1).collect()
+    totals = written(
+        counts.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")).withColumn("range", F.floor(F.log2("n") * RANGES).cast("int")),
+        "vocabulary",
     )
     pairs = counts.where("word is null").select(F.monotonically_increasing_id().alias("pid"), F.lit(1.0).alias("w"), "pairs")
     _, total = _collected(_summed(pairs, "pairs", "<i8"))
-    return [r["word"] for r in top], Spelling((np.zeros(1 << 16) if total is None else total).reshape(256, 256))
+    ranges = sorted(totals.groupBy("range").agg(F.count("*").alias("k"), F.sum("n").alias("n")).collect(), reverse=True)  # some thousands at most
+    tokens = sum(r["n"] for r in ranges)
+    most, have, least = min(MOST_CLASSES, max(LEAST_CLASSES, math.isqrt(tokens))) - 1, 0, None
+    for r in ranges:
+        if (have := have + r["k"]) > most:
+            break
+        least = r["range"]
+    found = totals.where(F.col("range") >= least).collect() if least is not None else []
+    found.sort(key=lambda r: (-r["n"], r["word"]))
+    return Vocabulary([r["word"] for r in found], [r["n"] for r in found], tokens, Spelling((np.zeros(1 << 16) if total is None else total).reshape(256, 256)))
 
 
 class Spelling:
@@ -171,122 +204,170 @@ class Words:
         return np.concatenate(ids) if ids else np.zeros(0, np.int32), Spelt(self.spelling.symbol[b], edges[:-1], np.diff(edges))
 
 
-SHAPES = ((CLASSES + 1, WIDTH), (2 * SIDE * WIDTH, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,))
-#: Parameters of these shapes; behind them come those of spelling, for each symbol one from each hidden unit.
-SIZE = sum(int(np.prod(s)) for s in SHAPES)
+def shapes(base: int) -> tuple[tuple[int, ...], ...]:
+    """Embeddings (the last one is for what lies outside the text), hidden layer, groups, and classes by group."""
+    return (base * base + 1, WIDTH), (2 * SIDE * WIDTH, HIDDEN), (HIDDEN,), (HIDDEN, base), (base,), (base, HIDDEN, base), (base, base)
+
+
+def size_of(base: int) -> int:
+    """Parameters of these shapes; behind them come those of spelling, for each symbol one from each hidden unit."""
+    return sum(int(np.prod(s)) for s in shapes(base))
 
 
-def unpacked(flat: np.ndarray) -> list[np.ndarray]:
+def unpacked(flat: np.ndarray, base: int) -> list[np.ndarray]:
     out, at = [], 0
-    for s in SHAPES:
+    for s in shapes(base):
         n = int(np.prod(s))
         out.append(flat[at : at + n].reshape(s))
         at += n
     return out
 
 
-def start(seed: int, symbols: int = 0) -> np.ndarray:
+def start(seed: int, base: int, symbols: int = 0, counts: np.ndarray | None = None) -> np.ndarray:
+    """Parameters that give each class the share it has by counts, whatever is around it."""
     rng = np.random.default_rng(seed)
-    parts = [rng.standard_normal(s) * (0.3 if i == 0 else 1 / np.sqrt(s[0])) if len(s) > 1 else np.zeros(s) for i, s in enumerate(SHAPES)]
-    return np.concatenate([*(p.reshape(-1) for p in parts), np.zeros(HIDDEN * symbols)]).astype(np.float32)
-
-
-def contexts(ids: np.ndarray) -> np.ndarray:
+    flat = np.zeros(size_of(base) + HIDDEN * symbols)
+    e, w1, _, w2, b2, w3, b3 = unpacked(flat, base)
+    for part, spread in ((e, 0.3), (w1, 1 / np.sqrt(len(w1))), (w2, 0.1), (w3, 0.1)):
+        part[:] = rng.standard_normal(part.shape) * spread
+    n = np.zeros(base * base)
+    if counts is not None:
+        n[: len(counts)] = counts
+    n = n.reshape(base, base) + 0.1
+    b2[:], b3[:] = np.log(n.sum(1) / n.sum()), np.log(n / n.sum(1, keepdims=True))
+    return flat.astype(np.float32)
+
+
+def contexts(ids: np.ndarray, outside: int) -> np.ndarray:
     """For each word the classes around it: a row of 2 SIDE."""
-    padded = np.concatenate([np.full(SIDE, OUTSIDE, np.int32), ids, np.full(SIDE, OUTSIDE, np.int32)])
+    padded = np.concatenate([np.full(SIDE, outside, np.int32), ids, np.full(SIDE, outside, np.int32)])
     return np.stack([padded[k : k + len(ids)] for k in range(2 * SIDE + 1) if k != SIDE], 1)
 
 
-def _bounded(z: np.ndarray, w: np.ndarray, b: float | np.ndarray = 0.0, most: float = 60) -> np.ndarray:
-    """z = h w + b, where h is within 1, clipped in place if it may leave the range of its exponential."""
-    return np.clip(z, -most, most, out=z) if float((np.abs(w).sum(0) + np.abs(b)).max()) > most else z
+def _log_softmax(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """z's rows less their largest, their exponentials in place of z, and the logarithm of these's sums."""
+    z -= z.max(1, keepdims=True)
+    e = np.exp(z)
+    return e, z - np.log(e.sum(1, keepdims=True))
 
 
 class Network:
-    def __init__(self, flat: np.ndarray, spelling: Spelling | None = None):
-        self.flat = flat.astype(np.float32).copy()
-        self.parts, self.spelling = unpacked(self.flat), spelling
-        self.m, self.v, self.t = np.zeros_like(self.flat), np.zeros_like(self.flat), 0
-        self.grads = np.zeros_like(self.flat)
+    def __init__(self, flat: np.ndarray, base: int, spelling: Spelling | None = None):
+        self.flat, self.base, self.size = flat.astype(np.float32).copy(), base, size_of(base)
+        self.parts, self.spelling = unpacked(self.flat, base), spelling
+        self.m, self.v, self.t, self.grads = None, None, 0, None
 
-    def spelt(self, h: np.ndarray, pairs: tuple[np.ndarray, ...], grad: np.ndarray | None = None) -> float | np.ndarray:
-        """The log probability of spelling words by their byte pairs, given their hidden layers; with grad, which gets
-        the gradient of its negative by the parameters, instead that by h.
+    def spelt(self, h: np.ndarray, pairs: tuple[np.ndarray, ...], grad: np.ndarray | None = None) -> np.ndarray:
+        """The log probability of spelling each word by its byte pairs, given the hidden layers; with grad, which gets
+        the gradient of their negative sum by the parameters, instead that by h.
 
         A byte b behind a has the probability table[a, b] e[b] / z[a], where e depends on the word's sides and z is the
         sum of table[a] e: so a word needs one product with the table, however long it is.
         """
         (row, first, second), k, s = pairs, self.spelling.size, self.spelling
-        u = self.flat[SIZE:].reshape(HIDDEN, k)
-        a = _bounded(h @ u, u, most=30)
+        u = self.flat[self.size :].reshape(HIDDEN, k)
+        a = np.clip(h @ u, -30, 30)
         e = np.exp(a)
         at, to = row * k + first, row * k + second
         z = (e @ s.table.T).ravel().take(at)
         if grad is None:
-            return float(s.log.take(first * k + second).sum() + a.ravel().take(to).sum(dtype=np.float64) - np.log(z).sum(dtype=np.float64))
+            one = s.log.take(first * k + second) + a.ravel().take(to) - np.log(z)
+            return np.bincount(row, one, len(h))
         seen = np.bincount(at, 1 / z, len(h) * k).astype(np.float32).reshape(-1, k)
         e *= seen @ s.table
         e -= np.bincount(to, minlength=len(h) * k).reshape(-1, k)
         grad.reshape(HIDDEN, k)[:] = h.T @ e
         return e @ u.T
 
+    def classes(self, h: np.ndarray, y: np.ndarray, grads: list[np.ndarray] | None = None) -> np.ndarray:
+        """The log probability of each class y given the hidden layers; with grads (those of the last four parts), which get the gradient
+        of their negative sum, instead that by h."""
+        w2, b2, w3, b3 = self.parts[3:]
+        group, place = np.divmod(y, self.base)
+        order = np.argsort(group, kind="stable")
+        edges = np.searchsorted(group[order], np.arange(self.base + 1))
+        here = np.arange(len(y))
+        z = h @ w2
+        z += b2
+        e, lp = _log_softmax(z)
+        out = lp[here, group]
+        if grads is not None:
+            e /= e.sum(1, keepdims=True)
+            e[here, group] -= 1
+            grads[0][:], grads[1][:] = h.T @ e, e.sum(0)
+            grads[2][:] = 0
+            grads[3][:] = 0
+            out = e @ w2.T
+        for g in np.flatnonzero(np.diff(edges)):
+            rows = order[edges[g] : edges[g + 1]]
+            own = h[rows]
+            z = own @ w3[g]
+            z += b3[g]
+            e, lp = _log_softmax(z)
+            at = np.arange(len(rows)), place[rows]
+            if grads is None:
+                out[rows] += lp[at]
+                continue
+            e /= e.sum(1, keepdims=True)
+            e[at] -= 1
+            grads[2][g], grads[3][g] = own.T @ e, e.sum(0)
+            out[rows] += e @ w3[g].T
+        return out
+
     def step(self, ctx: np.ndarray, y: np.ndarray, pairs: tuple[np.ndarray, ...] | None = None) -> None:
         """One step of Adam on masked words y between ctx; pairs: the byte pairs of those of class OTHER."""
-        e, w1, b1, w2, b2 = self.parts
-        ge, g1, gb1, g2, gb2 = unpacked(self.grads)
+        if self.grads is None:
+            self.m, self.v, self.grads = (np.zeros_like(self.flat) for _ in range(3))
+        e, w1, b1 = self.parts[:3]
+        ge, g1, gb1, *rest = unpacked(self.grads, self.base)
         n = len(y)
         x = e[ctx].reshape(n, -1)
         h = np.tanh(x @ w1 + b1)
-        p = h @ w2
-        p += b2
-        np.exp(_bounded(p, w2, b2), out=p)
-        p *= 1 / (n * p.sum(1, keepdims=True))
-        p[np.arange(n), y] -= np.float32(1 / n)
-        g2[:], gb2[:] = h.T @ p, p.sum(0)
-        dh = p @ w2.T
+        dh = self.classes(h, y, rest)
         if pairs is not None:
-            others, grad = np.flatnonzero(y == OTHER), self.grads[SIZE:]
-            dh[others] += self.spelt(h[others], pairs, grad) / np.float32(n)
-            grad /= n
+            others = np.flatnonzero(y == OTHER)
+            dh[others] += self.spelt(h[others], pairs, self.grads[self.size :])
         dh *= 1 - h * h
         g1[:], gb1[:] = x.T @ dh, dh.sum(0)
         dx, ge[:] = (dh @ w1.T).reshape(-1, WIDTH), 0
         flat = ctx.reshape(-1)
-        order = np.argsort(flat.astype(np.int16), kind="stable")
+        order = np.argsort(flat, kind="stable")
         at = np.flatnonzero(np.diff(flat[order], prepend=-1))
         ge[flat[order][at]] = np.add.reduceat(dx[order], at, axis=0)
+        self.grads /= n
         self.t += 1
         self.m += 0.1 * (self.grads - self.m)
         self.v += 0.001 * (self.grads**2 - self.v)
         rate = RATE * np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t)
         self.flat -= (rate * self.m / (np.sqrt(self.v) + 1e-8)).astype(np.float32)
 
-    def log_probability(self, ids: np.ndarray, spelt: Spelt | None = None) -> float:
-        """The sum over all words of a document, each given both sides."""
-        e, w1, b1, w2, b2 = self.parts
+    def log_probabilities(self, docs: list[tuple[np.ndarray, Spelt]]) -> np.ndarray:
+        """For each document the sum over its words, each given both sides."""
+        e, w1, b1 = self.parts[:3]
         sides = [e @ w1[k * WIDTH : (k + 1) * WIDTH] for k in range(2 * SIDE)]
-        total, ctx, done = 0.0, contexts(ids), 0
-        small = float((np.abs(w2).sum(0) + np.abs(b2)).max()) < 80  # then no exponential leaves its range
-        for at in range(0, len(ids), POSITIONS):
-            c, y = ctx[at : at + POSITIONS], ids[at : at + POSITIONS]
-            h = sum(s[c[:, k]] for k, s in enumerate(sides))
+        lengths = np.array([len(ids) for ids, _ in docs])
+        edge = np.full(SIDE, self.base * self.base, np.int32)
+        padded = np.concatenate([edge, *(x for ids, _ in docs for x in (ids, edge))])
+        of = np.repeat(np.arange(len(docs)), lengths)
+        spelt = Spelt.joined([s for _, s in docs])
+        total, done = np.zeros(len(docs)), 0
+        for at in range(0, len(of), POSITIONS):
+            own = of[at : at + POSITIONS]
+            place = np.arange(at, at + len(own)) + SIDE * (own + 1)
+            y = padded[place]
+            h = sum(s[padded[place + k]] for s, k in zip(sides, (k for k in range(-SIDE, SIDE + 1) if k), strict=True))
             h += b1
             np.tanh(h, out=h)
-            if spelt is not None and len(others := np.flatnonzero(y == OTHER)):
-                total += self.spelt(h[others], spelt.pairs(np.arange(done, done + len(others))))
+            one = self.classes(h, y).astype(np.float64)
+            if self.spelling is not None and len(others := np.flatnonzero(y == OTHER)):
+                one[others] += self.spelt(h[others], spelt.pairs(np.arange(done, done + len(others))))
                 done += len(others)
-            z = h @ w2
-            z += b2
-            if not small:
-                np.clip(z, -60, 60, out=z)
-            right = z[np.arange(len(y)), y].sum(dtype=np.float64)
-            np.exp(z, out=z)
-            total += right - np.log(z.sum(1)).sum(dtype=np.float64)
-        return float(total)
-
-
-def train(texts: Iterator[str], to_classes: Words, net: Network, seed: int, turn: int) -> int:
-    """Trains net on each ROUNDS-th of the texts' words, masked, from turn on; the number of words it was trained on."""
+            total += np.bincount(own, one, len(docs))
+        return total
+
+
+def train(texts: Iterator[str], to_classes: Words, net: Network, seed: int) -> int:
+    """Trains net on the texts' words, each masked once; the number of words it was trained on."""
     rng, seen = np.random.default_rng(seed), 0
     held: list[tuple[np.ndarray, np.ndarray, Spelt]] = []
     have = 0
@@ -302,13 +383,11 @@ def train(texts: Iterator[str], to_classes: Words, net: Network, seed: int, turn
 
     for text in texts:
         ids, spelt = to_classes(text)
-        at = np.arange(turn, len(ids), ROUNDS)
-        if not len(at):
+        if not len(ids):
             continue
-        others = (np.cumsum(ids == OTHER) - 1)[at][ids[at] == OTHER]
-        held.append((contexts(ids)[at], ids[at], Spelt(spelt.symbols, spelt.starts[others], spelt.lengths[others])))
-        have += len(at)
-        if have >= 32 * BATCH:
+        held.append((contexts(ids, net.base * net.base), ids, spelt))
+        have += len(ids)
+        if have >= 16 * BATCH:
             steps()
             seen, held, have = seen + have, [], 0
     if have:
@@ -316,25 +395,40 @@ def train(texts: Iterator[str], to_classes: Words, net: Network, seed: int, turn
     return seen + have
 
 
-def _round(docs: DataFrame, words: list[str], spelling: Spelling, flat: np.ndarray, seed: int, turn: int) -> np.ndarray:
-    """The parameters that all partitions arrive at from flat, averaged by the positions they trained on."""
+def _round(docs: DataFrame, known: Vocabulary, flat: np.ndarray, seed: int, turn: int) -> np.ndarray:
+    """The parameters that all shards of a round arrive at from flat, averaged by the words they trained on."""
+    words, spelling, base = known.words, known.spelling, known.base
+    shards = max(1, round(known.tokens / ROUNDS / max(SHARD_WORDS, WORDS_A_PARAMETER * len(flat))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        to_classes, net, pid = Words(words, spelling), Network(flat, spelling), 0
+        to_classes, at, rows = Words(words, spelling), None, iter(())
 
-        def texts() -> Iterator[str]:
-            nonlocal pid
+        def ordered() -> Iterator[tuple[int, str]]:
             for batch in batches:
-                for t, doc in zip(batch.column("text"), batch.column("pid"), strict=True):
-                    pid = doc.as_py()
-                    yield t.as_py()
-
-        seen = train(texts(), to_classes, net, seed, turn)
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([pid], pa.int32()), pa.array([float(seen)]), pa.array([net.flat.tobytes()], pa.binary())], names=["pid", "w", "p"])
-
-    trained = docs.select("text", F.spark_partition_id().alias("pid")).mapInArrow(run, "pid int, w double, p binary")
-    weight, total = _collected(_summed(trained, "p", "<f4"))
+                for shard, t in zip(batch.column("shard"), batch.column("text"), strict=True):
+                    yield shard.as_py(), t.as_py()
+
+        rows = ordered()
+        at = next(rows, None)
+        while at is not None:
+            shard, net = at[0], Network(flat, base, spelling)
+
+            def own() -> Iterator[str]:
+                nonlocal at
+                while at is not None and at[0] == shard:  # noqa: B023
+                    yield at[1]
+                    at = next(rows, None)
+
+            seen = train(own(), to_classes, net, seed + shard)
+            if seen:
+                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([float(seen)]), pa.array([net.flat.tobytes()], pa.binary())], names=["pid", "w", "p"])
+
+    hashed = docs.select("text", F.xxhash64(F.lit(seed), "text").alias("h")).where(F.pmod("h", F.lit(ROUNDS)) == turn)
+    dealt = hashed.withColumn("shard", F.pmod(F.shiftright("h", 8), F.lit(shards)))
+    # A shard is a task's: a bounded number of words and the texts they end in.
+    laid = dealt.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "h", "text")
+    trained = laid.select("shard", "text").mapInArrow(run, "pid long, w double, p binary")
+    weight, total = _collected(_summed(trained, "p", "<f4", max(1, min(32, (1 << 23) // len(flat)))))
     return flat if total is None else (total / weight).astype(np.float32)
 
 
@@ -344,24 +438,31 @@ _ready: dict[str, tuple[Words, Network]] = {}
 def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", seed: int = 11) -> DataFrame:
     """doc_id, n_tokens, log_likelihood (summed), mean_log_likelihood (a token)."""
     texts = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    words, spelling = vocabulary(texts)
-    flat = start(seed, spelling.size)
-    for r in range(ROUNDS):
-        flat = _round(texts, words, spelling, flat, seed + r, r)
+    known = vocabulary(texts)
+    words, spelling, base = known.words, known.spelling, known.base
+    flat = start(seed, base, spelling.size, np.array([known.tokens - sum(known.counts), *known.counts]))
+    for turn in range(ROUNDS if known.tokens else 0):
+        flat = _round(texts, known, flat, seed, turn)
     name = hashlib.sha256(flat.tobytes() + "\n".join(words).encode() + spelling.symbol.tobytes() + spelling.table.tobytes()).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if name not in _ready:
             _ready.clear()
-            _ready[name] = Words(words, spelling), Network(flat, spelling)
+            _ready[name] = Words(words, spelling), Network(flat, base, spelling)
         to_classes, net = _ready[name]
         for batch in batches:
-            counts, sums = [], []
+            counts, sums, held, have = [], [], [], 0
             for t in batch.column("text"):
-                ids, spelt = to_classes(t.as_py())
-                counts.append(len(ids))
-                sums.append(net.log_probability(ids, spelt))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(sums, pa.float64())], names=["doc_id", "n_tokens", "log_likelihood"])
+                held.append(to_classes(t.as_py()))
+                counts.append(len(held[-1][0]))
+                have += counts[-1]
+                if have >= 4 * POSITIONS:
+                    sums.append(net.log_probabilities(held))
+                    held, have = [], 0
+            if held:
+                sums.append(net.log_probabilities(held))
+            made = np.concatenate(sums) if sums else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(np.round(made, 3) + 0.0)], names=["doc_id", "n_tokens", "log_likelihood"])
 
     kind = dict(texts.dtypes)["doc_id"]
     return texts.mapInArrow(run, f"doc_id {kind}, n_tokens long, log_likelihood double").withColumn(
