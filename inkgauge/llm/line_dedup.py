@@ -23,29 +23,37 @@ from ._shared import join_small
 BLOCKS = "address|article|aside|blockquote|body|br|dd|div|dl|dt|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul"
 
 
+SCRIPTS = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->"
+BROKEN = rf"(?i)</?(?:{BLOCKS})\b[^>]*>"
+TAG = r"</?[A-Za-z!][^>]*>"
+ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)"
+BLANKS = " \t\r\f\v"
+
+
 def host_of(url: Column) -> Column:
     """The lower-case host of a URL, without user and port; null if there is none."""
-    found = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1))
+    found = F.lower(F.regexp_extract(url, HOST, 1))
     return F.when(found != "", found)
 
 
 def html_text(html: Column) -> Column:
     """A page's text with a line for each block element; scripts, styles and comments are left out."""
-    bare = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", "")
-    broken = F.regexp_replace(bare, rf"(?i)</?(?:{BLOCKS})\b[^>]*>", "\n")
-    text = F.regexp_replace(broken, r"</?[A-Za-z!][^>]*>", "")
-    for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+    bare = F.regexp_replace(html, SCRIPTS, "")
+    broken = F.regexp_replace(bare, BROKEN, "\n")
+    text = F.regexp_replace(broken, TAG, "")
+    for name, char in ENTITIES:
         text = F.replace(text, F.lit(name), F.lit(char))
     return text
 
 
 def _key(line: Column) -> Column:
-    return F.xxhash64(F.btrim(line, F.lit(" \t\r\f\v")))
+    return F.xxhash64(F.btrim(line, F.lit(BLANKS)))
 
 
 def boilerplate(pages: DataFrame, ratio: float, min_pages: int) -> DataFrame:
     """pages(__host, __text) -> a row for each host that has boilerplate: __host, __drop (hashes of its lines)."""
-    lines = F.filter(F.split("__text", "\n"), lambda x: F.btrim(x, F.lit(" \t\r\f\v")) != "")
+    lines = F.filter(F.split("__text", "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
     counts = (
         pages.select("__host", F.explode(F.array_distinct(F.transform(lines, _key))).alias("line"))
         .groupBy("__host", "line")
@@ -69,14 +77,14 @@ def drop_site_lines(
     drop = boilerplate(base.select("__host", "__text"), ratio, min_pages)
     gone = lambda x: F.array_contains("__drop", _key(x))
     lines = F.split("__text", "\n")
-    full = F.filter(lines, lambda x: F.btrim(x, F.lit(" \t\r\f\v")) != "")
+    full = F.filter(lines, lambda x: F.btrim(x, F.lit(BLANKS)) != "")
     added = ("host", "kept_text", "n_lines", "n_dropped")
     return join_small(base, drop, ["__host"]).select(
         *[c for c in pages.columns if c not in added],
         F.col("__host").alias("host"),
         F.when(F.col("__drop").isNull(), F.col("__text"))
-        .otherwise(F.array_join(F.filter(lines, lambda x: (F.btrim(x, F.lit(" \t\r\f\v")) == "") | ~gone(x)), "\n"))
+        .otherwise(F.array_join(F.filter(lines, lambda x: (F.btrim(x, F.lit(BLANKS)) == "") | ~gone(x)), "\n"))
         .alias("kept_text"),
-        F.coalesce(F.size(full), F.lit(0)).alias("n_lines"),
-        F.when(F.col("__drop").isNull() | F.col("__text").isNull(), F.lit(0)).otherwise(F.size(F.filter(full, gone))).alias("n_dropped"),
+        F.coalesce(F.size(full), F.lit(0)).cast("long").alias("n_lines"),
+        F.when(F.col("__drop").isNull() | F.col("__text").isNull(), F.lit(0)).otherwise(F.size(F.filter(full, gone))).cast("long").alias("n_dropped"),
     )

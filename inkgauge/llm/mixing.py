@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import WORD, global_rank, text_of, written
+from ._shared import BROADCAST_ROWS, WORD, global_rank, join_small, text_of, written
 
 HASH_BITS = 62
 #: A range of hashes is narrowed until no source has more rows in it.
@@ -66,7 +66,8 @@ def _limits(narrow: DataFrame, targets: DataFrame) -> DataFrame:
         .withColumn("within", F.col("rows")),
         "mix-state",
     )
-    inside = lambda rows, s: rows.alias("r").join(s.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source"))).where(
+    few = targets.count() <= BROADCAST_ROWS  # one row for each source; more of them are joined by their hashes
+    inside = lambda rows, s: rows.alias("r").join((F.broadcast(s) if few else s).alias("s"), F.col("r.source").eqNullSafe(F.col("s.source"))).where(
         "r.size > 0 and r.u >= s.lo and r.u - s.lo <= shiftleft(1L, s.width) - 1"
     )
     for _ in range(HASH_BITS // 12 + 1):
@@ -144,7 +145,7 @@ def mix(
     """docs with size (words), source_size, target (words, its source's), repetitions and taken (words).
 
     Two passes over the texts, which count words; what else is read is four numbers a row. Sources are joined
-    to the rows by size: Spark broadcasts their table where it is small, and splits hot sources where it isn't.
+    to the rows by join_small, so a hot source is split.
     """
     added = ("size", "source_size", "target", "repetitions", "taken")
     size = F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long")
@@ -153,14 +154,13 @@ def mix(
     sources = narrow.groupBy("source").agg(
         F.sum("size").alias("source_size"), F.count(F.when(F.col("size") > 0, 1)).alias("rows")
     )
-    limits = written(_limits(narrow, source_targets(sources, weights, max_epochs)), "mix-limits").select(
+    limits = _limits(narrow, written(source_targets(sources, weights, max_epochs), "mix-targets")).select(
         F.col("source").alias("__source"), *[F.col(c).alias(f"__{c}") for c in ("source_size", "target", "whole", "lo", "picked")]
     )
     kept = [c for c in docs.columns if c not in added]
+    rows = docs.withColumn("__size", size).withColumn("__u", u).withColumn("__source", F.col(source_col))
     return (
-        docs.withColumn("__size", size)
-        .withColumn("__u", u)
-        .join(limits, F.col(source_col).eqNullSafe(F.col("__source")))
+        join_small(rows, limits, ["__source"], "inner")
         .withColumn(
             "__n",
             F.col("__whole")

@@ -20,7 +20,7 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
     return mix(_read(spark, sf_dir, "documents").select("doc_id", "text", "source")).select(
-        "doc_id", "source", "size", "source_size", "target", "repetitions", "taken"
+        "doc_id", "size", "source_size", "target", "taken", "source", "repetitions"
     )
 
 
@@ -93,4 +93,34 @@ QUERIES = {
     f.__name__: f
     for f in (op1_surrogates, op2_pack_power_of_two, op3_toxicity, op4_media_containers, op5_nearest, op6_mix_sources, op7_ngram_jaccard, op8_line_dedup, op9_warc, op10_pseudo_likelihood)
 }
-ORACLE_SQL: dict[str, str] = {}
+
+
+def _line_sql() -> str:
+    from . import line_dedup as L
+
+    q = lambda x: x.replace("'", "''")
+    text = f"regexp_replace(regexp_replace(regexp_replace(html, '{L.SCRIPTS}', '', 'g'), '{L.BROKEN}', chr(10), 'g'), '{L.TAG}', '', 'g')"
+    for name, char in L.ENTITIES:
+        text = f"replace({text}, '{q(name)}', '{q(char)}')"
+    trim = lambda x: f"trim({x}, {' || '.join(f'chr({ord(c)})' for c in L.BLANKS)})"
+    return f"""WITH p AS (SELECT page_id, nullif(lower(regexp_extract(url, '{L.HOST}', 1)), '') AS host, string_split({text}, chr(10)) AS lines FROM pages),
+l AS (SELECT DISTINCT page_id, host, {trim('x')} AS line FROM (SELECT page_id, host, unnest(lines) AS x FROM p) WHERE {trim('x')} <> ''),
+h AS (SELECT host, count(*) AS pages FROM p GROUP BY 1),
+c AS (SELECT host, line, count(*) AS n FROM l GROUP BY ALL),
+d AS (SELECT c.host, list(line) AS gone FROM c JOIN h ON c.host IS NOT DISTINCT FROM h.host WHERE n >= 5 AND n > 0.1::DOUBLE * pages GROUP BY 1)
+SELECT page_id, p.host, len(list_filter(lines, lambda x: {trim('x')} <> ''))::BIGINT AS n_lines,
+  len(list_filter(lines, lambda x: {trim('x')} <> '' AND list_contains(coalesce(gone, []), {trim('x')})))::BIGINT AS n_dropped,
+  array_to_string(list_filter(lines, lambda x: {trim('x')} = '' OR NOT list_contains(coalesce(gone, []), {trim('x')})), chr(10)) AS kept_text
+FROM p LEFT JOIN d ON p.host IS NOT DISTINCT FROM d.host"""
+
+
+def _warc_sql() -> str:
+    from .warc import BASE32
+
+    letters = [f"substr('{BASE32}', ((('0x' || substr(h, {g * 5 + 1}, 5))::BIGINT >> {15 - 5 * k}) & 31)::INT + 1, 1)" for g in range(8) for k in range(4)]
+    return f"""WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)
+SELECT page_id, payload_bytes, {' || '.join(letters)} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to FROM p"""
+
+
+ORACLE_SQL: dict[str, str] = {"op8_line_dedup": _line_sql(), "op9_warc": _warc_sql()}
