@@ -22,13 +22,20 @@ ORACLE_SQL = None
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the model, learnt from these documents' labels, doesn't call toxic."""
+    """Documents that the model, learnt from these documents' labels, doesn't call toxic.
+
+    Null and empty texts are scored as texts without windows; rows alike are judged alike; an empty table stays empty.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     return score(docs, fit(docs, labels)).where("predicted = 0").select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that over a tenth of their source's documents hold; a source is a site."""
+    """Documents without the lines that over a tenth of their source's documents hold; a source is a site.
+
+    A null source is a site; null texts stay null and hold no lines; a document that loses lines has its characters
+    counted anew; one of which nothing is left stays, empty; repeated rows count as documents of their own.
+    """
     kept = drop_site_lines(docs.select(*COLUMNS), F.col("source"), F.col("text"))
     return kept.select(
         "doc_id", F.col("kept_text").alias("text"), "lang", "source",
@@ -37,23 +44,29 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id; of rows of one id, one; rows without id stay."""
+    """Of each group of linked documents the one with the smallest id.
+
+    Of rows of one id the smallest by text, language, source and characters (nulls first) stays. Texts without words are
+    linked with nothing and stay, as do rows without an id.
+    """
     docs = docs.select(*COLUMNS)
     found = written(jaccard_components(docs).select("doc_id", "component_id"), "components")
     gone = found.where("doc_id != component_id").select("doc_id").distinct().withColumn("__gone", F.lit(True))
     twice = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", F.lit(True).alias("__twice"))
     left = join_small(join_small(docs, gone, ["doc_id"]).where("__gone is null"), twice, ["doc_id"])
     once = left.where("__twice is null").select(*COLUMNS)
-    return once.unionByName(left.where("__twice").select(*COLUMNS).dropDuplicates(["doc_id"]))
+    # Partial minima: however often an id is repeated, one row of it leaves a task.
+    first = left.where("__twice").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("r")).select("doc_id", "r.*")
+    return once.unionByName(first)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them; those without words are never taken. A null source is a source, the last."""
     return repeated(mix(docs.select(*COLUMNS)), COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sequences of the mix, with a digest of their ids."""
+    """The sequences of the mix, with a digest of their ids. Null text is empty; each repetition of a row has its own sequences."""
     import public_tokenizers
 
     packed = pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
