@@ -14,7 +14,7 @@ from ..functions import maths as M
 from ..functions import text as T
 from ..operators import detectors as D
 from ..operators import edits, evaluate, markdown, pairs, provenance
-from ..sources.files import output_name, spread
+from ..sources.files import output_name, shared_folder, spread
 from ..streaming import detect as stream
 from . import sql
 
@@ -447,11 +447,9 @@ def event_rates(spark, sf_dir):
 @query
 def streaming_detect(spark, sf_dir):
     """The detectors over documents as a stream, until all files that are there are read."""
-    import tempfile
     import uuid
 
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="inkgauge-")
-    work = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
+    work = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex[:12]}"
     path = f"{sf_dir}/documents.parquet"
     schema = spark.read.parquet(path).schema
     source = path if spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(spark._jvm.org.apache.hadoop.fs.Path(path)).isDirectory() else f"{sf_dir}/documents*.parquet"

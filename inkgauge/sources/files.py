@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +28,10 @@ def read_bytes(spark: SparkSession, *paths: str, most: int = MOST_BYTES, glob: s
 
 
 def read_documents(spark: SparkSession, *paths: str, suffixes: tuple[str, ...] = SUFFIXES, most: int = MOST_BYTES) -> DataFrame:
-    """path, text, error of files by suffix: one that is too large or isn't UTF-8 has an error and no text, and stops nothing else."""
+    """path, text, error of files by suffix: one that is too large or isn't UTF-8 has an error and no text, and stops nothing else.
+
+    Spark leaves files without a byte out of its scans.
+    """
     rows = read_bytes(spark, *paths, most=most, glob="*.{" + ",".join(suffixes) + "}")
     bad = F.col("content").isNotNull() & ~F.is_valid_utf8(F.col("content").cast("string"))
     return rows.select(
@@ -40,6 +45,17 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or on one machine a temporary one where it is unset."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="inkgauge-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")
+
+
 def as_json(df: DataFrame) -> DataFrame:
     """json: each row as an object."""
     return df.select(F.to_json(F.struct(*df.columns)).alias("json"))
