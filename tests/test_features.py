@@ -145,3 +145,103 @@ def test_evaluation_report_and_cli(spark, tmp_path, capsys):
     assert cli.main(["detect", str(tmp_path), "--json"]) == 0 and "ensemble_score" in capsys.readouterr().out
     assert cli.main(["version"]) == 0
     assert cli.main(["--config", str(tmp_path / "none.toml"), "version"]) == 2
+
+
+def test_batch_isolates_files_that_fail(spark, tmp_path, capsys):
+    from inkgauge import cli
+    from inkgauge.operators import evaluate
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.md").write_text(ESSAY)
+    (tmp_path / "in/b.txt").write_bytes(b"caf\xe9 \xff\xfe")
+    (tmp_path / "in/c.txt").write_text("\n")
+    (tmp_path / "in/d.exe").write_text("not looked at")
+    assert evaluate.detect_batch(spark, str(tmp_path / "in"), str(tmp_path / "out")) == (2, 1)
+    rows = {r["name"]: r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert sorted(rows) == ["a.md.score", "b.txt.score", "c.txt.score"]
+    assert rows["b.txt.score"]["error"] == "not UTF-8" and rows["b.txt.score"]["ensemble_score"] is None and rows["a.md.score"]["label"]
+    assert cli.main(["batch", str(tmp_path / "in"), str(tmp_path / "out2")]) == 1
+    (tmp_path / "in/b.txt").unlink()
+    assert cli.main(["batch", str(tmp_path / "in"), str(tmp_path / "out3")]) == 0
+    assert cli.main(["doctor"]) == 0 and "numpy" in capsys.readouterr().out
+
+
+def test_settings_are_found_and_checked(tmp_path, monkeypatch):
+    from inkgauge.config import ConfigError, load
+
+    monkeypatch.chdir(tmp_path)
+    monkeypatch.setenv("HOME", str(tmp_path / "home"))
+    assert load().seed == 13
+    (tmp_path / "home/.config/inkgauge").mkdir(parents=True)
+    (tmp_path / "home/.config/inkgauge/inkgauge.yml").write_text("seed: 5\n")
+    assert load().seed == 5
+    (tmp_path / "inkgauge.yaml").write_text("detect:\n  uncertain: 0.5\n  detectors: [classical]\n")
+    assert load().detect.uncertain == 0.5 and load().detect.detectors == ("classical",) and load().seed == 13
+    for text in ("a: [", "- 1\n", "unknown: 1\n", "detect:\n  uncertain: 7\n", "detect:\n  nothing: 1\n"):
+        (tmp_path / "x.yaml").write_text(text)
+        with pytest.raises(ConfigError):
+            load(tmp_path / "x.yaml")
+    with pytest.raises(ConfigError):
+        load(tmp_path / "missing.toml")
+
+
+def test_report_of_pairs(spark):
+    from inkgauge.operators import evaluate
+
+    pairs_of = spark.createDataFrame([(1, ESSAY, ESSAY), (2, ESSAY, NOTE), (3, "", "")], "pair_id long, original string, rewritten string")
+    rows = evaluate.evaluate(pairs_of, {})
+    got = {r["pair_id"]: r for r in rows.collect()}
+    assert got[1]["passed"] and got[1]["delta"] == 0 and got[1]["target_met"] == (got[1]["after"] <= 0.4) and not got[2]["target_met"]
+    told = evaluate.comparison_report(rows)
+    assert told.startswith("# Before and after") and "| 2 |" in told and "target_met" in told
+
+
+def test_similarity_by_vectors(spark):
+    rows = [(1, "a b c", "x y z", [1.0, 0.0], [1.0, 0.0]), (2, "a b c", "a b c", [1.0, 0.0], [0.0, 1.0]), (3, "a b", "a b", None, [1.0]), (4, "a", "a", [0.0, 0.0], [1.0, 0.0])]
+    d = spark.createDataFrame(rows, "pair_id long, original string, rewritten string, original_vector array<double>, rewritten_vector array<float>")
+    got = {r["pair_id"]: (r["method"], r["similarity"]) for r in pairs.compare(d).collect()}
+    assert got[1] == ("embeddings", 1.0) and got[2] == ("embeddings", 0.0) and got[4] == ("embeddings", 0.0)
+    assert got[3][0] == "ngrams" and got[3][1] == pytest.approx(1)
+
+
+def test_spans(spark, docs):
+    get = lambda c: spark.range(1).select(c.alias("x")).first()["x"]
+    text = "see https://a.example/b?jo@c.example, jo@c.example\n\U0001f389 x@y.example"
+    want = []
+    for p in (r"https?://[^\s)>\]]+", r"[\w.+\-]+@[\w\-]+\.[\w.\-]*\w"):
+        want += [m.span() for m in re.finditer(p, text)]
+    merged = []
+    for a, b in sorted(want):
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = max(b, merged[-1][1])
+        else:
+            merged.append([a, b])
+    assert [[s["start"], s["end"]] for s in get(T.protected_offsets(F.lit(text)))] == merged
+    assert get(T.protected_offsets(F.lit(""))) == [] and get(T.overlaps(F.lit(3), F.lit(3), F.array(F.struct(F.lit(2).alias("start"), F.lit(9).alias("end")))))
+    spans = F.expr("transform(sequence(1, 20), i -> named_struct('start', i, 'end', i + 1, 'score', double(i % 3)))")
+    assert [s["start"] for s in get(D.promoted_spans(spans))] == [*range(2, 21, 3), *range(1, 21, 3), *range(3, 21, 3)][:16]
+    assert get(D.whole_text_span(F.lit("a b"), F.lit(0.5)))[0]["end"] == 3 and get(D.whole_text_span(F.lit(" "), F.lit(0.5))) == []
+    row = D.detect(docs, {}).withColumn("f", D.family_score("watermark")).select("f", "statistical_score", "spans", "hot_spans").collect()
+    assert all(r["f"] == round(r["statistical_score"], 4) and len(r["spans"]) == min(16, len(r["hot_spans"])) for r in row)
+
+
+def test_scan_equals_the_hash_column(spark, docs):
+    """The Arrow scan against the same hash as JVM columns."""
+    d = X.scanned(X.parsed(docs)).withColumn("g", F.transform(F.sequence(F.lit(1), F.lit(2)), lambda i: i))
+    pair = lambda seed: F.zip_with(F.slice("lowers", 1, F.greatest(F.col("n") - 1, F.lit(0))), F.slice("lowers", 2, F.greatest(F.col("n") - 1, F.lit(0))), lambda p, t: X.green(p, t, seed))
+    from inkgauge import lexicon
+
+    seeds = lexicon.GREEN_SEEDS
+    rows = d.select("scan.*", *[pair(s).alias(f"s{s}") for s in seeds]).collect()
+    for r in rows:
+        assert r["hits"] == [sum(r[f"s{s}"]) for s in seeds] and r["first"] == r[f"s{seeds[0]}"] and r["second"] == r[f"s{seeds[1]}"]
+
+
+def test_unsplittable_scans_are_spread(spark, tmp_path):
+    from inkgauge.sources import files
+
+    spark.range(100).repartition(1).write.parquet(str(tmp_path / "one"))
+    spark.range(100).repartition(9).write.parquet(str(tmp_path / "many"))
+    one, many = (spark.read.parquet(str(tmp_path / x)) for x in ("one", "many"))
+    assert files.spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and files.spread(one).count() == 100
+    assert many.rdd.getNumPartitions() < 4 or files.spread(many) is many
