@@ -46,7 +46,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest id.
 
-    Of rows of one id the smallest by text, language, source and characters (nulls first) stays. Texts without words are
+    Of rows of one id the first by text (null last), language, source and characters stays. Texts without words are
     linked with nothing and stay, as do rows without an id.
     """
     docs = docs.select(*COLUMNS)
@@ -56,7 +56,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     left = join_small(join_small(docs, gone, ["doc_id"]).where("__gone is null"), twice, ["doc_id"])
     once = left.where("__twice is null").select(*COLUMNS)
     # Partial minima: however often an id is repeated, one row of it leaves a task.
-    first = left.where("__twice").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("r")).select("doc_id", "r.*")
+    order = F.struct(F.col("text").isNull().alias("none"), *COLUMNS[1:])
+    first = left.where("__twice").groupBy("doc_id").agg(F.min(order).alias("r")).select("doc_id", *[F.col(f"r.{c}") for c in COLUMNS[1:]])
     return once.unionByName(first)
 
 
