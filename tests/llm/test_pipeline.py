@@ -7,6 +7,7 @@ import sys
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from test_operators import plain_components, words
@@ -79,6 +80,25 @@ def test_mix_and_pack_agree(stages):
     assert len(ends) == len(stages[4]) and len({r["sequence_id"] for r in stages[5]}) == len(stages[5])
 
 
+def test_stages_on_awkward_tables(spark, tmp_path):
+    """No rows; extra columns named like what the stages add; repeated ids of which one row stays."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = [(1, "b " * 9, "en", "s", 18), (1, "a " * 9, "en", "s", 18), (1, None, "en", None, None), (2, "", None, None, 0), (None, "x", "de", "s", 1), (None, "x", "de", "s", 1)]
+    docs = spark.createDataFrame(rows, schema)
+    for c in ("score", "predicted", "held_out", "host", "kept_text", "n_dropped", "component_id", "component", "size", "target", "taken", "repetitions", "length", "start"):
+        docs = docs.withColumn(c, F.lit("mine"))
+    for k, (_, stage) in enumerate(P.STAGES):
+        none = stage(spark, docs.limit(0), str(tmp_path))
+        assert none.count() == 0
+        got = stage(spark, docs, str(tmp_path))
+        if k < len(P.STAGES) - 1:
+            assert none.columns == got.columns == P.COLUMNS
+    kept = P.near_copies(spark, docs, str(tmp_path)).collect()
+    assert sorted(str(r["doc_id"]) for r in kept) == ["1", "2", "None", "None"]
+    assert next(r["text"] for r in kept if r["doc_id"] == 1) == "a " * 9  # the first of the id's rows
+
+
 def test_the_rest_works_without_these_operators(tmp_path):
     """__spark_entry__ with the package but without llm and the pipeline."""
     os.makedirs(tmp_path / "inkgauge")
