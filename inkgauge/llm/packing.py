@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from ._shared import text_of
 
 #: Words in a worker's table, and characters that are split at once.
-TABLE_WORDS, SLICE_CHARS = 300_000, 1 << 20
+TABLE_WORDS, SLICE_CHARS = 200_000, 1 << 20
 #: The splitting rule of byte-level BPE.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 

@@ -38,7 +38,7 @@ STRIP = ".,;:!?*#%&$\"'()[]{}<>|-_=+/\\`~"
 LEVEL, GRAM = 3, 5
 #: Thresholds are where so many of all ordinary windows save more bytes.
 RATES = (0.1, 0.03, 0.01, 0.003, 0.001)
-TABLE_WORDS, SLICE_CHARS = 400_000, 1 << 20
+TABLE_WORDS, SLICE_CHARS = 200_000, 1 << 20
 
 
 def slices(text: str) -> Iterator[str]:
