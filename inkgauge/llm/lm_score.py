@@ -2,7 +2,7 @@
 
 Tokens are words, lower-cased and split at white space. The network sees the classes of `SIDE` words before and behind
 a masked one: embeddings, one hidden layer, and a softmax over the corpus's most frequent words and one class for all
-others. Classes grow with the corpus, as the square root of its tokens, up to `MOST_CLASSES`, so the softmax has two levels: classes are
+others. Classes grow with the corpus, as a quarter of the square root of its tokens, up to `MOST_CLASSES`, so the softmax has two levels: classes are
 laid by frequency into as many groups as each holds, a group's probability is given both sides, and a class's given its
 group and both sides. A word without a class is also spelt, byte by byte, from the same hidden layer: each byte's
 probability is the corpus's for the byte before it, tilted by what both sides say and normalised again. So the
@@ -37,11 +37,11 @@ from pyspark.sql import functions as F
 
 from ._shared import text_of, written
 
-LEAST_CLASSES, MOST_CLASSES, SIDE, WIDTH, HIDDEN = 256, 1 << 16, 2, 12, 24
-ROUNDS, BATCH, RATE = 2, 4096, 0.02
+LEAST_CLASSES, MOST_CLASSES, SIDE, WIDTH, HIDDEN = 256, 250 * 250, 2, 12, 24
+ROUNDS, BATCH, RATE = 2, 8192, 0.02
 #: Words that a shard is to have, and as many at least for each parameter.
 SHARD_WORDS, WORDS_A_PARAMETER = 1_000_000, 4
-TABLE_WORDS, SLICE_CHARS, POSITIONS = 300_000, 1 << 20, 16_384
+TABLE_WORDS, SLICE_CHARS, POSITIONS = 300_000, 1 << 20, 32_768
 #: Class 0 is for all other words.
 OTHER = 0
 #: Word counts are compared by this many ranges for each doubling when classes are chosen.
@@ -136,7 +136,7 @@ def vocabulary(docs: DataFrame) -> Vocabulary:
     _, total = _collected(_summed(pairs, "pairs", "<i8"))
     ranges = sorted(totals.groupBy("range").agg(F.count("*").alias("k"), F.sum("n").alias("n")).collect(), reverse=True)  # some thousands at most
     tokens = sum(r["n"] for r in ranges)
-    most, have, least = min(MOST_CLASSES, max(LEAST_CLASSES, math.isqrt(tokens))) - 1, 0, None
+    most, have, least = min(MOST_CLASSES, max(LEAST_CLASSES, math.isqrt(tokens) // 4)) - 1, 0, None
     for r in ranges:
         if (have := have + r["k"]) > most:
             break
@@ -244,11 +244,13 @@ def contexts(ids: np.ndarray, outside: int) -> np.ndarray:
     return np.stack([padded[k : k + len(ids)] for k in range(2 * SIDE + 1) if k != SIDE], 1)
 
 
-def _log_softmax(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """z's rows less their largest, their exponentials in place of z, and the logarithm of these's sums."""
-    z -= z.max(1, keepdims=True)
-    e = np.exp(z)
-    return e, z - np.log(e.sum(1, keepdims=True))
+def _exponentials(z: np.ndarray, safe: bool) -> np.ndarray:
+    """exp(z) in place, each row less its largest unless none can leave the range of its exponential; returns what was taken off."""
+    low = np.float32(0) if safe else z.max(1, keepdims=True)
+    if not safe:
+        z -= low
+    np.exp(z, out=z)
+    return low
 
 
 class Network:
@@ -279,39 +281,44 @@ class Network:
         grad.reshape(HIDDEN, k)[:] = h.T @ e
         return e @ u.T
 
-    def classes(self, h: np.ndarray, y: np.ndarray, grads: list[np.ndarray] | None = None) -> np.ndarray:
+    def bounded(self) -> bool:
+        """Whether no logit can leave the range of its exponential: hidden units lie within 1."""
+        w2, b2, w3, b3 = self.parts[3:]
+        return max(float((np.abs(w).sum(-2) + np.abs(b)).max()) for w, b in ((w2, b2), (w3, b3))) < 80
+
+    def classes(self, h: np.ndarray, y: np.ndarray, safe: bool = False, grads: list[np.ndarray] | None = None) -> np.ndarray:
         """The log probability of each class y given the hidden layers; with grads (those of the last four parts), which get the gradient
-        of their negative sum, instead that by h."""
+        of their negative sum, instead that by h. Rows are laid by their group, so each group's are a slice."""
         w2, b2, w3, b3 = self.parts[3:]
         group, place = np.divmod(y, self.base)
-        order = np.argsort(group, kind="stable")
-        edges = np.searchsorted(group[order], np.arange(self.base + 1))
-        here = np.arange(len(y))
-        z = h @ w2
-        z += b2
-        e, lp = _log_softmax(z)
-        out = lp[here, group]
+        order = np.argsort(group.astype(np.uint16), kind="stable")
+        group, place, h = group[order], place[order], h[order]
+        edges = np.searchsorted(group, np.arange(self.base + 1))
         if grads is not None:
-            e /= e.sum(1, keepdims=True)
-            e[here, group] -= 1
-            grads[0][:], grads[1][:] = h.T @ e, e.sum(0)
             grads[2][:] = 0
             grads[3][:] = 0
-            out = e @ w2.T
+
+        def level(own: np.ndarray, y: np.ndarray, w: np.ndarray, b: np.ndarray, gw: np.ndarray | None, gb: np.ndarray | None) -> np.ndarray:
+            z = own @ w
+            z += b
+            at = np.arange(len(y)), y
+            right = z[at]
+            low = _exponentials(z, safe)
+            total = z.sum(1, keepdims=True)
+            if gw is None:
+                return right - (low + np.log(total))[:, 0]
+            z /= total
+            z[at] -= 1
+            np.matmul(own.T, z, out=gw)
+            z.sum(0, out=gb)
+            return z @ w.T
+
+        made = level(h, group, w2, b2, *(grads[:2] if grads is not None else (None, None)))
         for g in np.flatnonzero(np.diff(edges)):
-            rows = order[edges[g] : edges[g + 1]]
-            own = h[rows]
-            z = own @ w3[g]
-            z += b3[g]
-            e, lp = _log_softmax(z)
-            at = np.arange(len(rows)), place[rows]
-            if grads is None:
-                out[rows] += lp[at]
-                continue
-            e /= e.sum(1, keepdims=True)
-            e[at] -= 1
-            grads[2][g], grads[3][g] = own.T @ e, e.sum(0)
-            out[rows] += e @ w3[g].T
+            i, j = edges[g], edges[g + 1]
+            made[i:j] += level(h[i:j], place[i:j], w3[g], b3[g], *((grads[2][g], grads[3][g]) if grads is not None else (None, None)))
+        out = np.empty_like(made)
+        out[order] = made
         return out
 
     def step(self, ctx: np.ndarray, y: np.ndarray, pairs: tuple[np.ndarray, ...] | None = None) -> None:
@@ -323,7 +330,7 @@ class Network:
         n = len(y)
         x = e[ctx].reshape(n, -1)
         h = np.tanh(x @ w1 + b1)
-        dh = self.classes(h, y, rest)
+        dh = self.classes(h, y, self.bounded(), rest)
         if pairs is not None:
             others = np.flatnonzero(y == OTHER)
             dh[others] += self.spelt(h[others], pairs, self.grads[self.size :])
@@ -331,9 +338,10 @@ class Network:
         g1[:], gb1[:] = x.T @ dh, dh.sum(0)
         dx, ge[:] = (dh @ w1.T).reshape(-1, WIDTH), 0
         flat = ctx.reshape(-1)
-        order = np.argsort(flat, kind="stable")
-        at = np.flatnonzero(np.diff(flat[order], prepend=-1))
-        ge[flat[order][at]] = np.add.reduceat(dx[order], at, axis=0)
+        order = np.argsort(flat.astype(np.uint16), kind="stable")  # there are fewer classes
+        flat = flat[order]
+        at = np.flatnonzero(np.diff(flat, prepend=-1))
+        ge[flat[at]] = np.add.reduceat(dx[order], at, axis=0)
         self.grads /= n
         self.t += 1
         self.m += 0.1 * (self.grads - self.m)
@@ -350,7 +358,7 @@ class Network:
         padded = np.concatenate([edge, *(x for ids, _ in docs for x in (ids, edge))])
         of = np.repeat(np.arange(len(docs)), lengths)
         spelt = Spelt.joined([s for _, s in docs])
-        total, done = np.zeros(len(docs)), 0
+        total, done, safe = np.zeros(len(docs)), 0, self.bounded()
         for at in range(0, len(of), POSITIONS):
             own = of[at : at + POSITIONS]
             place = np.arange(at, at + len(own)) + SIDE * (own + 1)
@@ -358,7 +366,7 @@ class Network:
             h = sum(s[padded[place + k]] for s, k in zip(sides, (k for k in range(-SIDE, SIDE + 1) if k), strict=True))
             h += b1
             np.tanh(h, out=h)
-            one = self.classes(h, y).astype(np.float64)
+            one = self.classes(h, y, safe).astype(np.float64)
             if self.spelling is not None and len(others := np.flatnonzero(y == OTHER)):
                 one[others] += self.spelt(h[others], spelt.pairs(np.arange(done, done + len(others))))
                 done += len(others)

@@ -664,10 +664,10 @@ def test_rounds_train_on_every_word_once(spark):
 
 def test_vocabulary_grows_with_the_corpus(spark):
     rng = np.random.default_rng(6)
-    small, large = ([(i, " ".join(f"w{int(k)}" for k in rng.zipf(1.2, 400) % 5000)) for i in range(n)] for n in (40, 800))
+    small, large = ([(i, " ".join(f"w{int(k)}" for k in rng.zipf(1.2, 8000) % 5000)) for i in range(n)] for n in (2, 300))
     known = [lm_score.vocabulary(spark.createDataFrame(rows, "doc_id long, text string")) for rows in (small, large)]
-    assert known[0].tokens == 16_000 and known[1].tokens == 320_000
-    assert len(known[0].words) < 256 <= len(known[1].words) < 566 and len(known[1].words) <= known[1].base ** 2 - 1
+    assert known[0].tokens == 16_000 and known[1].tokens == 2_400_000
+    assert len(known[0].words) < 256 < len(known[1].words) < 388 and len(known[1].words) <= known[1].base ** 2 - 1
     assert known[1].counts == sorted(known[1].counts, reverse=True)
 
 
