@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from ._shared import text_of, written
 
-LEAST_CLASSES, MOST_CLASSES, SIDE, WIDTH, HIDDEN = 256, 250 * 250, 2, 12, 24
+LEAST_CLASSES, MOST_CLASSES, SIDE, WIDTH, HIDDEN = 256, 250 * 250, 2, 8, 24
 ROUNDS, BATCH, RATE = 2, 8192, 0.02
 #: Words that a shard is to have, and as many at least for each parameter.
 SHARD_WORDS, WORDS_A_PARAMETER = 1_000_000, 4
@@ -70,19 +70,29 @@ def _counts(docs: DataFrame) -> DataFrame:
             )
 
         seen: Counter = Counter()
-        pairs = np.zeros(1 << 16, np.int64)
+        pairs, held, size = np.zeros(1 << 16, np.int64), [], 0
+
+        def count() -> None:
+            b = np.frombuffer(" ".join(["", *held, ""]).encode(), np.uint8).astype(np.uint16)
+            np.add(pairs, np.bincount((b[:-1] << 8) | b[1:], minlength=1 << 16), out=pairs)
+
         for batch in batches:
             for t in batch.column(0):
                 for part in slices(t.as_py().lower()):
                     seen.update(part.split())
-                    b = np.frombuffer(f" {part} ".encode(), np.uint8).astype(np.uint16)
-                    pairs += np.bincount((b[:-1] << 8) | b[1:], minlength=1 << 16)
+                    held.append(part)
+                    size += len(part)
+                    if size > SLICE_CHARS:
+                        count()
+                        held, size = [], 0
                 if len(seen) > 2 * TABLE_WORDS:
                     yield made(list(seen.items()), [None] * len(seen))
                     seen.clear()
         for at in range(0, len(seen), TABLE_WORDS):
             part = list(seen.items())[at : at + TABLE_WORDS]
             yield made(part, [None] * len(part))
+        if held:
+            count()
         yield made([(None, 1)], [pairs.tobytes()])
 
     return docs.select("text").mapInArrow(run, "word string, n long, pairs binary")
