@@ -6,18 +6,23 @@ the corpus. parsed() lays the arrays down once; the features below refer to its
 
 from __future__ import annotations
 
-import hashlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from .. import lexicon
 from . import maths as M
 from . import text as T
 
+try:
+    from _md5 import md5  # without the start-up of OpenSSL's, which is most of its time on short texts
+except ImportError:
+    from hashlib import md5
+
 
 def parsed(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with raw, toks, words, lowers, n (words), sents, sent_words (lower-cased), sent_lens (as doubles)."""
@@ -183,33 +188,40 @@ def green(prev: Column, tok: Column, seed: int) -> Column:
 KEPT_PAIRS = 200_000
 
 
-@F.pandas_udf(StructType([StructField(c, ArrayType(IntegerType())) for c in ("hits", "first", "second")]))
+_arrays = [StructField(c, ArrayType(IntegerType())) for c in ("hits", "first", "second")]
+
+
+@F.pandas_udf(StructType([*_arrays, StructField("pairs", IntegerType()), StructField("steady", DoubleType())]))
 def scan(lowers: pd.Series) -> pd.DataFrame:
-    """By seed, how many words of a document but the first are green; for the first two seeds, which ones are.
+    """By seed, how many words of a document but the first are green; for the first two seeds, which ones are. Beside
+    them the pairs of words that go on twice at least, and the sum of their commonest next words' shares.
 
     The same hash as green(), for arrays of words: a document's millions of hashes are made by a loop in an Arrow
     batch, since lambdas over arrays are not compiled in the JVM. Equal pairs of words are hashed once.
     """
-    md5, seeds = hashlib.md5, [f"{s}\x1f".encode() for s in lexicon.GREEN_SEEDS]
+    number, seeds = int.from_bytes, [(1 << i, f"{s}\x1f".encode()) for i, s in enumerate(lexicon.GREEN_SEEDS)]
     bits, known = np.arange(len(seeds)), {}
     out = []
     for words in lowers:
-        masks = []
-        for pair in zip(words[:-1], words[1:], strict=True):
+        words, masks = list(words), []
+        for pair in zip(words, words[1:]):  # noqa: B905
             mask = known.get(pair)
             if mask is None:
-                tail = f"{pair[0]}\x1f{pair[1]}\x1fg".encode()
-                mask = 0
-                for i, seed in enumerate(seeds):
-                    if (int.from_bytes(md5(seed + tail).digest()[:4], "big") >> 4) % 10_000 < 5_000:
-                        mask |= 1 << i
+                tail, mask = f"{pair[0]}\x1f{pair[1]}\x1fg".encode(), 0
+                for bit, seed in seeds:
+                    if (number(md5(seed + tail).digest()[:4]) >> 4) % 10_000 < 5_000:
+                        mask |= bit
                 if len(known) >= KEPT_PAIRS:
                     known.clear()
                 known[pair] = mask
             masks.append(mask)
         m = np.array(masks, np.int32)
-        out.append(((m[:, None] >> bits & 1).sum(0, dtype=np.int32), m & 1, m >> 1 & 1))
-    return pd.DataFrame(out, columns=["hits", "first", "second"])
+        before, top = Counter(zip(words, words[1:-1])), {}  # noqa: B905
+        for (x, y, _), n in Counter(zip(words, words[1:], words[2:])).items():  # noqa: B905
+            if before[x, y] > 1 and n > top.get((x, y), 0):
+                top[x, y] = n
+        out.append(((m[:, None] >> bits & 1).sum(0, dtype=np.int32), m & 1, m >> 1 & 1, len(top), sum(n / before[p] for p, n in top.items())))
+    return pd.DataFrame(out, columns=["hits", "first", "second", "pairs", "steady"])
 
 
 def scanned(d: DataFrame) -> DataFrame:
@@ -245,24 +257,9 @@ def multiseed_scan(d: DataFrame) -> DataFrame:
 
 def context_consistency(d: DataFrame) -> DataFrame:
     """parsed rows with context_consistency: how often word pairs go on with their commonest next word."""
-    # One pass over the sorted trigrams: c, t: a pair's trigrams and its commonest one's; r: those of the present one.
-    shut = "if(a.c >= 2, {0} + 1L, {0})".format
-    top = "greatest(a.t, a.r)"
-    d = d.withColumn("__g", F.array_sort(T.ngrams(F.col("lowers"), 3)))
-    d = d.withColumn(
-        "__c",
-        F.expr(
-            "aggregate(__g, named_struct('p', '', 'x', '', 'c', 0L, 't', 0L, 'r', 0L, 'k', 0L, 's', 0D), (a, x) -> "
-            "if(x = a.p, named_struct('p', x, 'x', a.x, 'c', a.c + 1L, 't', a.t, 'r', a.r + 1L, 'k', a.k, 's', a.s), "
-            "if(substring_index(x, '\\u001f', 2) = a.x, "
-            f"named_struct('p', x, 'x', a.x, 'c', a.c + 1L, 't', {top}, 'r', 1L, 'k', a.k, 's', a.s), "
-            f"named_struct('p', x, 'x', substring_index(x, '\\u001f', 2), 'c', 1L, 't', 0L, 'r', 1L, 'k', {shut('a.k')}, "
-            f"'s', a.s + if(a.c >= 2, {top} / cast(a.c as double), 0D)))), "
-            f"a -> named_struct('k', {shut('a.k')}, 's', a.s + if(a.c >= 2, {top} / cast(a.c as double), 0D)))"
-        ),
-    )
-    value = M.clamp((F.col("__c.s") / F.greatest(F.lit(1), F.col("__c.k")) - 0.35) / 0.5)
-    return d.withColumn("context_consistency", F.when(F.col("n") < 24, 0.0).when(F.col("__c.k") < 4, 0.15).otherwise(value)).drop("__g", "__c")
+    d = scanned(d)
+    value = M.clamp((F.col("scan.steady") / F.greatest(F.lit(1), F.col("scan.pairs")) - 0.35) / 0.5)
+    return d.withColumn("context_consistency", F.when(F.col("n") < 24, 0.0).when(F.col("scan.pairs") < 4, 0.15).otherwise(value))
 
 
 def _window_hits(green_col: str, window: int, stride: int) -> Column:

@@ -5,6 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 sys.path.insert(1, os.path.join(os.path.dirname(os.path.abspath(__file__)), "llm"))
+sys.path.insert(1, os.path.dirname(os.path.abspath(__file__)))
 
 
 @pytest.fixture(scope="session")

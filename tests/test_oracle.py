@@ -9,7 +9,7 @@ import pytest
 from inkgauge.plans import queries as plans
 
 SF = "/root/testdata/sf0.001"
-TABLES = "documents labels pages embeddings conversations benchmark".split()
+TABLES = "documents labels pages embeddings conversations benchmark events".split()
 
 
 @pytest.fixture(scope="module")
