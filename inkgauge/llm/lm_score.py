@@ -2,7 +2,7 @@
 
 Tokens are words, lower-cased and split at white space. The network sees the classes of `SIDE` words before and behind
 a masked one: embeddings, one hidden layer, and a softmax over the corpus's most frequent words and one class for all
-others. Classes grow with the corpus, as a quarter of the square root of its tokens, up to `MOST_CLASSES`, so the softmax has two levels: classes are
+others. Classes grow with the corpus, as a fifth of the square root of its tokens, up to `MOST_CLASSES`, so the softmax has two levels: classes are
 laid by frequency into as many groups as each holds, a group's probability is given both sides, and a class's given its
 group and both sides. A word without a class is also spelt, byte by byte, from the same hidden layer: each byte's
 probability is the corpus's for the byte before it, tilted by what both sides say and normalised again. So the
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from ._shared import text_of, written
 
-LEAST_CLASSES, MOST_CLASSES, SIDE, WIDTH, HIDDEN = 256, 250 * 250, 2, 8, 24
+LEAST_CLASSES, MOST_CLASSES, SIDE, WIDTH, HIDDEN = 256, 250 * 250, 2, 8, 16
 ROUNDS, BATCH, RATE = 2, 8192, 0.02
 #: Words that a shard is to have, and as many at least for each parameter.
 SHARD_WORDS, WORDS_A_PARAMETER = 1_000_000, 4
@@ -146,7 +146,7 @@ def vocabulary(docs: DataFrame) -> Vocabulary:
     _, total = _collected(_summed(pairs, "pairs", "<i8"))
     ranges = sorted(totals.groupBy("range").agg(F.count("*").alias("k"), F.sum("n").alias("n")).collect(), reverse=True)  # some thousands at most
     tokens = sum(r["n"] for r in ranges)
-    most, have, least = min(MOST_CLASSES, max(LEAST_CLASSES, math.isqrt(tokens) // 4)) - 1, 0, None
+    most, have, least = min(MOST_CLASSES, max(LEAST_CLASSES, math.isqrt(tokens) // 5)) - 1, 0, None
     for r in ranges:
         if (have := have + r["k"]) > most:
             break
