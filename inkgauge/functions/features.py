@@ -41,16 +41,16 @@ def parsed(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def runs(items: str, sort: bool = True) -> Column:
-    """Over an array's equal items: types, hapax (items that occur once), squares (of counts), entropy (in nats)."""
-    source = f"array_sort({items})" if sort else items
+def runs(items: str, kind: str = "bigint") -> Column:
+    """Over the equal items of an array column: types, hapax (items that occur once), squares (of counts), entropy (in nats)."""
+    source = f"sort_array({items})"
     share = f"a.r / cast(size({items}) as double)"
     closed = (
         f"'t', a.t + if(a.r > 0, 1L, 0L), 'h', a.h + if(a.r = 1, 1L, 0L), 'q', a.q + a.r * a.r, "
         f"'e', a.e - if(a.r > 0, {share} * ln({share} + 1e-12D), 0D)"
     )
     return F.expr(
-        f"aggregate({source}, named_struct('p', cast(null as string), 'r', 0L, 't', 0L, 'h', 0L, 'q', 0L, 'e', 0D), "
+        f"aggregate({source}, named_struct('p', cast(null as {kind}), 'r', 0L, 't', 0L, 'h', 0L, 'q', 0L, 'e', 0D), "
         f"(a, x) -> if(x <=> a.p, named_struct('p', a.p, 'r', a.r + 1L, 't', a.t, 'h', a.h, 'q', a.q, 'e', a.e), "
         f"named_struct('p', x, 'r', 1L, {closed})), "
         f"a -> named_struct('types', a.t + if(a.r > 0, 1L, 0L), 'hapax', a.h + if(a.r = 1, 1L, 0L), "
@@ -65,13 +65,13 @@ def _ratio(a: Column, b: Column) -> Column:
 def richness(d: DataFrame) -> DataFrame:
     """parsed rows with ttr, hapax, yules_k, honores_r."""
     n = F.col("n")
-    d = d.withColumn("__r", runs("lowers"))
+    d = d.withColumn("__h", T.hashed_ngrams(F.col("lowers"), 1)).withColumn("__r", runs("__h"))
     v, v1 = F.col("__r.types"), F.col("__r.hapax")
     return (
         d.withColumn("ttr", _ratio(v, n)).withColumn("hapax", _ratio(v1, n))
         .withColumn("yules_k", F.when(n < 8, 0.0).otherwise(1e4 * (F.col("__r.squares") - n) / (n.cast("double") * n)))
         .withColumn("honores_r", F.when((n < 8) | (v1 == v), 0.0).otherwise(100 * F.log(n.cast("double")) / (1 - v1 / v)))
-        .drop("__r")
+        .drop("__r", "__h")
     )
 
 
@@ -127,7 +127,7 @@ def ngram_reuse(grams: Column) -> Column:
 def punctuation(d: DataFrame) -> DataFrame:
     """parsed rows with punctuation_uniformity."""
     marks = F.regexp_extract_all("raw", F.lit(r"[,.;:!?—\-]"), F.lit(0))
-    d = d.withColumn("__marks", marks).withColumn("__m", runs("__marks"))
+    d = d.withColumn("__marks", marks).withColumn("__m", runs("__marks", "string"))
     even = F.col("__m.entropy") / F.log(F.greatest(F.lit(2), F.col("__m.types")).cast("double"))
     return d.withColumn("punctuation_uniformity", F.when(F.size("__marks") < 8, 0.3).otherwise(M.inv_logistic(even, 0.55, 5.0))).drop("__marks", "__m")
 
@@ -139,13 +139,18 @@ def function_word_ratio(lowers: Column) -> Column:
 def function_word_fit(lowers: Column) -> Column:
     """How close the shares of common function words are to those expected, and whether rare ones are missing."""
     n = F.size(lowers)
-    close = F.lit(0.0)
-    for word, share in lexicon.EXPECTED_SHARE.items():
-        seen = (n - F.size(F.array_remove(lowers, word))) / n
-        close = close + 1 - F.least(F.lit(1.0), F.abs(seen - share) / (share + 1e-6))
-    missing = sum((~F.array_contains(lowers, w)).cast("int") for w in lexicon.RARE_FUNCTION_WORDS)
-    fit = M.clamp(0.75 * close / len(lexicon.EXPECTED_SHARE) + 0.25 * missing / len(lexicon.RARE_FUNCTION_WORDS))
-    return F.when(n > 0, fit).otherwise(0.0)
+
+    def fit(few: Column) -> Column:
+        close = F.lit(0.0)
+        for word, share in lexicon.EXPECTED_SHARE.items():
+            seen = (F.size(few) - F.size(F.array_remove(few, word))) / n
+            close = close + 1 - F.least(F.lit(1.0), F.abs(seen - share) / (share + 1e-6))
+        missing = sum((~F.array_contains(few, w)).cast("int") for w in lexicon.RARE_FUNCTION_WORDS)
+        return M.clamp(0.75 * close / len(lexicon.EXPECTED_SHARE) + 0.25 * missing / len(lexicon.RARE_FUNCTION_WORDS))
+
+    # The few words that count are taken out once.
+    few = F.filter(lowers, lambda w: w.isin(*lexicon.EXPECTED_SHARE, *lexicon.RARE_FUNCTION_WORDS))
+    return F.when(n > 0, T.let(few, fit)).otherwise(0.0)
 
 
 def start_diversity(sent_words: Column) -> Column:
@@ -184,7 +189,7 @@ def green(prev: Column, tok: Column, seed: int) -> Column:
     return (M.keyed_hash([prev, tok, F.lit("g")], seed) % 10_000 < 5_000).cast("int")
 
 
-#: Pairs of words whose hashes a scan keeps.
+#: Pairs of words whose hashes a scan keeps, besides those of the document that it is at.
 KEPT_PAIRS = 200_000
 
 
@@ -199,22 +204,26 @@ def scan(lowers: pd.Series) -> pd.DataFrame:
     The same hash as green(), for arrays of words: a document's millions of hashes are made by a loop in an Arrow
     batch, since lambdas over arrays are not compiled in the JVM. Equal pairs of words are hashed once.
     """
-    number, seeds = int.from_bytes, [(1 << i, f"{s}\x1f".encode()) for i, s in enumerate(lexicon.GREEN_SEEDS)]
+    seeds = [f"{s}\x1f".encode() for s in lexicon.GREEN_SEEDS]
     bits, known = np.arange(len(seeds)), {}
+
+    def learn(pairs: list[tuple[str, str]]) -> None:
+        """Masks of the seeds by which the second word of a pair is green."""
+        tails = [f"{a}\x1f{b}\x1fg".encode() for a, b in pairs]
+        digests = b"".join([md5(s + t).digest() for t in tails for s in seeds])
+        green = (np.frombuffer(digests, ">u4")[::4] >> 4) % 10_000 < 5_000
+        known.update(zip(pairs, (green.reshape(-1, len(seeds)) @ (1 << bits)).tolist(), strict=True))
+
     out = []
     for words in lowers:
-        words, masks = list(words), []
-        for pair in zip(words, words[1:]):  # noqa: B905
-            mask = known.get(pair)
-            if mask is None:
-                tail, mask = f"{pair[0]}\x1f{pair[1]}\x1fg".encode(), 0
-                for bit, seed in seeds:
-                    if (number(md5(seed + tail).digest()[:4]) >> 4) % 10_000 < 5_000:
-                        mask |= bit
-                if len(known) >= KEPT_PAIRS:
-                    known.clear()
-                known[pair] = mask
-            masks.append(mask)
+        words = list(words)
+        pairs = [*zip(words, words[1:])]  # noqa: B905
+        if len(known) > KEPT_PAIRS:
+            known.clear()
+        fresh = [*{p for p in pairs if p not in known}]
+        for at in range(0, len(fresh), 10_000):
+            learn(fresh[at : at + 10_000])
+        masks = [*map(known.__getitem__, pairs)]
         m = np.array(masks, np.int32)
         before, top = Counter(zip(words, words[1:-1])), {}  # noqa: B905
         for (x, y, _), n in Counter(zip(words, words[1:], words[2:])).items():  # noqa: B905

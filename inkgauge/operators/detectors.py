@@ -78,7 +78,7 @@ def classical_features(d: DataFrame, ranks: dict[str, int]) -> DataFrame:
         d.withColumn("perplexity", perplexity(F.col("lowers"), ranks))
         .withColumn("phrase_density", X.phrase_density(F.col("raw"), F.col("n")))
         .withColumn("opener_score", X.opener_score(F.col("sents")))
-        .withColumn("ngram_reuse", X.ngram_reuse(T.ngrams(F.col("lowers"), 3)))
+        .withColumn("ngram_reuse", X.ngram_reuse(T.hashed_ngrams(F.col("lowers"), 3)))
         .withColumn("function_word_ratio", X.function_word_ratio(F.col("lowers")))
     )
 
@@ -103,7 +103,7 @@ def stylometric_features(d: DataFrame) -> DataFrame:
     return (
         d.withColumn("function_word_fit", X.function_word_fit(F.col("lowers")))
         .withColumn("start_diversity", X.start_diversity(F.col("sent_words")))
-        .withColumn("__b", T.ngrams(F.col("lowers"), 2))
+        .withColumn("__b", T.hashed_ngrams(F.col("lowers"), 2))
         .withColumn("bigram_entropy", F.when(F.size("__b") > 0, X.runs("__b")["entropy"]).otherwise(0.0))
         .withColumn("adjacent_similarity", X.adjacent_similarity(F.col("sent_words")))
         .drop("__b")

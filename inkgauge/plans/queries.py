@@ -157,7 +157,7 @@ def punctuation_uniformity(spark, sf_dir):
 
 @query
 def bigram_entropy(spark, sf_dir):
-    d = parsed(spark, sf_dir).withColumn("b", T.ngrams(F.col("lowers"), 2))
+    d = parsed(spark, sf_dir).withColumn("b", T.hashed_ngrams(F.col("lowers"), 2))
     return shown(d.withColumn("bigram_entropy", F.when(F.size("b") > 0, X.runs("b")["entropy"]).otherwise(0.0)), "doc_id", "bigram_entropy")
 
 
