@@ -39,10 +39,19 @@ def read_documents(spark: SparkSession, *paths: str, suffixes: tuple[str, ...] =
     )
 
 
+#: What a Parquet file holds in one piece, by the usual settings of its writers.
+ROW_GROUP_BYTES = 128 * 1024 * 1024
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """A scan's rows over all cores, where its files can't be split into as many tasks; else df as it is."""
+    """A scan's rows over all cores, where its files are fewer than these and too small to hold a piece for each; else df as it is.
+
+    A file is only read by as many tasks as it has row groups, into however many splits it is cut. So what is dealt
+    anew is never more than a row group's size for each core.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if len(df.inputFiles()) < cores and size < cores * ROW_GROUP_BYTES else df
 
 
 def shared_folder(spark: SparkSession) -> str:
