@@ -276,7 +276,7 @@ SELECT doc_id, len(ps)::BIGINT AS n_paragraphs, coalesce(list_max(list_transform
     "style_ratios": query([STYLE], f"SELECT doc_id, {R('comma_ratio', 'contraction_ratio', 'digit_ratio', 'avg_syllables', 'mean_wl')}, quote_count FROM st"),
     "classical_score": query(CLASSICAL_PARTS, f"SELECT doc_id, n, {R('classical_score', 'classical_confidence')} FROM classical"),
     "stylometric_score": query(STYLOMETRIC_PARTS, f"SELECT doc_id, n, {R('stylometric_score', 'stylometric_confidence')} FROM stylometric"),
-    "green_scan": query([NEXT, SCAN], f"SELECT doc_id, {R('max_z', 'mean_abs_z', 'z_std', 'mean_rate', 'max_rate')}, best_seed::BIGINT AS best_seed FROM scan"),
+    "green_scan": query([NEXT, SCAN], "SELECT doc_id, max_z, mean_abs_z, z_std, mean_rate, max_rate, best_seed::BIGINT AS best_seed FROM scan"),
     "context_consistency": query([NEXT, CONSISTENCY], f"SELECT doc_id, {R('context_consistency')} FROM cc"),
     "window_spikes": query([NEXT, SPIKE], f"SELECT doc_id, {R('window_spike')} FROM sp"),
     "rare_alignment": query([RANKS, NEXT, RARE], f"SELECT doc_id, {R('rare_alignment')} FROM ra"),
