@@ -61,6 +61,15 @@ def _merge_engine(tok) -> Callable[[str], list[int]] | None:
     return tiktoken.Encoding("plain", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
+def plain_engine(path: str) -> Callable[[str], list[int]]:
+    """text -> its ids, with the strings of added tokens as plain text."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(path)
+    tok.encode_special_tokens = True
+    return _merge_engine(tok) or (lambda text: tok.encode(text, add_special_tokens=False).ids)
+
+
 def encoder(path: str) -> Callable[[str], bytes]:
     """text -> its ids as unsigned little-endian 32-bit numbers."""
     if path in _encoders:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.files import spread
+from ._shared import scratch_path
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -91,10 +92,35 @@ def op10_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(_read(spark, sf_dir, "documents"))
 
 
+def op11_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .token_files import round_trip
+
+    return round_trip(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), scratch_path(spark, "token-files"))
+
+
+def op12_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .alignment import align
+
+    return align(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))[0]
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .resample import resample
+
+    return resample(_read(spark, sf_dir, "documents").select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_surrogates, op2_pack_power_of_two, op3_toxicity, op4_media_containers, op5_nearest, op6_mix_sources, op7_ngram_jaccard, op8_line_dedup, op9_warc, op10_pseudo_likelihood)
-}
+    for f in (
+        op1_surrogates, op2_pack_power_of_two, op3_toxicity, op4_media_containers, op5_nearest, op6_mix_sources, op7_ngram_jaccard, op8_line_dedup,
+        op9_warc, op10_pseudo_likelihood, op11_packed_ids, op12_align_tokenizers, op13_resample,
+    )
+}
 
 
 def _line_sql() -> str:
@@ -125,4 +151,28 @@ SELECT page_id, payload_bytes, {' || '.join(letters)} AS payload_digest, CASE WH
   CASE WHEN page_id <> first THEN first END AS refers_to FROM p"""
 
 
-ORACLE_SQL: dict[str, str] = {"op8_line_dedup": _line_sql(), "op9_warc": _warc_sql()}
+def _resample_sql() -> str:
+    words = r"list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
+    # The 256 steps of the checksum come from its rule: eight shifts, each with the polynomial where a bit falls out.
+    step = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    return f"""WITH RECURSIVE step(i, k, c) AS (SELECT range, 0, range FROM range(256) UNION ALL SELECT i, k + 1, {step} FROM step WHERE k < 8),
+steps AS (SELECT list(c ORDER BY i) AS t FROM step WHERE k = 8),
+d AS (SELECT row_number() OVER () AS r, doc_id, {words} AS words FROM documents),
+w AS (SELECT r, unnest(words) AS word FROM d),
+b AS (SELECT unnest({words}) AS word FROM benchmark),
+hashed AS (SELECT word, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(trim(regexp_replace(hex(encode(word)), '(..)', '\\1 ', 'g')), ' '),
+    lambda x: ('0x' || x)::BIGINT)), lambda c, x: xor(c >> 8, t[xor(c, x) % 256 + 1])), 4294967295) % 10000 AS bucket
+  FROM (SELECT DISTINCT word FROM (SELECT word FROM w UNION ALL SELECT word FROM b)), steps),
+s AS (SELECT bucket, count(*) AS n FROM w JOIN hashed USING (word) GROUP BY 1),
+t AS (SELECT bucket, count(*) AS n FROM b JOIN hashed USING (word) GROUP BY 1),
+g AS (SELECT bucket, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM s) + 10000) / ((s.n + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM t) + 10000))))::BIGINT AS gain
+  FROM s LEFT JOIN t USING (bucket)),
+weights AS (SELECT r, sum(gain)::BIGINT AS weight FROM w JOIN hashed USING (word) JOIN g USING (bucket) GROUP BY 1),
+scored AS (SELECT doc_id, len(words)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM d LEFT JOIN weights USING (r)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id, n_features) AS place, count(*) FILTER (n_features >= 20) OVER () AS able FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= able * 10 // 100 THEN place END AS rank FROM placed"""
+
+
+ORACLE_SQL: dict[str, str] = {"op13_resample": _resample_sql(), "op8_line_dedup": _line_sql(), "op9_warc": _warc_sql()}
