@@ -9,6 +9,7 @@ with one difference shares one, so sets that differ in D features share 3g - 2D
 exceeds g. Each set leaves out its d weakest signatures (fewest features first, an order all sets share), those of empty
 parts among them, which lowers this number, `need`, by d; D follows from the sizes.
 
+Equal sets of whatever size (those of up to three shingles have no signatures) are linked by a hash of the whole set, which comes from the same pass.
 Documents with fewer than `need` signatures that any other has are out. For the others the sets themselves are laid down, and
 those stay whose features occur often enough outside them, counted by narrow ranges of size: of two linked sets of n and s features
 each holds p (n + s) / (100 + p) that the other has. Each of these is compared with two centres, documents that it
@@ -165,10 +166,21 @@ def signatures(s: np.ndarray, percent: int, _bands: dict = {}) -> list[tuple[int
     return out
 
 
+#: The bit of sig that marks a set's hash.
+WHOLE = 1 << 62
+
+
+def set_hash(s: np.ndarray) -> tuple[int, int]:
+    """62 and 23 bits that equal sets (of numbers that are hashes already) have in common."""
+    a, b = mix(np.array([s.sum(dtype=np.uint64) + np.uint64(len(s)), (s * (s | np.uint64(1))).sum(dtype=np.uint64)], np.uint64)).tolist()
+    return a & (WHOLE - 1), b & ((1 << 23) - 1)
+
+
 def _signed(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """For each signature of each document (doc_id, text, name) a row sig, doc_id, kn: its pair of bands and the set's size.
 
-    Beside them one row for each text: its name with the highest bit set as sig (signatures have 48 bits), and the size alone as kn.
+    Beside them one row for each text: its name with the highest bit set as sig (signatures have 48 bits), and the size alone as kn; and one
+    for each set: WHOLE and its hash as sig, the rest of the hash and the size as kn.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +193,10 @@ def _signed(docs: DataFrame, n: int, percent: int) -> DataFrame:
         for batch in batches:
             for doc, t, name in zip(*batch.columns, strict=True):
                 s, doc = shingles(t.as_py(), n), doc.as_py()
-                found = signatures(s, percent) if len(s) and doc is not None else []
+                found = []
+                if len(s) and doc is not None:
+                    whole, rest = set_hash(s)
+                    found = [(rest, np.array([WHOLE | whole])), *signatures(s, percent)]
                 for key, part in [(0, np.array([name.as_py() | -1 << 63])), *found]:
                     sigs.append(part)
                     ids.append(doc)
@@ -431,7 +446,10 @@ def jaccard_components(
     met = _met(_signed(single, n, percent)).select("sig", "doc_id", F.shiftright("kn", 40).alias("key"), F.expr("kn & ((1L << 40) - 1)").alias("n"))
     met = written(met, "shared")
     sizes = met.where("sig < 0").groupBy("doc_id", F.col("sig").bitwiseAND((1 << 63) - 1).alias("name")).agg(F.min("n").alias("n_shingles"))
-    shared = met.where("sig >= 0")
+    shared = met.where(f"sig >= 0 and sig < {WHOLE}")
+    alike = met.where(f"sig >= {WHOLE}")
+    first = alike.groupBy("sig", "key", "n").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep != last").drop("last")
+    equal = join_small(alike, first, ["sig", "key", "n"], "inner").where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
     single = single.where("doc_id is not null").drop("name")
     most = f"(n + n * 100 div {percent}) * {100 - percent} div {100 + percent}"
     own = shared.groupBy("doc_id", "key", "n").agg(F.count("*").alias("own")).join(F.broadcast(shape), "key").where(f"own >= {need(most)}")
@@ -459,9 +477,9 @@ def jaccard_components(
     rest = _by_centre(wanted, refs, percent).union(_apart(rows, refs, shape, percent)).distinct()
     links = written(links.union(_verified(sets, rest, percent)), "links")
 
-    # Copies, and rows of one id with several texts, link them.
+    # Copies, equal sets, and rows of one id with several texts link them.
     tied = keyed.where("doc_id is not null and rep != doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
-    comps = written(components(links.union(tied)), "components")
+    comps = written(components(links.union(tied).union(equal)), "components")
     discard(sets, features, links)
     return join_big(_sized(keyed, sizes), comps).select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 

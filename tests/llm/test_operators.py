@@ -392,6 +392,33 @@ def test_components_of_near_copy_groups_equal_brute_force(spark):
     assert got == plain_components(rows)
 
 
+def test_equal_sets_of_unlike_texts_are_linked(spark):
+    """Copies that differ in case and blanks alone, of one word and more, and a group of thousands of them."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for size in range(1, 9):
+        for g in range(6):
+            base = [f"s{size}g{g}w{k}" for k in range(size)]
+            for _ in range(5):
+                rows.append((len(rows), "".join((w.upper() if rng.random() < 0.4 else w) + str(rng.choice([" ", "  ", "\n", "\t "])) for w in base)))
+            if size > 1:
+                rows.append((len(rows), " ".join(base[:-1])))
+    rows += [(None, "S1G0W0"), (len(rows), "\x0bs1g0w0"), (0, "also other words stand here")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = ngram_join.jaccard_components(d.repartition(5)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got if r["doc_id"] is not None} == plain_components(rows)
+    many = [(i, "".join(c.upper() if i >> k & 1 else c for k, c in enumerate("hello brave world"))) for i in range(3000)]
+    got = ngram_join.jaccard_components(spark.createDataFrame([*many, (5000, "hello brave")], "doc_id long, text string")).collect()
+    assert all(r["component_id"] == (5000 if r["doc_id"] == 5000 else 0) and r["n_shingles"] == 1 for r in got) and len(got) == 3001
+
+
+def test_texts_longer_than_a_slice_give_the_same_sets(monkeypatch):
+    text = "One two  three\n" * 90 + "x" * 300 + " end"
+    whole = ngram_join.shingles(text)
+    monkeypatch.setattr(ngram_join, "SLICE_BYTES", 64)
+    assert ngram_join.shingles(text).tolist() == whole.tolist() and len(whole) > 3
+
+
 def test_linked_sets_share_signatures():
     rng = np.random.default_rng(8)
     shape = {k: (g, d) for k, g, d in ngram_join.shapes(80)}
