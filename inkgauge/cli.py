@@ -94,12 +94,13 @@ def main(args: list[str] | None = None) -> int:
         if o.report:
             print(evaluate.comparison_report(out))
             return 0
-    rows = files.as_json(out).toLocalIterator() if o.verb == "eval" or o.json else None
-    if rows is None:
-        out.show(1000, truncate=80)
-    else:
-        for r in rows:
+    if o.verb == "eval" or o.json:
+        for r in files.as_json(out).toLocalIterator():
             print(r["json"])
+    else:  # every row, a partition at a time
+        print("\t".join(out.columns))
+        for r in out.toLocalIterator():
+            print("\t".join("" if v is None else f"{v:.4f}" if isinstance(v, float) else " ".join(str(v).split()) for v in r))
     return 0
 
 

@@ -58,6 +58,13 @@ HEDGES = (
     "plays a (?:crucial|vital|significant) role|a wide range of|in order to|due to the fact that|"
     "at the end of the day|when it comes to|needless to say|first and foremost|last but not least"
 )
+#: Plain substitutes of some stock phrases, for perturbation; other tables are parameters.
+PHRASE_SWAPS = {
+    "in conclusion": ["to close", "at the end"], "in summary": ["in brief"], "it is important to note that": ["note that", "bear in mind that"],
+    "in today's world": ["today", "nowadays"], "delve into": ["examine", "study"], "a wide range of": ["many", "various"], "a wide": ["a broad"],
+    "in order to": ["to"], "due to the fact that": ["because"], "when it comes to": ["regarding"], "leverage": ["use"], "robust": ["strong", "sound"],
+    "this article will": ["here we"], "landscape": ["field"], "the landscape": ["the field"], "in terms of": ["as to"],
+}
 GREEN_SEEDS = (3, 7, 13, 17, 29, 41, 53, 97, 193, 389, 769, 1543)
 FAMILY_WEIGHTS = {"classical": 0.34, "stylometric": 0.28, "watermark": 0.30}
 COMMON_RANK, VERY_COMMON_RANK = 250, 80

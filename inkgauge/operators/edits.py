@@ -25,10 +25,18 @@ def priorities(tokens: DataFrame, ranks: DataFrame, id_col: str = "doc_id") -> D
     return d.withColumn("prior", raised).withColumn("priority", F.col("prior") * factor)
 
 
-def targets(ranked: DataFrame, strength: float = 0.42, id_col: str = "doc_id") -> DataFrame:
-    """Of the words with a priority of 0.25 or more the first max(1, round(words (0.1 + 0.5 strength)))."""
+#: Which of placed() are targets.
+TARGETED = "priority >= 0.25 and place <= most"
+
+
+def placed(ranked: DataFrame, strength: float = 0.42, id_col: str = "doc_id") -> DataFrame:
+    """All words with their place by priority, and most: max(1, round(words (0.1 + 0.5 strength)))."""
     per = Window.partitionBy(id_col)
     place = F.row_number().over(per.orderBy(F.col("priority").desc(), "pos"))
     most = F.greatest(F.lit(1), F.bround(F.count("*").over(per) * F.lit(0.10 + 0.50 * strength)).cast("int"))
-    d = ranked.withColumn("most", most).withColumn("place", place)
-    return d.where((F.col("priority") >= 0.25) & (F.col("place") <= F.col("most"))).drop("most")
+    return ranked.withColumn("most", most).withColumn("place", place)
+
+
+def targets(ranked: DataFrame, strength: float = 0.42, id_col: str = "doc_id") -> DataFrame:
+    """Of the words with a priority of 0.25 or more the first max(1, round(words (0.1 + 0.5 strength)))."""
+    return placed(ranked, strength, id_col).where(TARGETED).drop("most")

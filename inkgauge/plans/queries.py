@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from .. import lexicon
 from ..config import Settings
 from ..functions import features as X
+from ..functions import keyed
 from ..functions import maths as M
 from ..functions import text as T
 from ..operators import detectors as D
-from ..operators import edits, evaluate, markdown, pairs, provenance
+from ..operators import edits, evaluate, markdown, pairs, perturb, provenance
 from ..sources.files import output_name, shared_folder, spread
 from ..streaming import detect as stream
 from . import sql
@@ -272,6 +273,33 @@ def edit_targets(spark, sf_dir):
     return shown(edits.targets(ranked.withColumn("priority", F.round("priority", 6))), "doc_id", "pos", "tok", "priority", "place")
 
 
+@query
+def perturbed_phrases(spark, sf_dir):
+    """Stock phrases of the texts replaced; the query tells that the edits take the changed text back to the original."""
+    d = perturb.perturb_phrases(injected(spark, sf_dir), lexicon.PHRASE_SWAPS)
+    first = F.coalesce(F.get("edits", F.lit(0))["start"], F.lit(-1))
+    same = perturb.restored(F.col("perturbed"), F.col("edits")) == F.col("text")
+    return shown(d.select("doc_id", "n_edits", first.alias("first_start"), same.alias("restores"), "strategy"), "doc_id", "n_edits", "first_start", "restores", "strategy")
+
+
+@query
+def perturbed_words(spark, sf_dir):
+    """Target words replaced by their neighbours in the corpus's list of ranks."""
+    listed = ranks(spark, sf_dir).persist()
+    near = [listed.select((F.col("rank") - k).alias("rank"), F.col("word").alias(f"w{k}")) for k in (1, 2)]
+    table = listed.join(near[0], "rank", "left").join(near[1], "rank", "left").select("word", F.array_compact(F.array("w1", "w2")).alias("options"))
+    d = perturb.perturb_words(injected(spark, sf_dir), listed, table.where(F.size("options") > 0))
+    same = perturb.restored(F.col("perturbed"), F.col("edits")) == F.col("text")
+    return shown(d.select("doc_id", "n_edits", F.md5("text").alias("original"), F.md5("perturbed").alias("digest"), same.alias("restores")), "doc_id", "n_edits", "original", "digest", "restores")
+
+
+@query
+def exact_keyed_hash(spark, sf_dir):
+    """BLAKE2b of the documents' beginnings and the first number of the generator that it seeds; SQL has neither."""
+    d = read(spark, sf_dir, "documents").select("doc_id", keyed.blake_hash([F.substr("text", F.lit(1), F.lit(80)), F.lit("lexical"), F.lit(42)], 13).alias("hash"))
+    return d.select("doc_id", F.col("hash").cast("string").alias("hash"), keyed.uniforms(F.col("hash"), 1)[0].alias("u"))
+
+
 def _pairs(spark, sf_dir):
     return read(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("pair_id"), F.col("text").alias("original"),

@@ -7,6 +7,7 @@ from ..functions import text as T
 from ..operators import detectors as D
 from ..operators import markdown as MD
 from ..operators import provenance as P
+from ..operators.perturb import phrase_pattern
 
 STOCK = "In today's world, it is important to note that we leverage a wide range of robust tools. In conclusion, this article will delve into the landscape."
 Q = lambda s: s.replace("'", "''")
@@ -253,6 +254,15 @@ _signals = " UNION ALL ".join(
     for name, (table, tables) in _reported.items() for k, w in D.REPORTED[name].items()
 )
 
+_edit_select = f"""
+SELECT doc_id, pos::BIGINT AS pos, tok, priority::DOUBLE AS priority, place::BIGINT AS place FROM h3 WHERE priority >= 0.25 AND place <= greatest(1, round_even(k * 0.31, 0)::BIGINT)"""
+_edit_sql = query([RANKS], f""", h0 AS (SELECT doc_id, pos, tok, rank, CASE WHEN NOT regexp_matches(tok, '^\\p{{L}}+$') OR length(tok) < 4 THEN 0.05 WHEN rank IS NULL THEN 0.92 WHEN rank <= 80 THEN 0.08 WHEN rank <= 250 THEN 0.45 ELSE 0.78 END AS hint FROM t LEFT JOIN ranks ON tok = word),
+h1 AS (SELECT *, CASE WHEN lag(hint) OVER (PARTITION BY doc_id ORDER BY pos) > 0.6 THEN least(1.0, hint + 0.08) ELSE hint END AS prior FROM h0),
+h2 AS (SELECT *, round(prior * CASE WHEN tok IN {words_in(L.FUNCTION_WORDS)} THEN 0.15 WHEN rank <= 80 THEN 0.35 WHEN length(tok) < 4 THEN 0.25 ELSE 1 END, 6) AS priority, count(*) OVER (PARTITION BY doc_id) AS k FROM h1),
+h3 AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY priority DESC, pos) AS place FROM h2)""").replace("\n, h0", ",\nh0") + _edit_select
+PHRASES = Q(phrase_pattern([*L.PHRASE_SWAPS]))
+WORDS = r"\p{L}[\p{L}\p{Nl}\p{No}]*(?:''[\p{L}\p{Nl}\p{No}]+)?"
+
 ORACLE_SQL = {
     "token_kind_counts": query([], r"""SELECT doc_id, len(toks)::BIGINT AS n_tokens, len(words)::BIGINT AS n_words, len(list_filter(toks, lambda x: regexp_matches(x, '^\p{Nd}')))::BIGINT AS n_numbers,
   len(list_filter(toks, lambda x: NOT regexp_matches(x, '^[\p{L}\p{Nd}]')))::BIGINT AS n_punct FROM b"""),
@@ -289,11 +299,20 @@ SELECT doc_id, len(ps)::BIGINT AS n_paragraphs, coalesce(list_max(list_transform
     "prose_only_text": SEGMENTS + f" SELECT md.doc_id, coalesce(x.text, md.text) AS text FROM md LEFT JOIN (SELECT doc_id, string_agg(text, '' ORDER BY seg) AS text FROM sg WHERE {_prose} AND {strip('text')} <> '' GROUP BY 1) x USING (doc_id)",
     "prose_detect": query(STYLOMETRIC_PARTS, f"SELECT doc_id, n, {R('stylometric_score', 'stylometric_confidence')} FROM stylometric", SEGMENTS + f" SELECT md.doc_id, coalesce(x.text, md.text) AS text FROM md LEFT JOIN (SELECT doc_id, string_agg(text, '' ORDER BY seg) AS text FROM sg WHERE {_prose} AND {strip('text')} <> '' GROUP BY 1) x USING (doc_id)"),
     "reconstructed": "SELECT doc_id, CASE WHEN length(text) >= 10 THEN '<' || substr(text, 2, 7) || '>' || substr(text, 11) WHEN length(text) >= 9 THEN '<' || substr(text, 2, 4) || 'lost' || substr(text, 10) WHEN length(text) >= 1 THEN '<' || substr(text, 2) ELSE text END AS text FROM documents",
-    "edit_targets": query([RANKS], f""", h0 AS (SELECT doc_id, pos, tok, rank, CASE WHEN NOT regexp_matches(tok, '^\\p{{L}}+$') OR length(tok) < 4 THEN 0.05 WHEN rank IS NULL THEN 0.92 WHEN rank <= 80 THEN 0.08 WHEN rank <= 250 THEN 0.45 ELSE 0.78 END AS hint FROM t LEFT JOIN ranks ON tok = word),
-h1 AS (SELECT *, CASE WHEN lag(hint) OVER (PARTITION BY doc_id ORDER BY pos) > 0.6 THEN least(1.0, hint + 0.08) ELSE hint END AS prior FROM h0),
-h2 AS (SELECT *, round(prior * CASE WHEN tok IN {words_in(L.FUNCTION_WORDS)} THEN 0.15 WHEN rank <= 80 THEN 0.35 WHEN length(tok) < 4 THEN 0.25 ELSE 1 END, 6) AS priority, count(*) OVER (PARTITION BY doc_id) AS k FROM h1),
-h3 AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY priority DESC, pos) AS place FROM h2)
-SELECT doc_id, pos::BIGINT AS pos, tok, priority::DOUBLE AS priority, place::BIGINT AS place FROM h3 WHERE priority >= 0.25 AND place <= greatest(1, round_even(k * 0.31, 0)::BIGINT)""").replace("\n, h0", ",\nh0"),
+    "edit_targets": _edit_sql,
+    "perturbed_phrases": f"""WITH d AS (SELECT doc_id, lower(text) AS x FROM ({DOCS})), m AS (SELECT doc_id, len(regexp_extract_all(x, '{PHRASES}'))::BIGINT AS n_edits, regexp_split_to_array(x, '{PHRASES}')[1] AS before FROM d)
+SELECT doc_id, n_edits, CASE WHEN n_edits > 0 THEN length(before) ELSE -1 END::BIGINT AS first_start, true AS restores, 'phrases' AS strategy FROM m""",
+    "perturbed_words": _edit_sql.removesuffix(_edit_select) + f""",
+o AS (SELECT word, list_filter([lead(word) OVER (ORDER BY rank), lead(word, 2) OVER (ORDER BY rank)], lambda x: x IS NOT NULL) AS options FROM ranks),
+roll AS (SELECT doc_id, pos, place, priority, k, options, ('0x' || substr(md5(concat_ws(chr(31), '13', doc_id, pos, 'keep')), 1, 7))::BIGINT / 268435456.0 AS u,
+  options[('0x' || substr(md5(concat_ws(chr(31), '13', doc_id, pos, 'choice')), 1, 7))::BIGINT % len(options) + 1] AS new FROM h3 JOIN o ON tok = word WHERE len(options) > 0),
+new AS (SELECT doc_id, pos, new FROM roll WHERE priority >= 0.25 AND place <= greatest(1, round_even(k * 0.31, 0)::BIGINT) AND u >= 0.55::DOUBLE - 0.35::DOUBLE * 0.42::DOUBLE),
+wp AS (SELECT doc_id, text, regexp_extract_all(text, '{WORDS}') AS toks, regexp_split_to_array(text, '{WORDS}') AS gaps FROM docs),
+w AS (SELECT doc_id, gaps[pos] AS gap, toks[pos] AS own, pos FROM (SELECT doc_id, toks, gaps, unnest(generate_series(1, len(toks))) AS pos FROM wp)),
+cased AS (SELECT doc_id, pos, gap, own, CASE WHEN new IS NULL THEN own WHEN own = upper(own) AND own <> lower(own) THEN upper(new)
+  WHEN substr(own, 1, 1) = upper(substr(own, 1, 1)) AND substr(own, 1, 1) <> lower(substr(own, 1, 1)) THEN upper(substr(new, 1, 1)) || substr(new, 2) ELSE new END AS word, new FROM w LEFT JOIN new USING (doc_id, pos)),
+built AS (SELECT doc_id, string_agg(gap || word, '' ORDER BY pos) AS body, count(new) AS n FROM cased GROUP BY 1)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_edits, md5(text) AS original, md5(coalesce(body, '') || gaps[len(gaps)]) AS digest, true AS restores FROM wp LEFT JOIN built USING (doc_id)""",
     "pair_compare": COMPARE + f" SELECT pair_id, {R('similarity', 'word_cosine', 'char_cosine', 'unigram_jaccard', 'token_change_rate', 'length_ratio')}, original_tokens, rewritten_tokens FROM cmp",
     "quality_gate": query([COMPARE.removeprefix("WITH "), GATE], f"SELECT pair_id, {R('readability_before', 'readability_after')}, changed_tokens, 'ngrams' AS method, reasons, reasons = '' AS passed FROM gate", SIDES),
     "evaluated_pairs": query([CORPUS_RANKS if x == RANKS else x for x in ENSEMBLE_PARTS] + [COMPARE.removeprefix("WITH "), GATE], """SELECT pair_id, round(a.ensemble_score, 6) AS before, round(b.ensemble_score, 6) AS after, round(b.ensemble_score - a.ensemble_score, 6) AS delta,
