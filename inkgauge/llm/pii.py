@@ -1,8 +1,9 @@
 """Surrogates for personal data: keyed replacements of the same type, format, script and gender.
 
 Detected: e-mail addresses, telephone numbers, IPv4 addresses, payment cards (with a valid check digit and a known
-first digit), social security numbers, access keys, assigned secrets, and persons (a title or a known given name before
-a capitalised name, in Latin or Cyrillic script).
+first digit), social security numbers, access keys, assigned secrets, and persons: a title or several, or a known given name, before
+capitalised names, initials and particles, as many as there are, with hyphens and apostrophes; and, in the same text, every bare mention
+of a name so found.
 
 A surrogate is a keyed permutation of its original: letters, digits and the vowels and consonants of names are taken as
 digits of a number of mixed radix, a Feistel network permutes the numbers below the product of the radices, and the
@@ -21,7 +22,8 @@ usually few, meet the documents again.
 
 Texts are read twice, whole, row by row. Defined results: null text stays null, without entities; an empty table gives no
 rows; extra columns stay, but for those named like what is added; rows are matched with their exceptions by their text, so ids
-may be null or repeated. Persons are found by titles and a list of given names, so a name with neither stays.
+may be null or repeated; empty texts stay empty, texts of any length are searched whole. Persons are found by titles and a list of given
+names, so a name with neither stays, unless the same text has it elsewhere with one.
 """
 
 from __future__ import annotations
@@ -66,14 +68,17 @@ LOCAL = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._%+\-]{0,62}[A-Za-z0-9])?$")
 DOMAIN = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9\-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])")
 IP = re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\w]|\.\d)")
 PHONE = re.compile(r"(?<![\w+.\-])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{3}\)[ .\-]?|(?<![\d])\d{3}[.\-])\d{3}[ .\-]\d{4}(?![\w\-])|(?<![\w+])\+\d{1,3}(?:[ .\-]\d{2,4}){2,5}(?![\w\-])")
-CARD = re.compile(r"(?<![\w.\-])(?:\d{13,19}|\d{4}([ \-])\d{4}\1\d{4}\1\d{1,7})(?![\w\-])")
+CARD = re.compile(r"(?<![\w.\-])\d{3,19}(?:[ \-]\d{1,19}){0,8}(?![\w\-])")
 SSN = re.compile(r"(?<![\w\-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w\-])")
 AWS = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])")
 SECRET = re.compile(r"(?i)(?<![A-Za-z])(?:token|secret|password|passwd|api[_\-]?key|access[_\-]?key)\s{0,4}[=:]\s{0,4}[\"']?([A-Za-z0-9_\-+/]{16,})")
-PERSON = re.compile(
-    r"(?<!\w)(?P<title>" + "|".join(TITLES) + r")\.? (?P<one>[^\W\d_]+)(?: (?P<two>[^\W\d_]+))?(?!\w)"
-    r"|(?<!\w)(?P<given>" + "|".join(GIVEN) + r") (?P<last>[^\W\d_]+)(?!\w)"
-)
+_title = "(?:" + "|".join(TITLES) + r")\.?"
+#: What a person's mention begins with: titles, joined or one after the other, or a given name.
+PERSON = re.compile(rf"(?<!\w)(?:(?P<titles>{_title}(?:(?: (?:and|or|&|und|et|y|и))? {_title}(?!\w))*)|(?P<given>" + "|".join(GIVEN) + r"))(?!\w)")
+#: The next part of a name, and what stands small between parts.
+STEP = re.compile(r" ([^\W\d_]+(?:['’\-][^\W\d_]+)*)(\.?)")
+PARTICLES = frozenset("al bin da dal de del della den der di dos du el la le ten ter van von y zu".split())
+MOST_PARTS = 12
 #: What a name or title of a capital begins with; titles without one are looked for by themselves.
 CAPITAL = re.compile(r"[A-ZÀ-ÖØ-ÞЀ-Я][^\W\d_]*")
 SMALL_TITLES = tuple(t for t in TITLES if t[0].islower())
@@ -186,14 +191,93 @@ def _find_persons(text: str) -> Iterator[re.Match]:
             yield found
 
 
+def _name_parts(text: str, at: int) -> list[tuple[int, int, bool]]:
+    """start, end of the capitalised parts of a name that goes on at `at`, and whether it is an initial: one letter before a full stop or another part."""
+    out = []
+    for _ in range(MOST_PARTS):
+        if not (m := STEP.match(text, at)):
+            break
+        start, end = m.span(1)
+        if m[1][0].isupper():
+            owned = m[1][-2:] in ("'s", "’s") and len(m[1]) > 2
+            out.append((start, end - 2 * owned, end - start == 1 and m[2] == "."))
+            # A full stop behind an initial is its own; behind a name, and behind a possessive, the mention ends.
+            if owned or m[2] and end - start > 1:
+                break
+            at = m.end()
+        elif m[1] in PARTICLES and not m[2]:
+            at = end
+        else:
+            break
+    return [(a, b, dot or b - a == 1 and k < len(out) - 1) for k, (a, b, dot) in enumerate(out)]
+
+
+def _persons(text: str) -> list[tuple[int, int, str, str]]:
+    """start, end, type and normal form of the parts of each mention, those of hyphenated names apart, and of bare mentions of the same names."""
+    out, end, known = [], 0, {}
+    for lead in _find_persons(text):
+        if lead.start() < end:
+            continue
+        parts = _name_parts(text, lead.end())
+        if lead["given"]:
+            first = re.compile(r"(?:-[^\W\d_]+)*").match(text, lead.end()).end()
+            parts = [(lead.start(), first, False), *_name_parts(text, first)]
+        full = [p for p in parts if not p[2]]
+        if len(full) < 1 + bool(lead["given"]):
+            continue
+        end = parts[-1][1]
+        titles = {TITLES[t] for t in re.findall(r"[^\W\d_]+", lead["titles"] or "") if t in TITLES} - {""}
+        gender = titles.pop() if len(titles) == 1 else ""
+        alone = len(parts) == 1
+        for p in parts:
+            at = p[0]
+            for word in text[p[0] : p[1]].split("-"):
+                own = GIVEN.get(word)
+                given = own if alone else own or p[2] or (p == full[0] and p != full[-1])
+                if p == full[-1] and not alone:
+                    given = False
+                if given:
+                    script = "cyrillic" if "а" <= word[0].lower() <= "я" else "latin"
+                    kind, norm = "given", f"{'/'.join(own or (gender or 'm', script))}/{word}"
+                else:
+                    kind, norm = "surname", word.lower()
+                out.append((at, at + len(word), kind, norm))
+                if len(word) > 1:
+                    for form in (word, word.upper()):
+                        known.setdefault(form, (kind, norm))
+                at += len(word) + 1
+    for form, (kind, norm) in known.items():
+        at = text.find(form)
+        while at >= 0:
+            stop = at + len(form)
+            joins = lambda c: c.isalnum() or c == "_"
+            if not (at and joins(text[at - 1])) and not (stop < len(text) and joins(text[stop])):
+                out.append((at, stop, kind, norm))
+            at = text.find(form, stop)
+    return out
+
+
+def _cards(text: str, start: int, groups: list[str]) -> tuple[int, int, str] | None:
+    """The longest run of digit groups that is a card's number."""
+    places, at = [], start
+    for g in groups:
+        places.append(at)
+        at += len(g) + 1
+    for i in range(len(groups)):
+        for j in range(len(groups), i, -1):
+            digits = "".join(groups[i:j])
+            if 13 <= len(digits) <= 19 and CARD_FIRST.match(digits) and luhn(digits) % 10 == 0:
+                return places[i], places[j - 1] + len(groups[j - 1]), digits
+    return None
+
+
 def _numbers(text: str, add: Callable[[int, int, int, str, str], None]) -> None:
     if text.count(".") > 2:
         for m in IP.finditer(text):
             add(3, *m.span(), "ip", m[0])
     for m in CARD.finditer(text):
-        digits = re.sub(r"\D", "", m[0])
-        if 13 <= len(digits) <= 19 and CARD_FIRST.match(digits) and luhn(digits) % 10 == 0:
-            add(4, *m.span(), "card", digits)
+        if len(m[0]) >= 13 and (card := _cards(text, m.start(), re.split(r"[ \-]", m[0]))):
+            add(4, *card[:2], "card", card[2])
     if not any(c in text for c in "-+.("):
         return
     for m in PHONE.finditer(text):
@@ -214,9 +298,10 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
 
     # Each pattern needs something that a plain search finds faster, and most texts lack.
     numbers = DIGIT.search(text) is not None
-    if numbers and ("=" in text or ":" in text):
+    if "=" in text or ":" in text:
         for m in SECRET.finditer(text):
-            if any(c.isdigit() for c in m[1]):
+            # A word alone behind a colon is prose; what has digits, capitals inside, or an equals sign before it is a secret.
+            if any(c.isdigit() or c.isupper() for c in m[1][1:]) or "=" in text[m.start() : m.start(1)]:
                 add(0, *m.span(1), "secret", m[1])
     if "AKIA" in text or "ASIA" in text:
         for m in AWS.finditer(text):
@@ -226,23 +311,8 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
             add(2, a, b, "email", text[a:b].lower())
     if numbers:
         _numbers(text, add)
-    for m in _find_persons(text):
-        if m["given"]:
-            if m["last"][0].isupper():
-                add(7, *m.span("given"), "given", f"{'/'.join(GIVEN[m['given']])}/{m['given']}")
-                add(7, *m.span("last"), "surname", m["last"].lower())
-            continue
-        gender = TITLES[m["title"]]
-        if not m["one"][0].isupper():
-            continue
-        parts = ["one", "two"] if m["two"] and m["two"][0].isupper() else ["one"]
-        if len(parts) == 2 or m["one"] in GIVEN:
-            known = GIVEN.get(m["one"])
-            script = "cyrillic" if "а" <= m["one"][0].lower() <= "я" else "latin"
-            g = known or (gender or "m", script)
-            add(7, *m.span("one"), "given", f"{'/'.join(g)}/{m['one']}")
-        if len(parts) == 2 or m["one"] not in GIVEN:
-            add(7, *m.span(parts[-1]), "surname", m[parts[-1]].lower())
+    for start, end, kind, norm in _persons(text):
+        add(7, start, end, kind, norm)
     out, end = [], 0
     for start, _, stop, kind, norm in sorted(found):
         if start >= end:
@@ -335,7 +405,8 @@ class Surrogates:
                 out.append(c)
             return "".join(out)
         if kind == "given":
-            return new.split("/", 2)[2]
+            name = new.split("/", 2)[2]
+            return name.upper() if len(original) > 1 and original == original.upper() != original.lower() else name
         if kind == "email":
             local = original.rsplit("@", 1)[0]
             n = len(local)

@@ -158,20 +158,35 @@ def _unzipped(data: bytes) -> Iterator[bytes]:
         return
     rest = memoryview(data)
     while len(rest):
-        member = zlib.decompressobj(31)
-        while not member.eof and len(rest):
-            part, rest = rest[:CHUNK], rest[CHUNK:]
-            yield member.decompress(part)
-            if member.unused_data:
-                rest = memoryview(data)[len(data) - len(rest) - len(member.unused_data) :]
-        yield member.flush()
+        member, first = zlib.decompressobj(31), len(data) - len(rest)
+        try:
+            while not member.eof and len(rest):
+                part, rest = rest[:CHUNK], rest[CHUNK:]
+                yield member.decompress(part)
+                if member.unused_data:
+                    rest = memoryview(data)[len(data) - len(rest) - len(member.unused_data) :]
+            yield member.flush()
+        except zlib.error:
+            # The next member begins where one can; what is no record tells the reader that something is missing.
+            again = data.find(b"\x1f\x8b\x08", first + 1)
+            rest = memoryview(data)[again:] if again > 0 else rest[:0]
+            yield b"\r\n\x00broken gzip member\r\n"
         while len(rest) and rest[0] == 0:  # padding behind the last member
             rest = rest[1:]
 
 
+#: What a record begins with, at the start of a line.
+START = re.compile(rb"[\r\n]WARC/\d")
+
+
 def parse_archive(data: bytes) -> Iterator[tuple]:
-    """The records of one archive, cut by their Content-Length; what is cut off at the end is left out."""
-    chunks, held = _unzipped(data), bytearray()
+    """The records of one archive, cut by their Content-Length.
+
+    What is no whole record is told by one row of the type "error": where it lies and why in header, the bytes that are left out in
+    content_length, no block. Reading goes on at the next line that a record can begin at, so nothing behind is lost. A record whose length
+    is wrong is known by what follows it.
+    """
+    chunks, held, gone = _unzipped(data), bytearray(), 0
 
     def have(n: int) -> bool:
         while len(held) < n:
@@ -180,14 +195,37 @@ def parse_archive(data: bytes) -> Iterator[tuple]:
             held.extend(more)
         return True
 
+    def skip(reason: str) -> tuple:
+        """Drops what is held up to the next start of a record."""
+        nonlocal gone
+        at, seen = gone, 1
+        while not (m := START.search(held, max(0, seen - 8))):
+            seen = len(held)
+            if not have(seen + 1):
+                break
+        n = m.start() + 1 if m else len(held)
+        del held[:n]
+        gone += n
+        return "error", None, None, [], None, f"{reason}, at byte {at}", n, None
+
     while True:
         while have(1) and held[:1] in b"\r\n":
             del held[:1]
+            gone += 1
+        if not held:
+            return
+        if have(5) and not held.startswith(b"WARC/") or len(held) < 5:
+            yield skip("no record")
+            continue
         seen = 0
         while (end := held.find(b"\r\n\r\n", max(0, seen - 3))) < 0:
             seen = len(held)
             if not have(seen + 1):
-                return
+                break
+        inner = START.search(held, 1, end if end >= 0 else len(held))
+        if end < 0 or inner:
+            yield skip("a header without an end")
+            continue
         header = held[:end].decode("utf-8", "replace")
         fields: dict[str, list[str]] = {}
         for line in re.sub(r"\r\n[ \t]+", " ", header).split("\r\n")[1:]:
@@ -195,17 +233,24 @@ def parse_archive(data: bytes) -> Iterator[tuple]:
             fields.setdefault(name.strip().lower(), []).append(value.strip().removeprefix("<").removesuffix(">"))
         one = lambda name: fields.get(name, [None])[0]  # noqa: E731, B023
         size = one("content-length") or ""
-        if not header.startswith("WARC/") or not size.isdigit() or not have(end + 4 + int(size)):
-            return
-        block = bytes(held[end + 4 : end + 4 + int(size)])
-        del held[: end + 4 + int(size)]
+        stop = end + 4 + int(size) if size.isascii() and size.isdigit() else -1
+        if stop < 0 or not have(stop):
+            yield skip("a record without a length" if stop < 0 else "a record cut short")
+            continue
+        if have(stop + 1) and held[stop] not in b"\r\nW":
+            yield skip("a record of another length than it tells")
+            continue
+        block = bytes(held[end + 4 : stop])
+        del held[:stop]
+        gone += stop
         yield one("warc-type"), one("warc-record-id"), one("warc-target-uri"), fields.get("warc-concurrent-to", []), one("warc-refers-to"), header, int(size), block
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """The columns of read_records() for any writer's archives, plain or gzip by record or whole.
 
-    A file is one task's and must fit in memory as it is stored; its content is unpacked a record at a time.
+    A file is one task's and must fit in memory as it is stored; its content is unpacked a record at a time. What isn't a whole record is a
+    row of the type "error" (see parse_archive).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -508,6 +508,34 @@ def test_archives_of_other_writers(spark, tmp_path):
 # op1
 
 
+def test_a_broken_record_loses_nothing_behind_it(spark, tmp_path):
+    def record(k, body, length=None):
+        return f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:{k}>\r\nContent-Length: {len(body) if length is None else length}\r\n\r\n".encode() + body + b"\r\n\r\n"
+
+    good = [record(k, b"body %d \r\n\r\n WARC/ inside" % k) for k in range(6)]
+    broken = {
+        "no length": b"WARC/1.1\r\nWARC-Type: resource\r\n\r\nx\r\n\r\n", "too long": record(9, b"short", 60), "far too long": record(9, b"short", 10**9),
+        "too short": record(9, b"quite long a body", 3), "not a record": b"junk \x00\xff" * 50 + b"\r\n\r\n", "cut header": b"WARC/1.1\r\nWARC-Type: re\r\n",
+    }
+    for name, bad in broken.items():
+        found = [*warc.parse_archive(b"".join([*good[:3], bad, *good[3:]]))]
+        assert [r[1] for r in found if r[0] == "resource"] == [f"urn:{k}" for k in range(6)], name
+        errors = [r for r in found if r[0] == "error"]
+        assert len(errors) == 1 and errors[0][7] is None and errors[0][6] > 0 and "byte" in errors[0][5], name
+    end = [*warc.parse_archive(b"".join(good)[:-30])]
+    assert [r[0] for r in end] == ["resource"] * 5 + ["error"]
+    import gzip
+
+    members = [gzip.compress(g) for g in good]
+    torn = members[2][:20] + b"\x00" * 30 + members[2][50:]
+    found = [*warc.parse_archive(b"".join([*members[:2], torn, *members[3:]]))]
+    assert {"urn:0", "urn:1", "urn:3", "urn:4", "urn:5"} <= {r[1] for r in found} and "error" in {r[0] for r in found}
+    (tmp_path / "a.warc").write_bytes(b"".join([good[0], broken["too long"], good[1]]))
+    rows = warc.read_archives(spark, str(tmp_path)).collect()
+    assert sorted(r["record_type"] for r in rows) == ["error", "resource", "resource"]
+    assert warc.captures(warc.read_archives(spark, str(tmp_path))).count() == 2
+
+
 def test_surrogates_over_a_corpus(spark):
     """Distinct originals get distinct surrogates, equal ones equal ones, and no original is anybody's surrogate."""
     rng = np.random.default_rng(31)
@@ -560,6 +588,63 @@ def test_surrogates(spark):
     assert surnames[0] == surnames[1] and surnames[2].endswith("ова")
 
 
+LEAKS = [
+    ("Dr. John Smith called. Smith was late, John said. SMITH!", ["John", "Smith", "SMITH"]),
+    ("Dr. Anna Maria Smith wrote", ["Anna", "Maria", "Smith"]),
+    ("Mr. Smith-Jones and later Jones", ["Smith", "Jones"]),
+    ("Ms. O'Brien's car, so O'Brien left", ["O'Brien", "Brien"]),
+    ("Frau Müller-Lüdenscheidt kam. Müller-Lüdenscheidt ging", ["Müller", "Lüdenscheidt"]),
+    ("Mr. J. Smith and Dr. A. B. Jones.", ["Smith", "Jones", "J.", "A.", "B."]),
+    ("Mr. and Mrs. Smith came", ["Smith"]),
+    ("Mr. and Mrs smiled at Mrs. Brown", ["Brown"]),
+    ("Prof. Dr. Weber spoke", ["Weber"]),
+    ("Maria de la Cruz Ortega met Otto von Bismarck", ["Maria", "Cruz", "Ortega", "Otto", "Bismarck"]),
+    ("John F. Kennedy and Anna-Maria Schmidt", ["John", "Kennedy", "Anna", "Maria", "Schmidt"]),
+    ("господин Петров и Анна Иванова. Иванова ушла", ["Петров", "Анна", "Иванова"]),
+    ("Dr. Παπαδόπουλος came; Παπαδόπουλος left", ["Παπαδόπουλος"]),
+    ("card 4845 168114407329 and 2024 4845168114407329 12", ["168114407329", "4845168114407329"]),
+    ("password=CorrectHorseBatteryStaple token: abcdefghijklmnopQ secret = correcthorsebatterystaple", ["CorrectHorse", "abcdefgh", "correcthorse"]),
+]
+
+
+@pytest.mark.parametrize("text,gone", LEAKS)
+def test_nothing_of_an_entity_is_left(text, gone):
+    new, entities = pii.replaced(text, pii.Surrogates(b"k"), {})
+    for name in gone:
+        assert not re.search(rf"(?<!\w){re.escape(name)}(?!\w)", new), new
+    seen = {}
+    for e in entities:
+        assert text[e["start"] : e["end"]] != e["surrogate"]
+        plain = re.sub(r"[ \-]", "", e["surrogate"].lower())  # a card keeps its own blanks
+        assert seen.setdefault((e["type"], e["norm"]), plain) == plain
+    # What isn't an entity is as it was.
+    rest, other, at, shift = [], [], 0, 0
+    for e in entities:
+        rest.append(text[at : e["start"]])
+        other.append(new[at + shift : e["start"] + shift])
+        at, shift = e["end"], shift + len(e["surrogate"]) - (e["end"] - e["start"])
+    assert rest == other and new[at + shift :] == text[at:]
+
+
+def test_planted_names_go_and_prose_stays(spark):
+    """Names from a grammar of their own in prose: none is left, of which no part of the detector is asked."""
+    rng = np.random.default_rng(12)
+    syllable = lambda k: "".join(rng.choice(["ba", "ro", "lin", "ket", "mos", "dre", "vi", "sun"], k)).capitalize()
+    prose, rows = "the old mill by the river was quiet and nobody came near it until noon".split(), []
+    for i in range(300):
+        last = syllable(3) if rng.random() < 0.7 else f"{syllable(2)}-{syllable(3)}" if rng.random() < 0.5 else f"O'{syllable(2)}"
+        first = str(rng.choice(["Anna", "Peter", "Maria", "Otto"]))
+        lead = str(rng.choice([f"Dr. {last}", f"Mrs. {first} {last}", f"{first} {last}", f"Mr. {syllable(1)[0]}. {last}", f"{first} Q. {last}", f"Mr. and Mrs. {last}"]))
+        words = [str(w) for w in rng.choice(prose, 30)]
+        rows.append((i, " ".join([*words[:10], lead, *words[10:20], last, *words[20:]]), last, [*words[:10]]))
+    got = pii.surrogate_documents(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), "key").collect()
+    for r in got:
+        _, text, last, words = rows[r["doc_id"]]
+        assert last not in r["text"] and r["text"].split()[:10] == words and len(r["text"].split()) == len(text.split())
+        parts = [e["surrogate"] for e in r["entities"] if e["type"] == "surname"]
+        assert parts[: len(parts) // 2] == parts[len(parts) // 2 :] and parts  # the bare mention agrees with the first
+
+
 def test_shortcuts_find_what_the_patterns_do():
     phones = [f"{country}{area}555{last}7349" for country in ("", "+1", "+1 ", "+1.", "+44-") for area in ("(337)", "(337) ", "(337).", "(337)-", "337.", "337-") for last in " .-" if country != "+1" or area[0] == "("]
     phones += [f"+49{a}30{a}1234{a}5678" for a in " .-"]
