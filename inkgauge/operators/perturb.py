@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import lru_cache
 from hashlib import md5
 
@@ -16,9 +18,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..config import Settings
 from ..functions import maths as M
 from ..functions import text as T
-from . import edits
+from . import edits, markdown, pairs
 
 #: Phrases of a table; its automaton is built once in each worker.
 MOST_PHRASES = 100_000
@@ -200,3 +203,117 @@ def steadiness(perturbed: DataFrame, score, text_col: str = "text") -> DataFrame
 def phrase_pattern(phrases: list[str]) -> str:
     """An RE2 pattern of phrases, the longer first, for comparison with SQL."""
     return r"\b(?:" + "|".join(re.escape(p).replace(r"\ ", " ").replace(r"\-", "-") for p in sorted(phrases, key=lambda p: (-len(p), p))) + r")\b"
+
+
+def guarded(f: Callable[[str], str | None]) -> Callable[[Column], Column]:
+    """f, from a text to a text, as a column function by Arrow batches; null where f fails, so that one bad text stops nothing."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            try:
+                new = None if t is None else f(t)
+                out.append(new if isinstance(new, str) else None)
+            except Exception:  # noqa: BLE001  (whatever a caller's function raises leaves the text as it is)
+                out.append(None)
+        return pd.Series(out, dtype=object)
+
+    return run
+
+
+def apply_to_markdown(
+    docs: DataFrame, change: Callable[[Column], Column], *, id_col: str = "doc_id", text_col: str = "text", limit: int = 3500, protect_tables: bool = True
+) -> DataFrame:
+    """id, text, perturbed, n_chunks, n_failed, n_edits, strategy: markdown whose prose alone goes through `change`, chunk by chunk.
+
+    Prose, list items and quotations are cut into chunks of paragraphs (text.prose_chunks); each, with its outer white space kept, is replaced by
+    what `change` makes of it, or stays where that is null. All else stays as it is, so with an identity the text comes back whole. Ids must be
+    unique; null and empty texts stay. Chunks are rows of their own, so a long document is spread until it is put together again.
+    """
+    segs = markdown.segments(docs.where(F.col(id_col).isNotNull()), id_col, text_col, protect_tables)
+    open_ = ~F.col("protected") & F.col("kind").isin(*markdown.REWRITEABLE) & (T.strip(F.col("text")) != "")
+    parts = F.when(open_, T.prose_chunks(F.col("text"), limit)).otherwise(F.array("text"))
+    rows = segs.select(id_col, "seg", open_.alias("open"), F.posexplode(parts).alias("chunk", "old"))
+    rows = rows.withColumn("open", F.col("open") & (T.strip(F.col("old")) != "")).withColumn("made", F.when(F.col("open"), change(F.col("old"))))
+    new = F.when(F.col("made").isNotNull(), markdown.keep_outer_space(F.col("old"), F.col("made"))).otherwise(F.col("old"))
+    rows = rows.withColumn("new", new)
+    count = lambda c: F.sum(c.cast("long"))
+    whole = rows.groupBy(id_col).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg", "chunk", "new"))), lambda x: x["new"]), "").alias("__new"),
+        count(F.col("open")).alias("n_chunks"), count(F.col("open") & F.col("made").isNull()).alias("n_failed"), count(F.col("new") != F.col("old")).alias("n_edits"),
+    )
+    none = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return docs.select(id_col, text_col).join(whole, id_col, "left").select(
+        id_col, text_col, F.coalesce("__new", text_col).alias("perturbed"), none("n_chunks"), none("n_failed"), none("n_edits"), F.lit("markdown").alias("strategy")
+    )
+
+
+@dataclass(frozen=True)
+class Step:
+    """A step of a stack: change adds `perturbed` and `n_edits` to rows that have `text` and `doc_id` and keeps their other columns. soft lowers the gate's floor."""
+
+    name: str
+    change: Callable[[DataFrame], DataFrame]
+    soft: bool = False
+
+
+def phrases_step(table: dict[str, list[str]], seed: int = 13) -> Step:
+    return Step("phrases", lambda d: perturb_phrases(d, table, seed=seed).drop("edits", "strategy", "strength", "seed"), soft=True)
+
+
+def column_step(name: str, change: Callable[[Column], Column], soft: bool = False) -> Step:
+    """A step by a column function; where it gives null the text stays."""
+
+    def run(d: DataFrame) -> DataFrame:
+        new = d.withColumn("perturbed", F.coalesce(change(F.col("text")), "text"))
+        return new.withColumn("n_edits", F.when(F.col("perturbed") != F.col("text"), 1).otherwise(0).cast("long"))
+
+    return Step(name, run, soft)
+
+
+def _apart(d: DataFrame) -> DataFrame:
+    return d.mapInArrow(lambda batches: batches, d.schema)
+
+
+#: What a soft step's floor of similarity is to the gate's.
+SOFT = 0.70
+
+
+def perturb_stack(docs: DataFrame, steps: list[Step], settings: Settings = Settings(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:  # noqa: B008
+    """id, text, perturbed, n_edits, strategy, notes: the steps one after the other, each held against the original by the quality gate.
+
+    A step that changes nothing, or whose text the gate rejects (any reason but similarity, or similarity under the step's floor), leaves no trace
+    but a note; the next one starts from the last text that passed. Everything is made in the row: nothing is shuffled. Null texts stay null.
+    """
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__original"), F.col(text_col).alias("text"))
+    d = d.withColumns({"__edits": F.lit(0).cast("long"), "__applied": F.array().cast("array<string>"), "__notes": F.array().cast("array<string>")})
+    for step in steps:
+        # Rows go through Arrow between steps: else each step's expressions would be written out again wherever the next one uses them.
+        d = step.change(_apart(d))
+        kept = ["doc_id", "__original", "text", "__edits", "__applied", "__notes"]
+        row = F.struct(*kept, "perturbed", "n_edits").alias("pair_id")
+        d = _apart(d)
+        told = pairs.compare(d.select(row, F.col("__original").alias("original"), F.col("perturbed").alias("rewritten")), settings)
+        floor = settings.quality.min_similarity * (SOFT if step.soft else 1.0)
+        hard = F.array_remove("reasons", "similarity")
+        passed = (F.size(hard) == 0) & (F.col("similarity") >= floor)
+        told = _apart(told.select("pair_id.*", "reasons", "similarity")).select(*kept, "perturbed", "n_edits", "similarity", hard.alias("__hard"), passed.alias("__passed"))
+        same = F.col("perturbed").eqNullSafe(F.col("text")) | F.col("__original").isNull()
+        take = ~same & F.col("__passed")
+        why = F.when(F.size("__hard") > 0, F.array_join("__hard", ",")).otherwise("similarity")
+        note = (
+            F.when(same, F.lit(f"{step.name}:noop")).when(take, F.concat(F.lit(f"{step.name}:edits="), F.col("n_edits")))
+            .otherwise(F.concat(F.lit(f"{step.name}:rejected("), why, F.lit(")")))
+        )
+        d = told.select(
+            "doc_id", "__original", F.when(take, F.col("perturbed")).otherwise(F.col("text")).alias("text"),
+            (F.col("__edits") + F.when(take, F.col("n_edits")).otherwise(0)).alias("__edits"),
+            F.when(take, F.array_append("__applied", F.lit(step.name))).otherwise(F.col("__applied")).alias("__applied"),
+            F.array_append("__notes", note).alias("__notes"),
+        )
+    strategy = F.when(F.size("__applied") > 0, F.array_join("__applied", "+")).otherwise("identity")
+    return d.select(
+        F.col("doc_id").alias(id_col), F.col("__original").alias(text_col), F.col("text").alias("perturbed"), F.col("__edits").alias("n_edits"),
+        strategy.alias("strategy"), F.col("__notes").alias("notes"),
+    )

@@ -293,6 +293,21 @@ def perturbed_words(spark, sf_dir):
     return shown(d.select("doc_id", "n_edits", F.md5("text").alias("original"), F.md5("perturbed").alias("digest"), same.alias("restores")), "doc_id", "n_edits", "original", "digest", "restores")
 
 
+@query
+def perturbed_markdown(spark, sf_dir):
+    """The prose of markdown documents with figures for vowels, all else as it is."""
+    d = perturb.apply_to_markdown(_markdown(spark, sf_dir), lambda t: F.translate(t, "aeiou", "43102"))
+    return shown(d.withColumn("changed", F.col("n_edits") > 0), "doc_id", "perturbed", "n_failed", "changed")
+
+
+@query
+def perturbed_stack(spark, sf_dir):
+    """Three steps over every text: phrases, a cut that the gate rejects where it is too short, and one that changes nothing."""
+    cut = perturb.column_step("cut", lambda t: F.substr(t, F.lit(1), (F.length(t) / 2).cast("int")))
+    d = perturb.perturb_stack(injected(spark, sf_dir), [perturb.phrases_step(lexicon.PHRASE_SWAPS), cut, perturb.column_step("same", lambda t: t)])
+    return shown(d.select("doc_id", "n_edits", "strategy", F.array_join("notes", ";").alias("notes")), "doc_id", "n_edits", "strategy", "notes")
+
+
 @query
 def exact_keyed_hash(spark, sf_dir):
     """BLAKE2b of the documents' beginnings and the first number of the generator that it seeds; SQL has neither."""

@@ -302,6 +302,8 @@ SELECT doc_id, len(ps)::BIGINT AS n_paragraphs, coalesce(list_max(list_transform
     "edit_targets": _edit_sql,
     "perturbed_phrases": f"""WITH d AS (SELECT doc_id, lower(text) AS x FROM ({DOCS})), m AS (SELECT doc_id, len(regexp_extract_all(x, '{PHRASES}'))::BIGINT AS n_edits, regexp_split_to_array(x, '{PHRASES}')[1] AS before FROM d)
 SELECT doc_id, n_edits, CASE WHEN n_edits > 0 THEN length(before) ELSE -1 END::BIGINT AS first_start, true AS restores, 'phrases' AS strategy FROM m""",
+    "perturbed_markdown": SEGMENTS + f""" SELECT md.doc_id, coalesce(x.text, md.text) AS perturbed, 0::BIGINT AS n_failed, coalesce(x.text, md.text) <> md.text AS changed FROM md LEFT JOIN (
+  SELECT doc_id, string_agg(CASE WHEN {_prose} AND {strip('text')} <> '' THEN translate(text, 'aeiou', '43102') ELSE text END, '' ORDER BY seg) AS text FROM sg GROUP BY 1) x USING (doc_id)""",
     "perturbed_words": _edit_sql.removesuffix(_edit_select) + f""",
 o AS (SELECT word, list_filter([lead(word) OVER (ORDER BY rank), lead(word, 2) OVER (ORDER BY rank)], lambda x: x IS NOT NULL) AS options FROM ranks),
 roll AS (SELECT doc_id, pos, place, priority, k, options, ('0x' || substr(md5(concat_ws(chr(31), '13', doc_id, pos, 'keep')), 1, 7))::BIGINT / 268435456.0 AS u,

@@ -108,6 +108,53 @@ def test_words_and_offsets_agree_with_tokens(docs):
         assert [x["own"] for x in r["p"] if x["own"]] == r["w"]
 
 
+MARKDOWN = [
+    "---\ntitle: keep\n---\n# Head\n\nFirst paragraph.  \n\nSecond one\n\n- item a\n- item b\n> said\n\n```\ncode = 1\n```\n| a | b |\n<div>\ntail  ",
+    "para one\n\npara bad two\n\npara three", "", None, "   \n", "```\nonly code", "x" * 50 + "\n\n" + "bad",
+]
+
+
+def test_markdown_comes_back_whole_and_failures_keep_their_text(spark):
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(MARKDOWN)], "doc_id long, text string")
+    for f in (lambda t: t, perturb.guarded(lambda t: t)):
+        for limit in (1, 10, 3500):
+            rows = perturb.apply_to_markdown(d, f, limit=limit).collect()
+            assert len(rows) == len(MARKDOWN) and all(r["perturbed"] == r["text"] == MARKDOWN[r["doc_id"]] and r["n_edits"] == r["n_failed"] == 0 for r in rows)
+
+    def shout(t):
+        if "bad" in t:
+            raise RuntimeError("no")
+        return t.upper()
+
+    got = {r["doc_id"]: r for r in perturb.apply_to_markdown(d, perturb.guarded(shout), limit=12).collect()}
+    assert got[1]["perturbed"] == "PARA ONE\n\npara bad two\n\nPARA THREE" and got[1]["n_failed"] == 1 and got[1]["n_edits"] == 2
+    for kept in ("title: keep", "# Head", "code = 1", "| a | b |", "<div>"):
+        assert kept in got[0]["perturbed"]
+    assert "FIRST PARAGRAPH.  \n" in got[0]["perturbed"] and "- ITEM A\n" in got[0]["perturbed"] and got[0]["perturbed"].endswith("TAIL  ")
+    assert got[5]["perturbed"] == MARKDOWN[5] and got[5]["n_chunks"] == 0 and got[3]["perturbed"] is None
+
+
+def test_rejected_steps_leave_no_trace(spark):
+    long = "We leverage the tools in order to see the old river and the cold hills. " * 6
+    d = spark.createDataFrame([(1, long), (2, None), (3, ""), (4, "leverage")], "doc_id long, text string")
+    steps = [
+        perturb.phrases_step(TABLE), perturb.column_step("half", lambda t: F.substr(t, F.lit(1), F.lit(20))), perturb.column_step("gone", lambda t: F.lit("")),
+        perturb.column_step("fails", perturb.guarded(lambda t: 1 / 0)), perturb.column_step("dot", lambda t: F.concat(t, F.lit("."))),
+    ]
+    got = {r["doc_id"]: r for r in perturb.perturb_stack(d, steps).collect()}
+    r = got[1]
+    phrases = next(x for x in perturb.perturb_phrases(d, TABLE).collect() if x["doc_id"] == 1)
+    assert r["text"] == long and r["perturbed"] == phrases["perturbed"] + "." and r["strategy"] == "phrases+dot"
+    assert r["n_edits"] == phrases["n_edits"] + 1
+    assert r["notes"][0] == f"phrases:edits={phrases['n_edits']}" and r["notes"][1].startswith("half:rejected(too short") and r["notes"][2].startswith("gone:rejected(")
+    assert r["notes"][3:] == ["fails:noop", "dot:edits=1"]
+    assert got[2]["perturbed"] is None and got[2]["strategy"] == "identity" and got[2]["notes"] == [f"{s.name}:noop" for s in steps]
+    assert got[3]["text"] == "" and len(got) == 4
+    # Without the steps that were rejected the result is the same.
+    less = perturb.perturb_stack(d.where("doc_id = 1"), [steps[0], steps[4]]).first()
+    assert less["perturbed"] == r["perturbed"] and less["n_edits"] == r["n_edits"]
+
+
 def test_exact_hash_and_generator(spark):
     rows = [("", None), ("a", "b"), ("é", "\x1f"), ("x" * 10_000, "漢")]
     d = spark.createDataFrame(rows, "a string, b string")
