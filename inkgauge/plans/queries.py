@@ -14,10 +14,10 @@ from ..functions import keyed
 from ..functions import maths as M
 from ..functions import text as T
 from ..operators import detectors as D
-from ..operators import edits, evaluate, markdown, pairs, perturb, provenance
+from ..operators import edits, embedded, evaluate, markdown, pairs, perturb, provenance
 from ..sources.files import output_name, shared_folder, spread
 from ..streaming import detect as stream
-from . import sql
+from . import made_files, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -474,6 +474,40 @@ def outer_space(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", markdown.keep_outer_space(around, F.lit("  new ")).alias("text"))
 
 
+@query
+def image_provenance(spark, sf_dir):
+    """What image files made of the documents carry, and the packets or comments read back by their ranges."""
+    d = read(spark, sf_dir, "documents").select("doc_id", made_files.image_of(F.col("doc_id") % 4, made_files.packet(F.col("text"))).alias("content"))
+    found = F.col("embedded.found")
+    carried = F.filter(found, lambda f: f["kind"].isin("xmp", "comment"))
+    cut = F.transform(carried, lambda f: F.hex(F.substring(F.col("content"), f["start"].cast("int") + 1, (f["end"] - f["start"]).cast("int"))))
+    d = embedded.audit(d).select(
+        "doc_id", F.col("embedded.format").alias("format"), F.array_join(F.transform(found, lambda f: f["kind"]), ",").alias("kinds"),
+        F.array_min(F.transform(carried, lambda f: f["start"])).alias("first_start"), F.array_max(F.transform(carried, lambda f: f["end"])).alias("last_end"),
+        F.md5(F.unhex(F.array_join(cut, ""))).alias("digest"), F.col("embedded.error").isNull().alias("whole"),
+    )
+    return shown(d, "doc_id", "format", "kinds", "first_start", "last_end", "digest", "whole")
+
+
+@query
+def claim_assertions(spark, sf_dir):
+    """The content boxes of claim stores in PNG files made of the documents."""
+    store = made_files.claim_store(F.col("doc_id"), F.col("text"))
+    d = read(spark, sf_dir, "documents").select("doc_id", made_files.png(made_files.png_chunk(b"caBX", store)).alias("content"))
+    rows = embedded.assertions(embedded.audit(d), "doc_id")
+    rows = rows.select("doc_id", "manifest", "label", "content", "start", (F.col("end") - F.col("start")).alias("size"), F.md5(F.get_json_object("value", "$.text")).alias("digest"))
+    return shown(rows, "doc_id", "manifest", "label", "content", "start", "size", "digest")
+
+
+@query
+def pdf_provenance(spark, sf_dir):
+    """Information and metadata streams of PDF files made of the documents."""
+    d = read(spark, sf_dir, "documents").select("doc_id", made_files.pdf_of(F.col("doc_id"), made_files.packet(F.col("text"))).alias("content"))
+    rows = embedded.audit(d).select("doc_id", "content", F.col("embedded.error").isNull().alias("whole"), F.explode("embedded.found").alias("f")).select("doc_id", "content", "whole", "f.*")
+    cut = F.substring("content", F.col("start").cast("int") + 1, (F.col("end") - F.col("start")).cast("int"))
+    return shown(rows.withColumn("digest", F.md5(cut)), "doc_id", "kind", "name", "value", "start", "end", "digest", "whole")
+
+
 @query
 def suffix_kinds(spark, sf_dir):
     ends = F.expr("array('.HTML', '.png', '.pdf', '.md', '.tar.gz', '')")

@@ -8,12 +8,15 @@ from ..operators import detectors as D
 from ..operators import markdown as MD
 from ..operators import provenance as P
 from ..operators.perturb import phrase_pattern
+from .made_files import COMMENT_BYTES, OPENING
 
 STOCK = "In today's world, it is important to note that we leverage a wide range of robust tools. In conclusion, this article will delve into the landscape."
 Q = lambda s: s.replace("'", "''")
 SP = T.SPACE
 INJECTED = f"CASE WHEN doc_id % 5 = 0 THEN '{Q(STOCK)}' || ' ' || text ELSE text END"
 DOCS = f"SELECT doc_id, {INJECTED} AS text FROM documents"
+#: What the made image and PDF files carry.
+PACKETS = f"SELECT doc_id, '{OPENING}' || coalesce(text, '') AS x FROM documents"
 WORD = r"regexp_matches(x, '^\p{L}')"
 TOK = Q(T.TOKEN)
 
@@ -346,6 +349,20 @@ j AS (SELECT doc_id, array_to_string(list_transform(s, lambda x, i: CASE WHEN i
 SELECT doc_id, md5(j) AS digest, length(j)::BIGINT AS chars FROM j""",
     "outer_space": f"""SELECT doc_id, CASE WHEN {strip('x')} = '' THEN x ELSE regexp_extract(x, '^[{SP}]*') || 'new' || regexp_extract(x, '[{SP}]*$') END AS text FROM (
   SELECT doc_id, ' ' || chr(10) || chr(9) || substr(text, 1, 20) || chr(10) || ' ' AS x FROM documents)""",
+    "image_provenance": f"""WITH d AS (SELECT doc_id, doc_id % 4 AS kind, x, strlen(x)::BIGINT AS n FROM ({PACKETS}))
+SELECT doc_id, ['png', 'jpeg', 'webp', 'tiff'][kind + 1] AS format, CASE kind WHEN 0 THEN 'text,xmp' WHEN 1 THEN 'exif,tag' || repeat(',comment', ceil(n / {COMMENT_BYTES})::INT) WHEN 2 THEN 'xmp' ELSE 'tag,xmp' END AS kinds,
+  [92, 51, 20, 47][kind + 1]::BIGINT AS first_start, ([92, 51, 20, 47][kind + 1] + n + CASE kind WHEN 1 THEN 4 * (ceil(n / {COMMENT_BYTES}) - 1) ELSE 0 END)::BIGINT AS last_end, md5(x) AS digest, true AS whole FROM d""",
+    "claim_assertions": """WITH d AS (SELECT doc_id, text, strlen(text) AS n, 'urn:' || doc_id AS name, strlen(doc_id::VARCHAR) AS w FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
+a AS (SELECT *, 41 + 8 + (8 + 17 + 5) + 8 + (8 + 17 + 5 + w) + 8 + (8 + 17 + 16) + 8 + (8 + 17 + 13) + 8 AS s FROM d),
+b AS (SELECT *, s + 11 + n + 8 + (8 + 17 + 29) + 8 AS t FROM a)
+SELECT doc_id, name AS manifest, 'c2pa.actions' AS label, 'cbor' AS content, s::BIGINT AS start, (11 + n)::BIGINT AS size, md5(text) AS digest FROM b
+UNION ALL SELECT doc_id, name, 'stds.schema-org.CreativeWork', 'json', t::BIGINT, (11 + w)::BIGINT, md5(doc_id::VARCHAR) FROM b
+UNION ALL SELECT doc_id, name, 'c2pa.claim', 'cbor', (t + 11 + w + 8 + (8 + 17 + 11) + 8)::BIGINT, 15::BIGINT, md5('inkgauge') FROM b""",
+    "pdf_provenance": f"""WITH d AS (SELECT doc_id, x, strlen(x)::BIGINT AS n, '2 0 obj' || chr(10) || '<< /Producer (inkgauge \\(' || doc_id || '\\)) /Title <' || hex(doc_id::VARCHAR) || '> >>' || chr(10) || 'endobj' AS info FROM ({PACKETS})),
+e AS (SELECT *, 61::BIGINT AS s, 61 + strlen(info)::BIGINT AS t FROM d)
+SELECT doc_id, 'info' AS kind, 'Producer' AS name, 'inkgauge (' || doc_id || ')' AS value, s AS start, t AS "end", md5(info) AS digest, true AS whole FROM e
+UNION ALL SELECT doc_id, 'info', 'Title', doc_id::VARCHAR, s, t, md5(info), true FROM e
+UNION ALL SELECT doc_id, 'xmp', '', '', t + 1 + 49 + strlen(n::VARCHAR) + 11, t + 1 + 49 + strlen(n::VARCHAR) + 11 + n, md5(x), true FROM e""",
     "suffix_kinds": """SELECT page_id, ['html', 'image', 'pdf', 'text', 'other', 'other'][page_id % 6 + 1] AS kind, page_id || ['.HTML', '.png', '.pdf', '.md', '.tar.gz', ''][page_id % 6 + 1] || '.out' AS name FROM pages""",
     "event_rates": "SELECT date_trunc('hour', ts) AS start, event_type, count(*)::BIGINT AS events, round(sum(value), 6) AS value FROM events GROUP BY ALL",
     "embedding_cosine": "SELECT a.vec_id, b.vec_id AS other_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
