@@ -263,7 +263,7 @@ _edit_sql = query([RANKS], f""", h0 AS (SELECT doc_id, pos, tok, rank, CASE WHEN
 h1 AS (SELECT *, CASE WHEN lag(hint) OVER (PARTITION BY doc_id ORDER BY pos) > 0.6 THEN least(1.0, hint + 0.08) ELSE hint END AS prior FROM h0),
 h2 AS (SELECT *, round(prior * CASE WHEN tok IN {words_in(L.FUNCTION_WORDS)} THEN 0.15 WHEN rank <= 80 THEN 0.35 WHEN length(tok) < 4 THEN 0.25 ELSE 1 END, 6) AS priority, count(*) OVER (PARTITION BY doc_id) AS k FROM h1),
 h3 AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY priority DESC, pos) AS place FROM h2)""").replace("\n, h0", ",\nh0") + _edit_select
-PHRASES = Q(phrase_pattern([*L.PHRASE_SWAPS]))
+SWAPPED = Q(phrase_pattern([*L.PHRASE_SWAPS]))
 WORDS = r"\p{L}[\p{L}\p{Nl}\p{No}]*(?:''[\p{L}\p{Nl}\p{No}]+)?"
 
 ORACLE_SQL = {
@@ -303,7 +303,7 @@ SELECT doc_id, len(ps)::BIGINT AS n_paragraphs, coalesce(list_max(list_transform
     "prose_detect": query(STYLOMETRIC_PARTS, f"SELECT doc_id, n, {R('stylometric_score', 'stylometric_confidence')} FROM stylometric", SEGMENTS + f" SELECT md.doc_id, coalesce(x.text, md.text) AS text FROM md LEFT JOIN (SELECT doc_id, string_agg(text, '' ORDER BY seg) AS text FROM sg WHERE {_prose} AND {strip('text')} <> '' GROUP BY 1) x USING (doc_id)"),
     "reconstructed": "SELECT doc_id, CASE WHEN length(text) >= 10 THEN '<' || substr(text, 2, 7) || '>' || substr(text, 11) WHEN length(text) >= 9 THEN '<' || substr(text, 2, 4) || 'lost' || substr(text, 10) WHEN length(text) >= 1 THEN '<' || substr(text, 2) ELSE text END AS text FROM documents",
     "edit_targets": _edit_sql,
-    "perturbed_phrases": f"""WITH d AS (SELECT doc_id, lower(text) AS x FROM ({DOCS})), m AS (SELECT doc_id, len(regexp_extract_all(x, '{PHRASES}'))::BIGINT AS n_edits, regexp_split_to_array(x, '{PHRASES}')[1] AS before FROM d)
+    "perturbed_phrases": f"""WITH d AS (SELECT doc_id, lower(text) AS x FROM ({DOCS})), m AS (SELECT doc_id, len(regexp_extract_all(x, '{SWAPPED}'))::BIGINT AS n_edits, regexp_split_to_array(x, '{SWAPPED}')[1] AS before FROM d)
 SELECT doc_id, n_edits, CASE WHEN n_edits > 0 THEN length(before) ELSE -1 END::BIGINT AS first_start, true AS restores, 'phrases' AS strategy FROM m""",
     "perturbed_markdown": SEGMENTS + f""" SELECT md.doc_id, coalesce(x.text, md.text) AS perturbed, 0::BIGINT AS n_failed, coalesce(x.text, md.text) <> md.text AS changed FROM md LEFT JOIN (
   SELECT doc_id, string_agg(CASE WHEN {_prose} AND {strip('text')} <> '' THEN translate(text, 'aeiou', '43102') ELSE text END, '' ORDER BY seg) AS text FROM sg GROUP BY 1) x USING (doc_id)""",
