@@ -6,13 +6,16 @@ the corpus. parsed() lays the arrays down once; the features below refer to its
 
 from __future__ import annotations
 
+import math
+import re
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from .. import lexicon
 from . import maths as M
@@ -27,7 +30,7 @@ except ImportError:
 def parsed(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with raw, toks, words, lowers, n (words), sents, sent_words (lower-cased), sent_lens (as doubles)."""
     return (
-        docs.withColumn("raw", T.strip(F.coalesce(F.col(text), F.lit(""))))
+        docs.drop("scan", "word_counts").withColumn("raw", T.strip(F.coalesce(F.col(text), F.lit(""))))
         .withColumn("toks", T.tokens(F.col("raw")))
         .withColumn("words", F.filter("toks", T.is_word))
         .withColumn("lowers", F.transform("words", F.lower))
@@ -62,22 +65,54 @@ def _ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(0.0)
 
 
+@lru_cache(200_000)
+def _syllables(word: str) -> int:
+    """As text.syllables()."""
+    letters = re.sub("[^a-z]", "", word)
+    return max(1, len(re.findall("[aeiouy]+", letters.removesuffix("e")))) if letters else 0
+
+
+_wholes = ("types", "hapax", "squares", "syllables", "letters", "contractions", "triples")
+
+
+@F.pandas_udf(StructType([*[StructField(c, LongType()) for c in _wholes], StructField("pair_entropy", DoubleType())]))
+def count_words(lowers: pd.Series) -> pd.DataFrame:
+    """Of a document's words: types, hapax (words that occur once), squares (of counts), syllables, letters (characters),
+    contractions, triples (unlike runs of three words) and pair_entropy (of the runs of two, in nats).
+
+    Counters in an Arrow batch, since folds over sorted arrays are not compiled in the JVM.
+    """
+    out = []
+    for words in lowers:
+        words = list(words)
+        seen, n = Counter(words), max(1, len(words) - 1)
+        sizes, pairs = Counter(seen.values()), Counter(Counter(zip(words, words[1:])).values())  # noqa: B905
+        out.append((
+            len(seen), sizes[1], sum(r * r * k for r, k in sizes.items()), sum(_syllables(w) * k for w, k in seen.items()), sum(map(len, words)),
+            sum(k for w, k in seen.items() if "'" in w), len(set(zip(words, words[1:], words[2:]))), -math.fsum(k * (r / n) * math.log(r / n + 1e-12) for r, k in pairs.items()),  # noqa: B905
+        ))
+    return pd.DataFrame(out, columns=[*_wholes, "pair_entropy"])
+
+
+def counted(d: DataFrame) -> DataFrame:
+    """parsed rows with word_counts, which richness, readability and style share."""
+    return d if "word_counts" in d.columns else d.withColumn("word_counts", count_words("lowers"))
+
+
 def richness(d: DataFrame) -> DataFrame:
     """parsed rows with ttr, hapax, yules_k, honores_r."""
-    n = F.col("n")
-    d = d.withColumn("__h", T.hashed_ngrams(F.col("lowers"), 1)).withColumn("__r", runs("__h"))
-    v, v1 = F.col("__r.types"), F.col("__r.hapax")
+    d, n = counted(d), F.col("n")
+    v, v1 = F.col("word_counts.types"), F.col("word_counts.hapax")
     return (
         d.withColumn("ttr", _ratio(v, n)).withColumn("hapax", _ratio(v1, n))
-        .withColumn("yules_k", F.when(n < 8, 0.0).otherwise(1e4 * (F.col("__r.squares") - n) / (n.cast("double") * n)))
+        .withColumn("yules_k", F.when(n < 8, 0.0).otherwise(1e4 * (F.col("word_counts.squares") - n) / (n.cast("double") * n)))
         .withColumn("honores_r", F.when((n < 8) | (v1 == v), 0.0).otherwise(100 * F.log(n.cast("double")) / (1 - v1 / v)))
-        .drop("__r", "__h")
     )
 
 
-def readability(sents: Column, words: Column) -> Column:
-    """Flesch reading ease."""
-    syll = T.total_syllables(words)
+def readability(sents: Column, words: Column, syllables: Column | None = None) -> Column:
+    """Flesch reading ease; syllables, where they are counted already, are the words'."""
+    syll = T.total_syllables(words) if syllables is None else syllables
     ease = 206.835 - 1.015 * F.size(words) / F.size(sents) - 84.6 * syll / F.size(words)
     return F.when((F.size(sents) > 0) & (F.size(words) > 0), ease).otherwise(0.0)
 
@@ -119,9 +154,15 @@ def opener_score(sents: Column) -> Column:
     return F.when(k == 0, 0.0).otherwise(M.clamp(hits / F.greatest(F.lit(2.0), F.size(checked) / 3.0)))
 
 
-def ngram_reuse(grams: Column) -> Column:
-    k = F.size(grams)
-    return F.when(k < 12, 0.0).otherwise(M.clamp((k - F.size(F.array_distinct(grams))) / k * 4.0))
+def triple_reuse(n: Column) -> Column:
+    """Of counted rows: how many of a document's runs of three words repeat another; n are its words."""
+    k = F.greatest(F.lit(0), n - 2)
+    return F.when(k < 12, 0.0).otherwise(M.clamp((k - F.col("word_counts.triples")) / k * 4.0))
+
+
+def bigram_entropy(n: Column) -> Column:
+    """Of counted rows: the entropy of a document's runs of two words."""
+    return F.when(n > 1, F.col("word_counts.pair_entropy")).otherwise(0.0)
 
 
 def punctuation(d: DataFrame) -> DataFrame:
@@ -172,15 +213,15 @@ def adjacent_similarity(sent_words: Column) -> Column:
 
 def style_ratios(d: DataFrame) -> DataFrame:
     """parsed rows with comma_ratio, contraction_ratio, digit_ratio, quote_count, avg_syllables, mean_wl."""
-    n = F.greatest(F.lit(1), F.col("n"))
+    d, n = counted(d), F.greatest(F.lit(1), F.col("n"))
     count = lambda c: F.regexp_count("raw", F.lit(c))
     return (
         d.withColumn("comma_ratio", F.size(F.filter("toks", lambda t: t == ",")) / n)
-        .withColumn("contraction_ratio", F.size(F.filter("words", lambda w: F.contains(w, F.lit("'")))) / n)
+        .withColumn("contraction_ratio", F.col("word_counts.contractions") / n)
         .withColumn("digit_ratio", F.size(F.filter("toks", lambda t: t.rlike(r"^\p{Nd}"))) / F.greatest(F.lit(1), F.size("toks")))
         .withColumn("quote_count", count('"') + count("“") + count("’s"))
-        .withColumn("avg_syllables", T.total_syllables(F.col("words")) / n)
-        .withColumn("mean_wl", F.aggregate("words", F.lit(0), lambda a, w: a + F.length(w)) / n)
+        .withColumn("avg_syllables", F.col("word_counts.syllables") / n)
+        .withColumn("mean_wl", F.col("word_counts.letters") / n)
     )
 
 

@@ -72,15 +72,6 @@ def ngrams(items: Column, n: int) -> Column:
     return zipped
 
 
-def hashed_ngrams(items: Column, n: int) -> Column:
-    """A 64-bit hash for each run of n items: as good as the run where runs are only counted, and much quicker to compare."""
-    k = F.greatest(F.size(items) - n + 1, F.lit(0))
-    out = F.transform(F.slice(items, 1, k), lambda x: F.xxhash64(x))
-    for i in range(1, n):
-        out = F.zip_with(out, F.slice(items, i + 1, k), lambda h, x: F.xxhash64(h, x))
-    return out
-
-
 def flat(c: Column) -> Column:
     """The lower-cased text with single blanks."""
     return F.regexp_replace(F.lower(c), rf"[{SPACE}]+", " ")

@@ -78,7 +78,7 @@ def classical_features(d: DataFrame, ranks: dict[str, int]) -> DataFrame:
         d.withColumn("perplexity", perplexity(F.col("lowers"), ranks))
         .withColumn("phrase_density", X.phrase_density(F.col("raw"), F.col("n")))
         .withColumn("opener_score", X.opener_score(F.col("sents")))
-        .withColumn("ngram_reuse", X.ngram_reuse(T.hashed_ngrams(F.col("lowers"), 3)))
+        .withColumn("ngram_reuse", X.triple_reuse(F.col("n")))
         .withColumn("function_word_ratio", X.function_word_ratio(F.col("lowers")))
     )
 
@@ -103,10 +103,8 @@ def stylometric_features(d: DataFrame) -> DataFrame:
     return (
         d.withColumn("function_word_fit", X.function_word_fit(F.col("lowers")))
         .withColumn("start_diversity", X.start_diversity(F.col("sent_words")))
-        .withColumn("__b", T.hashed_ngrams(F.col("lowers"), 2))
-        .withColumn("bigram_entropy", F.when(F.size("__b") > 0, X.runs("__b")["entropy"]).otherwise(0.0))
+        .withColumn("bigram_entropy", X.bigram_entropy(F.col("n")))
         .withColumn("adjacent_similarity", X.adjacent_similarity(F.col("sent_words")))
-        .drop("__b")
     )
 
 
@@ -207,7 +205,9 @@ def promoted_spans(spans: Column, most: int = 16) -> Column:
 
 def detect(docs: DataFrame, ranks: dict[str, int], settings: Settings = Settings(), text: str = "text") -> DataFrame:  # noqa: B008
     """All three detectors and the ensemble over docs.text."""
-    d = X.parsed(docs, text)
+    d = X.counted(X.parsed(docs, text))
+    if "statistical" in settings.detect.detectors:
+        d = X.scanned(d)  # beside the counts: one exchange with Python serves both
     for name in settings.detect.detectors:
         d = {"classical": lambda x: classical(x, ranks), "stylometric": stylometric, "statistical": lambda x: statistical(x, ranks)}[name](d)
     return ensemble(d, settings)

@@ -111,8 +111,8 @@ def char_trigrams(spark, sf_dir):
 
 @query
 def ngram_reuse(spark, sf_dir):
-    d = parsed(spark, sf_dir)
-    return shown(d.withColumn("ngram_reuse", X.ngram_reuse(T.ngrams(F.col("lowers"), 3))), "doc_id", "ngram_reuse")
+    d = X.counted(parsed(spark, sf_dir))
+    return shown(d.withColumn("ngram_reuse", X.triple_reuse(F.col("n"))), "doc_id", "ngram_reuse")
 
 
 @query
@@ -123,7 +123,7 @@ def window_counts(spark, sf_dir):
 
 @query
 def readability_richness(spark, sf_dir):
-    d = X.richness(parsed(spark, sf_dir)).withColumn("flesch", X.readability(F.col("sents"), F.col("words")))
+    d = X.richness(parsed(spark, sf_dir)).withColumn("flesch", X.readability(F.col("sents"), F.col("words"), F.col("word_counts.syllables")))
     d = d.join(read(spark, sf_dir, "labels"), "doc_id", "left")
     return shown(d, "doc_id", "n", "flesch", "ttr", "hapax", "yules_k", "honores_r", "quality", "toxic")
 
@@ -158,8 +158,7 @@ def punctuation_uniformity(spark, sf_dir):
 
 @query
 def bigram_entropy(spark, sf_dir):
-    d = parsed(spark, sf_dir).withColumn("b", T.hashed_ngrams(F.col("lowers"), 2))
-    return shown(d.withColumn("bigram_entropy", F.when(F.size("b") > 0, X.runs("b")["entropy"]).otherwise(0.0)), "doc_id", "bigram_entropy")
+    return shown(X.counted(parsed(spark, sf_dir)).withColumn("bigram_entropy", X.bigram_entropy(F.col("n"))), "doc_id", "bigram_entropy")
 
 
 @query
@@ -372,7 +371,7 @@ def provenance_audit(spark, sf_dir):
 @query
 def corpus_report(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.expr(sql.INJECTED.replace("''", "\\'")).alias("text"))
-    d = X.richness(X.parsed(docs)).withColumn("flesch", X.readability(F.col("sents"), F.col("words")))
+    d = X.richness(X.parsed(docs)).withColumn("flesch", X.readability(F.col("sents"), F.col("words"), F.col("word_counts.syllables")))
     # One row for each language and source is summed before the roll-up, so the roll-up doesn't multiply the corpus.
     parts = d.groupBy("lang", "source").agg(F.count("*").alias("d"), F.sum("n").alias("w"), F.sum("flesch").alias("f"), F.sum("ttr").alias("t"))
     out = parts.rollup("lang", "source").agg(
