@@ -6,12 +6,15 @@ in as a function of one text and run as an Arrow-batched UDF, whose failures bec
 
 from __future__ import annotations
 
+import importlib.util
 import logging
+import sys
 from collections.abc import Callable
 from importlib import metadata
+from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import detectors as D
@@ -66,6 +69,44 @@ class Registry:
             except Exception as x:  # a broken plug-in must not stop the others
                 log.warning("detector %s can't be loaded: %s", e.name, x)
 
+    def load_folder(self, spark: SparkSession, folder: str | Path) -> list[str]:
+        """Detectors of a folder's modules (*.py but _*.py), which are run here and shipped to the executors; their names.
+
+        A module tells them in DETECTORS, a list of functions of one text or of classes with a method score(text), or as a class
+        Plugin; an attribute `name` goes before the function's or class's own name, `family` tells the family. Left out, with a warning: a
+        folder that isn't there, a module that fails or is named like one that is installed, a built-in detector's name, what can't be called.
+        Only give folders whose code you trust.
+        """
+        found = []
+        if not Path(folder).expanduser().is_dir():
+            log.warning("no folder of detectors %s", folder)
+            return found
+        for path in sorted(Path(folder).expanduser().glob("[!_]*.py")):
+            module = None
+            try:
+                # A function is sent by its module's name, so that must mean the same module on every executor.
+                if path.stem in sys.modules or importlib.util.find_spec(path.stem):
+                    raise ImportError("a module of that name is installed")
+                spec = importlib.util.spec_from_file_location(path.stem, path)
+                module = sys.modules[path.stem] = importlib.util.module_from_spec(spec)
+                spec.loader.exec_module(module)
+                told = [*getattr(module, "DETECTORS", []), *([module.Plugin] if hasattr(module, "Plugin") else [])]
+                scores = {(getattr(x, "name", None) or x.__name__).lower(): (x().score if isinstance(x, type) else x, getattr(x, "family", "classical")) for x in told}
+                spark.sparkContext.addPyFile(str(path))
+            except (Exception, SystemExit) as x:  # a broken module must not stop the others, nor this process
+                log.warning("detectors of %s can't be loaded: %s", path, x)
+                if module is not None:
+                    del sys.modules[path.stem]
+                continue
+            for name, (score, family) in scores.items():
+                if name in self.built_in or not callable(score):
+                    log.warning("detector %s of %s is left out", name, path)
+                    continue
+                self.known.pop(name, None)
+                self.register_function(name, score, family)
+                found.append(name)
+        return found
+
     def create(self, name: str) -> Detector:
         if name not in self.known:
             raise KeyError(f"no detector {name}; there are {', '.join(sorted(self.known))}")
