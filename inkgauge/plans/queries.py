@@ -431,7 +431,7 @@ def prose_chunks(spark, sf_dir):
 @query
 def protected_offsets(spark, sf_dir):
     """Where URLs and addresses stand in texts of which every fourth has some that touch."""
-    text = F.when(F.col("doc_id") % 4 == 0, F.concat(F.substr("text", F.lit(1), F.lit(30)), F.lit(" https://a.example/x?y=jo@b.example and q@c.example "))).otherwise(F.col("text"))
+    text = F.when(F.col("doc_id") % 4 == 0, F.concat("text", F.lit(" https://a.example/x?y=jo@b.example and q@c.example "))).otherwise(F.col("text"))
     d = read(spark, sf_dir, "documents").select("doc_id", F.explode(T.protected_offsets(text)).alias("s")).select("doc_id", "s.*")
     return shown(d, "doc_id", "start", "end")
 
@@ -469,7 +469,7 @@ def joined_sentences(spark, sf_dir):
 
 @query
 def outer_space(spark, sf_dir):
-    around = F.concat(F.lit(" \n\t"), F.substr("text", F.lit(1), F.lit(20)), F.lit("\n "))
+    around = F.concat(F.lit(" \n\t"), "text", F.lit("\n "))
     return read(spark, sf_dir, "documents").select("doc_id", markdown.keep_outer_space(around, F.lit("  new ")).alias("text"))
 
 

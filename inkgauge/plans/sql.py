@@ -334,7 +334,7 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_edits, md5(text) AS original, md5(coa
 )', '\1' || chr(1), 'g'), chr(1)), lambda x: [x]) AS ps FROM documents),
 c AS (SELECT doc_id, list_filter(list_reduce(ps, lambda a, x: CASE WHEN length(a[len(a)]) + length(x[1]) <= 300 THEN list_append(a[1:len(a) - 1], a[len(a)] || x[1]) ELSE list_append(a, x[1]) END), lambda x: x <> '') AS c FROM p)
 SELECT doc_id, len(c)::BIGINT AS n_chunks, coalesce(list_max(list_transform(c, lambda x: length(x))), 0)::BIGINT AS longest, md5(array_to_string(c, '|')) AS digest FROM c""".replace("\\\\", "\\"),
-    "protected_offsets": f"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN substr(text, 1, 30) || ' https://a.example/x?y=jo@b.example and q@c.example ' ELSE text END AS x FROM documents),
+    "protected_offsets": f"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN text || ' https://a.example/x?y=jo@b.example and q@c.example ' ELSE text END AS x FROM documents),
 m AS ({' UNION ALL '.join(f"SELECT doc_id, i, hits[i] AS hit, list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda h: length(h))), 0) AS s FROM (SELECT doc_id, hits, gaps, unnest(generate_series(1, len(hits))) AS i FROM (SELECT doc_id, regexp_extract_all(x, '{Q(p)}') AS hits, regexp_split_to_array(x, '{Q(p)}') AS gaps FROM d))" for p in (T.URL, T.EMAIL))}),
 s AS (SELECT doc_id, s::BIGINT AS s, (s + length(hit))::BIGINT AS e FROM m),
 f AS (SELECT *, coalesce(s > max(e) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true)::INT AS fresh FROM s),
@@ -348,7 +348,7 @@ SELECT doc_id, CASE WHEN w = upper(w) AND w <> lower(w) THEN 'ÉXAMPLE' WHEN sub
 j AS (SELECT doc_id, array_to_string(list_transform(s, lambda x, i: CASE WHEN i = len(s) OR regexp_matches(x, '[.!?:;]$') THEN x ELSE x || '.' END), ' ') AS j FROM s)
 SELECT doc_id, md5(j) AS digest, length(j)::BIGINT AS chars FROM j""",
     "outer_space": f"""SELECT doc_id, CASE WHEN {strip('x')} = '' THEN x ELSE regexp_extract(x, '^[{SP}]*') || 'new' || regexp_extract(x, '[{SP}]*$') END AS text FROM (
-  SELECT doc_id, ' ' || chr(10) || chr(9) || substr(text, 1, 20) || chr(10) || ' ' AS x FROM documents)""",
+  SELECT doc_id, ' ' || chr(10) || chr(9) || text || chr(10) || ' ' AS x FROM documents)""",
     "image_provenance": f"""WITH d AS (SELECT doc_id, doc_id % 4 AS kind, x, strlen(x)::BIGINT AS n FROM ({PACKETS}))
 SELECT doc_id, ['png', 'jpeg', 'webp', 'tiff'][kind + 1] AS format, CASE kind WHEN 0 THEN 'text,xmp' WHEN 1 THEN 'exif,tag' || repeat(',comment', ceil(n / {COMMENT_BYTES})::INT) WHEN 2 THEN 'xmp' ELSE 'tag,xmp' END AS kinds,
   [92, 51, 20, 47][kind + 1]::BIGINT AS first_start, ([92, 51, 20, 47][kind + 1] + n + CASE kind WHEN 1 THEN 4 * (ceil(n / {COMMENT_BYTES}) - 1) ELSE 0 END)::BIGINT AS last_end, md5(x) AS digest, true AS whole FROM d""",
