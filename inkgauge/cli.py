@@ -1,4 +1,4 @@
-"""Command line: detect, batch, eval, audit, doctor, config, version. `python -m inkgauge.cli detect DIR --json`"""
+"""Command line: detect, batch, eval, audit (texts and pages), inspect (images and PDFs), doctor, config, version. `python -m inkgauge.cli detect DIR --json`"""
 
 from __future__ import annotations
 
@@ -15,7 +15,7 @@ from . import __version__
 from .config import ConfigError, load
 from .functions import text as T
 from .lexicon import word_ranks
-from .operators import evaluate, provenance
+from .operators import embedded, evaluate, provenance
 from .operators.detectors import collected_ranks
 from .sources import files
 
@@ -42,7 +42,7 @@ def main(args: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="inkgauge", description=__doc__)
     p.add_argument("--config")
     verbs = p.add_subparsers(dest="verb", required=True)
-    for verb in ("detect", "audit"):
+    for verb in ("detect", "audit", "inspect"):
         v = verbs.add_parser(verb)
         v.add_argument("paths", nargs="+")
         v.add_argument("--json", action="store_true")
@@ -87,6 +87,10 @@ def main(args: list[str] | None = None) -> int:
             "doc_id", provenance.html_meta(t).alias("metas"), provenance.html_link(t).alias("links"), provenance.json_ld(t).alias("json_ld"),
             provenance.xmp_packets(t).alias("xmp"), provenance.markers(t).alias("markers"),
         )
+    elif o.verb == "inspect":
+        found = embedded.audit(files.read_bytes(spark, *o.paths, glob=files.MEDIA_GLOB))
+        told = F.coalesce("error", "embedded.error").alias("error")
+        out = found.select("path", F.col("embedded.format").alias("format"), told, F.explode_outer("embedded.found").alias("f")).select("path", "format", "f.*", "error")
     else:
         one = lambda path, c: files.read_texts(spark, path, suffixes=None).select(F.lit(1).alias("pair_id"), F.col("text").alias(c))
         pair = one(o.original, "original").join(one(o.rewritten, "rewritten"), "pair_id")

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 # Names that a directory scan takes, and the largest file that is read as bytes.
 SUFFIXES = ("md", "markdown", "txt", "html", "htm", "rst", "org")
+MEDIA_SUFFIXES = ("jpg", "jpeg", "png", "webp", "tif", "tiff", "pdf")
 MOST_BYTES = 50 * 1024 * 1024
+#: Names of image and PDF files, in any case.
+MEDIA_GLOB = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in s) for s in MEDIA_SUFFIXES) + "}"
 
 
 def read_texts(spark: SparkSession, *paths: str, suffixes: tuple[str, ...] | None = SUFFIXES) -> DataFrame:

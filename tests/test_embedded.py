@@ -207,3 +207,15 @@ def test_rows(spark):
     rows = E.assertions(audited, "path").collect()
     assert [(r.manifest, r.label, r.content, json.loads(r.value) if r.value else None) for r in rows] == CLAIMS
     assert E.findings(audited, "path").count() == 1 and E.findings(E.audit(files.limit(0)), "path").count() == 0
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from inkgauge import cli
+
+    (tmp_path / "below").mkdir()
+    for name, data in {"a.PNG": png(chunk(b"tEXt", b"Title\0a")), "below/b.pdf": document(), "c.txt": b"text", "d.jpeg": b"\xff\xd8\xff\xe1\0", "e.webp": webp()}.items():
+        (tmp_path / name).write_bytes(data)
+    assert cli.main(["inspect", str(tmp_path), "--json"]) == 0
+    rows = [json.loads(x) for x in capsys.readouterr().out.splitlines()]
+    told = sorted((r["path"].rsplit("/", 1)[1], r["format"], r.get("kind", ""), "error" in r) for r in rows)
+    assert told == [("a.PNG", "png", "text", False), *[("b.pdf", "pdf", k, False) for k in ("info", "info", "info", "jumbf", "xmp", "xmp")], ("d.jpeg", "jpeg", "", True), ("e.webp", "webp", "", False)]
