@@ -9,10 +9,12 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
@@ -72,6 +74,13 @@ def _syllables(word: str) -> int:
     return max(1, len(re.findall("[aeiouy]+", letters.removesuffix("e")))) if letters else 0
 
 
+def lists(items: pa.Array) -> Iterator[list[str]]:
+    """Each row's items of a list array, one row after the other: a batch's words are never all Python objects at once."""
+    starts, values = items.offsets.to_numpy(), items.values
+    for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+        yield values.slice(a, b - a).to_numpy(zero_copy_only=False).tolist()
+
+
 _wholes = ("types", "hapax", "squares", "syllables", "letters", "contractions", "triples")
 
 

@@ -272,10 +272,6 @@ def column_step(name: str, change: Callable[[Column], Column], soft: bool = Fals
     return Step(name, run, soft)
 
 
-def _apart(d: DataFrame) -> DataFrame:
-    return d.mapInArrow(lambda batches: batches, d.schema)
-
-
 #: What a soft step's floor of similarity is to the gate's.
 SOFT = 0.70
 
@@ -289,17 +285,19 @@ def perturb_stack(docs: DataFrame, steps: list[Step], settings: Settings = Setti
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__original"), F.col(text_col).alias("text"))
     d = d.withColumns({"__edits": F.lit(0).cast("long"), "__applied": F.array().cast("array<string>"), "__notes": F.array().cast("array<string>")})
     for step in steps:
-        # Rows go through Arrow between steps: else each step's expressions would be written out again wherever the next one uses them.
-        d = step.change(_apart(d))
+        # Rows are laid down between steps: else each step's expressions would be written out again wherever the next one uses them.
+        d = step.change(pairs.apart(d))
         kept = ["doc_id", "__original", "text", "__edits", "__applied", "__notes"]
-        row = F.struct(*kept, "perturbed", "n_edits").alias("pair_id")
-        d = _apart(d)
-        told = pairs.compare(d.select(row, F.col("__original").alias("original"), F.col("perturbed").alias("rewritten")), settings)
+        same = F.col("perturbed").eqNullSafe(F.col("text")) | F.col("__original").isNull()
+        row = F.struct(*kept, "perturbed", "n_edits", "__same").alias("pair_id")
+        d = pairs.apart(pairs.apart(d).withColumn("__same", same))
+        changed = lambda c: F.when(~F.col("__same"), F.col(c))  # noqa: E731  (where nothing changed, the gate has nothing to tell)
+        told = pairs.compare(d.select(row, changed("__original").alias("original"), changed("perturbed").alias("rewritten")), settings)
         floor = settings.quality.min_similarity * (SOFT if step.soft else 1.0)
         hard = F.array_remove("reasons", "similarity")
         passed = (F.size(hard) == 0) & (F.col("similarity") >= floor)
-        told = _apart(told.select("pair_id.*", "reasons", "similarity")).select(*kept, "perturbed", "n_edits", "similarity", hard.alias("__hard"), passed.alias("__passed"))
-        same = F.col("perturbed").eqNullSafe(F.col("text")) | F.col("__original").isNull()
+        told = pairs.apart(told.select("pair_id.*", "reasons", "similarity")).select(*kept, "perturbed", "n_edits", "__same", hard.alias("__hard"), passed.alias("__passed"))
+        same = F.col("__same")
         take = ~same & F.col("__passed")
         why = F.when(F.size("__hard") > 0, F.array_join("__hard", ",")).otherwise("similarity")
         note = (

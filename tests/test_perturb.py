@@ -182,3 +182,11 @@ def test_exact_hash_and_generator(spark):
     none = d.select(keyed.uniforms(F.lit(None).cast("string"), 2).alias("u")).first()
     assert none["u"] is None
     assert lexicon.PHRASE_SWAPS and d.select(M.uniform([F.col("a")], 3)).count() == 4
+
+
+def test_a_stack_has_few_python_processes(spark):
+    """Each exchange with Python is a process of its own in every task, and each holds a batch of texts."""
+    steps = [perturb.phrases_step(TABLE), perturb.column_step("half", lambda t: F.substr(t, F.lit(1), F.lit(20))), perturb.column_step("same", lambda t: t)]
+    d = spark.createDataFrame([(1, "a wide range of things. " * 9), (2, None)], "doc_id long, text string")
+    plan = perturb.perturb_stack(d, steps)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"ArrowEvalPython|MapInArrow|PythonMapInArrow", plan)) <= 1 + len(steps)
