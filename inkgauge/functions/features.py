@@ -13,7 +13,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -84,23 +83,24 @@ def lists(items: pa.Array) -> Iterator[list[str]]:
 _wholes = ("types", "hapax", "squares", "syllables", "letters", "contractions", "triples")
 
 
-@F.pandas_udf(StructType([*[StructField(c, LongType()) for c in _wholes], StructField("pair_entropy", DoubleType())]))
-def count_words(lowers: pd.Series) -> pd.DataFrame:
+@F.arrow_udf(StructType([*[StructField(c, LongType()) for c in _wholes], StructField("pair_entropy", DoubleType())]))
+def count_words(lowers: pa.Array) -> pa.Array:
     """Of a document's words: types, hapax (words that occur once), squares (of counts), syllables, letters (characters),
     contractions, triples (unlike runs of three words) and pair_entropy (of the runs of two, in nats).
 
     Counters in an Arrow batch, since folds over sorted arrays are not compiled in the JVM.
     """
     out = []
-    for words in lowers:
-        words = list(words)
+    for words in lists(lowers):
         seen, n = Counter(words), max(1, len(words) - 1)
         sizes, pairs = Counter(seen.values()), Counter(Counter(zip(words, words[1:])).values())  # noqa: B905
         out.append((
             len(seen), sizes[1], sum(r * r * k for r, k in sizes.items()), sum(_syllables(w) * k for w, k in seen.items()), sum(map(len, words)),
             sum(k for w, k in seen.items() if "'" in w), len(set(zip(words, words[1:], words[2:]))), -math.fsum(k * (r / n) * math.log(r / n + 1e-12) for r, k in pairs.items()),  # noqa: B905
         ))
-    return pd.DataFrame(out, columns=[*_wholes, "pair_entropy"])
+    columns = zip(*out, strict=True) if out else [[]] * (len(_wholes) + 1)
+    kinds = [*[pa.int64()] * len(_wholes), pa.float64()]
+    return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[*_wholes, "pair_entropy"])
 
 
 def counted(d: DataFrame) -> DataFrame:
@@ -246,8 +246,8 @@ KEPT_PAIRS = 200_000
 _arrays = [StructField(c, ArrayType(IntegerType())) for c in ("hits", "first", "second")]
 
 
-@F.pandas_udf(StructType([*_arrays, StructField("pairs", IntegerType()), StructField("steady", DoubleType())]))
-def scan(lowers: pd.Series) -> pd.DataFrame:
+@F.arrow_udf(StructType([*_arrays, StructField("pairs", IntegerType()), StructField("steady", DoubleType())]))
+def scan(lowers: pa.Array) -> pa.Array:
     """By seed, how many words of a document but the first are green; for the first two seeds, which ones are. Beside
     them the pairs of words that go on twice at least, and the sum of their commonest next words' shares.
 
@@ -265,8 +265,7 @@ def scan(lowers: pd.Series) -> pd.DataFrame:
         known.update(zip(pairs, (green.reshape(-1, len(seeds)) @ (1 << bits)).tolist(), strict=True))
 
     out = []
-    for words in lowers:
-        words = list(words)
+    for words in lists(lowers):
         pairs = [*zip(words, words[1:])]  # noqa: B905
         if len(known) > KEPT_PAIRS:
             known.clear()
@@ -280,7 +279,9 @@ def scan(lowers: pd.Series) -> pd.DataFrame:
             if before[x, y] > 1 and n > top.get((x, y), 0):
                 top[x, y] = n
         out.append(((m[:, None] >> bits & 1).sum(0, dtype=np.int32), m & 1, m >> 1 & 1, len(top), sum(n / before[p] for p, n in top.items())))
-    return pd.DataFrame(out, columns=["hits", "first", "second", "pairs", "steady"])
+    columns = [*zip(*out, strict=True)] if out else [[]] * 5
+    kinds = [*[pa.list_(pa.int32())] * 3, pa.int32(), pa.float64()]
+    return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["hits", "first", "second", "pairs", "steady"])
 
 
 def scanned(d: DataFrame) -> DataFrame:

@@ -24,11 +24,12 @@ def evaluate(pairs: DataFrame, ranks: dict[str, int], settings: Settings = Setti
     """pairs(pair_id, original, rewritten) -> before, after, delta (ensemble scores), labels, what compare() gives, and
     target_met: the gate is passed and the score after is low enough.
 
-    Both sides are rows of one scoring pass, told apart by a column, and meet again by the pair.
+    Both sides are rows of one scoring pass, told apart by a column, and meet again by the pair. Equal sides are one row.
     """
-    sides = F.array(*[F.struct(F.lit(name).alias("side"), F.col(c).alias("text")) for c, name in (("original", "before"), ("rewritten", "after"))])
+    before, after, same = [F.struct(F.lit(name).alias("side"), F.col(c).alias("text")) for c, name in (("original", "before"), ("rewritten", "after"), ("original", "same"))]
+    sides = F.when(F.col("original").eqNullSafe(F.col("rewritten")), F.array(same)).otherwise(F.array(before, after))
     scored = detect(pairs.select(id_col, F.explode(sides).alias("s")).select(id_col, "s.*"), ranks, settings)
-    one = lambda name, c: F.max(F.when(F.col("side") == name, F.col(c)))
+    one = lambda name, c: F.max(F.when(F.col("side").isin(name, "same"), F.col(c)))
     both = scored.groupBy(id_col).agg(
         *[one(name, "ensemble_score").alias(name) for name in ("before", "after")], *[one(name, "label").alias(f"{name}_label") for name in ("before", "after")],
     ).withColumn("delta", F.col("after") - F.col("before"))

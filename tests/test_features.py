@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from inkgauge.functions import features as X
 from inkgauge.functions import maths as M
 from inkgauge.functions import text as T
 from inkgauge.operators import detectors as D
-from inkgauge.operators import markdown, pairs, provenance
+from inkgauge.operators import evaluate, markdown, pairs, provenance
 from inkgauge.operators.registry import Registry
 
 HOSTILE = [
@@ -245,3 +246,18 @@ def test_unsplittable_scans_are_spread(spark, tmp_path):
     one, many = (spark.read.parquet(str(tmp_path / x)) for x in ("one", "many"))
     assert files.spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and files.spread(one).count() == 100
     assert many.rdd.getNumPartitions() < 4 or files.spread(many) is many
+
+
+def test_equal_sides_are_scored_once(spark, monkeypatch):
+    rows, scored = [(1, "One thing is this. " * 9, "One thing is this. " * 9), (2, "One thing.", "Two things."), (3, None, None), (4, None, "")], []
+    real = evaluate.detect
+    monkeypatch.setattr(evaluate, "detect", lambda d, *a: scored.append(d.count()) or real(d, *a))
+    got = {r["pair_id"]: r for r in evaluate.evaluate(spark.createDataFrame(rows, "pair_id long, original string, rewritten string"), {"the": 1}).collect()}
+    assert scored == [6] and len(got) == 4
+    for i in (1, 3):
+        assert got[i]["before"] == got[i]["after"] is not None and got[i]["delta"] == 0 and got[i]["before_label"] == got[i]["after_label"]
+
+
+def test_lists_keep_rows_of_slices():
+    rows = pa.array([["a", "b"], [], ["c"], None, ["d"]])
+    assert [list(x) for x in X.lists(rows.slice(1, 4))] == [[], ["c"], [], ["d"]]
