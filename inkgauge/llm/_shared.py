@@ -80,7 +80,8 @@ def join_small(big: DataFrame, small: DataFrame, keys: list[str], how: str = "le
     """big joined with a side that is usually small and has one narrow row for each key; no key makes a hot task.
 
     small is written and counted: up to max_rows it is broadcast. Beyond that each of its rows is repeated for
-    every salt and the rows of big are spread over the salts, so that a key with a third of all rows is split.
+    every salt and the rows of big are spread over the salts, so that a key with a third of all rows is split. These are
+    merged: Spark estimates them by their compressed file and not by the salts, and would broadcast millions of rows.
     Null keys match nulls.
     """
     small = written(small, "side")
@@ -91,4 +92,4 @@ def join_small(big: DataFrame, small: DataFrame, keys: list[str], how: str = "le
         return big.join(F.broadcast(own), on, how).drop(*drop)
     salted = own.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     spread = big.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
-    return spread.join(salted, [*on, F.col("__salt") == F.col("__s")], how).drop(*drop, "__s", "__salt")
+    return spread.join(salted.hint("merge"), [*on, F.col("__salt") == F.col("__s")], how).drop(*drop, "__s", "__salt")

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from inkgauge.llm import ann, line_dedup, lm_score, media, mixing, ngram_join, packing, pii, toxicity, warc
+from inkgauge.llm import _shared, ann, line_dedup, lm_score, media, mixing, ngram_join, packing, pii, toxicity, warc
 
 TOKENIZER = None
 try:
@@ -36,6 +36,20 @@ def words(t):
     return re.findall(r"[^\x20\x09-\x0D]+", t or "")
 
 
+# what operators share
+
+
+def test_a_side_beyond_the_limit_is_never_broadcast(spark):
+    # Its compressed file is far below Spark's threshold; repeated for every salt it is not.
+    small = spark.range(3000).select((F.col("id") * 2).alias("k"), F.lit(1).alias("x"))
+    big = spark.range(200).withColumn("k", F.when(F.col("id") < 199, F.col("id")))
+    for how, want in (("left", 200), ("inner", 100), ("left_semi", 100)):
+        joined = _shared.join_small(big, small, ["k"], how, max_rows=2999)
+        assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+        assert joined.count() == want
+    assert "BroadcastHashJoin" in _shared.join_small(big, small, ["k"], max_rows=3000)._jdf.queryExecution().executedPlan().toString()
+
+
 # op2
 
 
