@@ -76,6 +76,11 @@ BROADCAST_ROWS = 100_000
 SALTS = 32
 
 
+def merged_if_large(table: DataFrame, rows: int | None = None) -> DataFrame:
+    """table (written, unless its rows are told), which joins don't broadcast if it has more than BROADCAST_ROWS, however small its file."""
+    return table if (table.count() if rows is None else rows) <= BROADCAST_ROWS else table.hint("merge")
+
+
 def join_small(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left", max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """big joined with a side that is usually small and has one narrow row for each key; no key makes a hot task.
 

@@ -19,7 +19,8 @@ what they share with it is enough), and pairs without one must share `need` sign
 linked never makes all its pairs. All candidates are verified on whole sets.
 
 What a task holds is one batch of texts; signatures are sorted and grouped by Spark, which spills. Links and
-components stay tables: components come by rounds of large-star and small-star.
+components stay tables: components come by rounds of large-star and small-star. Tables of a row or two for each document are
+broadcast up to 100,000 rows only: their files are small enough for Spark to send millions of rows through the driver.
 
 Copies of a text are found first, by its SHA-256: the smallest id stands for all of them.
 
@@ -39,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._shared import WORD, discard, join_small, text_of, written
+from ._shared import WORD, discard, join_small, merged_if_large, text_of, written
 
 SLICE_BYTES = 1 << 20
 PARTS = 3
@@ -272,7 +273,7 @@ def _verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     Pairs meet at b: b's set goes to each of the tasks that its pairs are spread over, and with every pair goes a's.
     """
     salt = F.pmod(F.xxhash64("a"), F.lit(64)).cast("int")
-    pairs = written(pairs.withColumn("salt", salt), "pairs")
+    pairs = merged_if_large(written(pairs.withColumn("salt", salt), "pairs"))
     a_side = sets.join(pairs, F.col("doc_id") == F.col("a")).select("b", "salt", "a", "set")
     # a null marks the set of b itself; it sorts first.
     b_side = sets.join(pairs.select("b", "salt").distinct(), F.col("doc_id") == F.col("b")).select(
@@ -318,13 +319,13 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     seen = state(now)
     for left in range(rounds, 0, -1):
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        large = smallest(both)
+        large = merged_if_large(smallest(both), seen[0])
         stars = (
             both.where("v > u").join(large, "u").select(F.col("v").alias("a"), F.least("m", "u").alias("b")).where("a != b").distinct()
         )
         stars, before = written(stars, "edges"), now
         down = stars.select(F.col("a").alias("u"), F.col("b").alias("v"))
-        small = smallest(down)
+        small = merged_if_large(smallest(down), seen[0])
         now = written(
             down.join(small, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).union(small.select(F.col("u").alias("a"), F.col("m").alias("b")))
             .where("a != b").distinct(),
@@ -453,12 +454,12 @@ def jaccard_components(
     single = single.where("doc_id is not null").drop("name")
     most = f"(n + n * 100 div {percent}) * {100 - percent} div {100 + percent}"
     own = shared.groupBy("doc_id", "key", "n").agg(F.count("*").alias("own")).join(F.broadcast(shape), "key").where(f"own >= {need(most)}")
-    own = written(own.select("doc_id", "key", "n", F.expr("1000 * own div (3 * groups - d)").alias("share")), "own")
+    own = merged_if_large(written(own.select("doc_id", "key", "n", F.expr("1000 * own div (3 * groups - d)").alias("share")), "own"))
 
     # 2. Their sets, and the documents that share enough features.
     sets = written(_sets(join_small(single, own.select("doc_id").distinct(), ["doc_id"], "left_semi"), n), "sets")
     features = sets.select("doc_id", "n", F.explode("set").alias("f"))
-    able = written(_possible(features.withColumn("component", F.col("doc_id")), percent), "able")
+    able = merged_if_large(written(_possible(features.withColumn("component", F.col("doc_id")), percent), "able"))
     rows = written(shared.join(own, ["doc_id", "key", "n"]).join(able, "doc_id", "left_semi"), "rows")
 
     # 3. Each with its centres.
@@ -466,20 +467,20 @@ def jaccard_components(
     links = written(_verified(sets, refs.select(F.col("doc_id").alias("a"), F.col("c").alias("b")), percent), "links")
 
     # 4. What may be linked across the components that this gives.
-    comps = written(components(links, rounds=2), "components").withColumnRenamed("node", "doc_id")
+    comps = merged_if_large(written(components(links, rounds=2), "components")).withColumnRenamed("node", "doc_id")
     features = features.join(able, "doc_id", "left_semi").join(comps, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     features = written(features, "features")
-    able = written(_possible(features, percent), "able").withColumn("wanted", F.lit(True))
+    able = merged_if_large(written(_possible(features, percent), "able")).withColumn("wanted", F.lit(True))
     rows = rows.join(able.drop("wanted"), "doc_id", "left_semi").join(comps, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     refs = refs.union(refs.select("c", "c")).distinct().join(able.drop("wanted"), "doc_id", "left_semi")
-    refs = written(refs, "centres")
+    refs = merged_if_large(written(refs, "centres"))
     wanted = features.join(able, "doc_id", "left").withColumn("wanted", F.coalesce("wanted", F.lit(False)))
     rest = _by_centre(wanted, refs, percent).union(_apart(rows, refs, shape, percent)).distinct()
     links = written(links.union(_verified(sets, rest, percent)), "links")
 
     # Copies, equal sets, and rows of one id with several texts link them.
     tied = keyed.where("doc_id is not null and rep != doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
-    comps = written(components(links.union(tied).union(equal)), "components")
+    comps = merged_if_large(written(components(links.union(tied).union(equal)), "components"))
     discard(sets, features, links)
     return join_big(_sized(keyed, sizes), comps).select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 

@@ -406,6 +406,26 @@ def test_components_of_near_copy_groups_equal_brute_force(spark):
     assert got == plain_components(rows)
 
 
+def test_tables_of_many_documents_are_never_broadcast(spark, monkeypatch):
+    # As if each table with rows were large.
+    near = [" ".join(f"w{d}-{i}" for i in range(60)) for d in range(6)]
+    rows = [(d, near[d % 6] + f" end{d}", "a", 1) for d in range(24)]
+    data = spark.createDataFrame(rows, DOCS)
+    want = {tuple(r) for r in ngram_join.jaccard_components(data).collect()}
+    seen, kept = [], ngram_join.written
+
+    def watched(df, name):
+        seen.append((name, df._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin")))
+        return kept(df, name)
+
+    monkeypatch.setattr(_shared, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(_shared.join_small, "__defaults__", ("left", 0))
+    monkeypatch.setattr(ngram_join, "written", watched)
+    last = ngram_join.jaccard_components(data)
+    assert {tuple(r) for r in last.collect()} == want
+    assert [n for name, n in seen if name in ("rows", "links", "features")][:3] == [0] * 3, seen  # the last links are of no pairs here
+
+
 def test_equal_sets_of_unlike_texts_are_linked(spark):
     """Copies that differ in case and blanks alone, of one word and more, and a group of thousands of them."""
     rng = np.random.default_rng(3)
