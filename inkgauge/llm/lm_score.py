@@ -28,7 +28,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -206,9 +206,10 @@ class Words:
         for part in slices(text.lower()):
             words = part.split()
             if words:
-                found = [*map(self.classes.get, words, repeat(OTHER))]
-                ids.append(np.array(found, np.int32))
-                raw += [b" ", " ".join([w for w, c in zip(words, found, strict=True) if not c]).encode()] if OTHER in found else []
+                found = np.fromiter(map(self.classes.get, words, repeat(OTHER)), np.int32, len(words))
+                ids.append(found)
+                others = found == OTHER
+                raw += [b" ", " ".join(compress(words, others.tolist())).encode()] if others.any() else []
         b = np.frombuffer(b"".join([*raw, b" "]), np.uint8)
         edges = np.flatnonzero(b == 0x20)
         return np.concatenate(ids) if ids else np.zeros(0, np.int32), Spelt(self.spelling.symbol[b], edges[:-1], np.diff(edges))
@@ -302,7 +303,7 @@ class Network:
         w2, b2, w3, b3 = self.parts[3:]
         group, place = np.divmod(y, self.base)
         order = np.argsort(group.astype(np.uint16), kind="stable")
-        group, place, h = group[order], place[order], h[order]
+        group, place, h = group.take(order), place.take(order), h.take(order, axis=0)
         edges = np.searchsorted(group, np.arange(self.base + 1))
         if grads is not None:
             grads[2][:] = 0
@@ -338,7 +339,7 @@ class Network:
         e, w1, b1 = self.parts[:3]
         ge, g1, gb1, *rest = unpacked(self.grads, self.base)
         n = len(y)
-        x = e[ctx].reshape(n, -1)
+        x = e.take(ctx, axis=0).reshape(n, -1)  # much faster than by brackets
         h = np.tanh(x @ w1 + b1)
         dh = self.classes(h, y, self.bounded(), rest)
         if pairs is not None:
@@ -349,9 +350,9 @@ class Network:
         dx, ge[:] = (dh @ w1.T).reshape(-1, WIDTH), 0
         flat = ctx.reshape(-1)
         order = np.argsort(flat.astype(np.uint16), kind="stable")  # there are fewer classes
-        flat = flat[order]
+        flat = flat.take(order)
         at = np.flatnonzero(np.diff(flat, prepend=-1))
-        ge[flat[at]] = np.add.reduceat(dx[order], at, axis=0)
+        ge[flat[at]] = np.add.reduceat(dx.take(order, axis=0), at, axis=0)
         self.grads /= n
         self.t += 1
         self.m += 0.1 * (self.grads - self.m)
@@ -373,7 +374,7 @@ class Network:
             own = of[at : at + POSITIONS]
             place = np.arange(at, at + len(own)) + SIDE * (own + 1)
             y = padded[place]
-            h = sum(s[padded[place + k]] for s, k in zip(sides, (k for k in range(-SIDE, SIDE + 1) if k), strict=True))
+            h = sum(s.take(padded.take(place + k), axis=0) for s, k in zip(sides, (k for k in range(-SIDE, SIDE + 1) if k), strict=True))
             h += b1
             np.tanh(h, out=h)
             one = self.classes(h, y, safe).astype(np.float64)
