@@ -6,7 +6,7 @@ sequence of its own, so no sequence crosses documents and none is padded. Cuttin
 shuffled, and a document's pieces leave the worker as they are cut.
 
 Ids come from a `tokenizers` file. For byte-level BPE files without normalizer the same vocabulary also drives a
-faster merge engine, and the ids of words seen before come from a bounded table; texts are only split before a
+faster merge engine, which takes whole texts; only long ones are split, before a
 blank that a non-blank follows, where this pre-tokenizer splits too, and around the file's added tokens, which keep their own
 ids as `tokenizers` gives them. Other files are encoded by `tokenizers` alone.
 
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 
 from ._shared import text_of
 
-#: Words in a worker's table, and characters that are split at once.
-TABLE_WORDS, SLICE_CHARS = 200_000, 1 << 20
+#: Characters that are encoded at once.
+SLICE_CHARS = 1 << 20
 #: The splitting rule of byte-level BPE.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -81,49 +82,20 @@ def encoder(path: str) -> Callable[[str], bytes]:
     added = {t["content"]: t for t in json.loads(tok.to_str())["added_tokens"]}
     if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] and not t["special"] for t in added.values()):
         engine = None
-    packed = lambda ids: np.asarray(ids, "<u4").tobytes()
+    packed = lambda ids: np.asarray(array("I", ids), "<u4").tobytes()  # noqa: E731  (numpy alone takes twice as long over a list)
     if engine is None:
         _encoders[path] = lambda text: packed(tok.encode(text, add_special_tokens=False).ids)
         return _encoders[path]
 
-    size = tok.get_vocab_size()
-    blank_first = np.zeros(size, bool)
-    blank_first[[v for k, v in tok.get_vocab().items() if k.startswith("Ġ")]] = True
-    cut, blank = re.compile(r" (?=\S)").split, re.compile(r"\s").search
-    table: dict[str, bytes] = {}
-
-    def learn(words: list[str]) -> None:
-        if len(table) > TABLE_WORDS:
-            table.clear()
-        one = [w for w in words if not blank(w)]
-        ids = np.asarray(engine(" " + " ".join(one)) if one else [], "<u4")
-        starts = np.flatnonzero(blank_first[ids])
-        if len(starts) != len(one):
-            one, starts = [], starts[:0]
-        raw, ends = ids.tobytes(), [*(4 * starts[1:]).tolist(), 4 * len(ids)]
-        for w, a, b in zip(one, (4 * starts).tolist(), ends, strict=False):
-            table[w] = raw[a:b]
-        for w in words:
-            if w not in table:
-                table[w] = packed(engine(" " + w))
-
-    def encode_slice(text: str) -> bytes:
-        first, *words = cut(text)
-        parts = [*map(table.get, words)]
-        if None in parts:
-            learn([*{w for w, p in zip(words, parts, strict=True) if p is None}])
-            parts = [p if p is not None else table[w] for w, p in zip(words, parts, strict=True)]
-        return packed(engine(first)) + b"".join(parts)
-
     def encode_plain(text: str) -> bytes:
         if len(text) <= SLICE_CHARS:
-            return encode_slice(text)
+            return packed(engine(text))
         out, at = [], 0
         safe = re.compile(r" (?=\S)")
         while at < len(text):
             m = safe.search(text, at + SLICE_CHARS)
             end = m.start() if m else len(text)
-            out.append(encode_slice(text[at:end]))
+            out.append(packed(engine(text[at:end])))
             at = end
         return b"".join(out)
 

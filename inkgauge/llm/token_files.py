@@ -57,6 +57,8 @@ def pack_bits(ids: np.ndarray, width: int) -> bytes:
     """ids, filled up with zeros to a multiple of 32, in `width` bits each."""
     full = np.zeros(-(-len(ids) // 32) * 32, np.uint64)
     full[: len(ids)] = ids
+    if width in (8, 16, 32):  # lie as numbers of that size
+        return full.astype(f"<u{width // 8}").tobytes()
     lanes = full.reshape(-1, 32)
     words = np.zeros((len(lanes), width + 1), np.uint64)
     for i in range(32):
@@ -70,6 +72,8 @@ def pack_bits(ids: np.ndarray, width: int) -> bytes:
 
 def unpack_bits(data: bytes | memoryview, width: int) -> np.ndarray:
     """The ids in data, which holds whole groups of 32."""
+    if width in (8, 16, 32):
+        return np.frombuffer(data, f"<u{width // 8}").astype(np.uint32)
     words = np.frombuffer(data, "<u4").reshape(-1, width).astype(np.uint64)
     out = np.empty((len(words), 32), np.uint32)
     mask = np.uint64((1 << width) - 1)

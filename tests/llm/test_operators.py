@@ -107,6 +107,22 @@ def test_fast_encoder_equals_tokenizers_on_odd_texts():
         assert np.frombuffer(encode(t), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+@pytest.mark.skipif(not TOKENIZER, reason="no tokenizer files")
+def test_a_text_takes_one_call_of_the_engine(monkeypatch):
+    # However many unlike words it has, with line ends or without.
+    made, calls = packing._merge_engine, []
+
+    def counted(tok):
+        engine = made(tok)
+        return lambda t: calls.append(t) or engine(t)
+
+    monkeypatch.setattr(packing, "_merge_engine", counted)
+    monkeypatch.setattr(packing, "_encoders", {})
+    encode, text = packing.encoder(TOKENIZER), " ".join(f"w{i}\n\nx{i}" for i in range(300))
+    assert np.frombuffer(encode(text), "<u4").tolist() == packing.plain_engine(TOKENIZER)(text)
+    assert calls[0] == text and len(calls) == 2
+
+
 def test_buckets_are_folders_of_equal_lengths(spark, docs, tmp_path):
     if not TOKENIZER:
         pytest.skip("no tokenizer files")
