@@ -31,6 +31,7 @@ rows without an id keep their set's size and get a null component; an empty tabl
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -52,31 +53,35 @@ TURN = _rng.integers(0, 1 << 64, 64, np.uint64) | np.uint64(1)
 BYTE[65:91] = BYTE[97:123]  # A-Z are lower-cased
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+FULL = ~SPACE
+LETTER = np.where(SPACE, np.uint64(0), BYTE)  # blanks add nothing to a word's sum
 M1, M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers whose every output bit depends on every input bit."""
     h = h ^ (h >> np.uint64(33))
-    h = h * M1
-    h = h ^ (h >> np.uint64(29))
-    h = h * M2
-    return h ^ (h >> np.uint64(32))
+    h *= M1
+    h ^= h >> np.uint64(29)
+    h *= M2
+    h ^= h >> np.uint64(32)
+    return h
 
 
 def _words_of(data: bytes) -> np.ndarray:
     b = np.frombuffer(data, np.uint8)
-    full = ~SPACE[b]
-    edge = np.diff(full.astype(np.int8), prepend=0, append=0)
-    lengths = np.flatnonzero(edge == -1) - np.flatnonzero(edge == 1)
-    if not len(lengths):
+    full = np.zeros(len(b) + 2, bool)
+    full[1:-1] = FULL[b]
+    edges = np.flatnonzero(full[1:] != full[:-1])
+    first, lengths = edges[::2], edges[1::2] - edges[::2]
+    if not len(first):
         return np.zeros(0, np.uint64)
-    first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    place = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
-    value = BYTE[b[full]] * PLACE[place & 1023]
-    if len(place) and place.max() > 1023:
+    # Each word with the blanks behind it.
+    place = np.arange(first[0], len(b)) - np.repeat(first, np.diff(first, append=len(b)))
+    value = LETTER[b[first[0] :]] * PLACE[place & 1023]
+    if lengths.max() > 1024:
         value *= (2 * (place >> 10) + 1).astype(np.uint64)
-    return mix(np.add.reduceat(value, first) + lengths.astype(np.uint64))
+    return mix(np.add.reduceat(value, first - first[0]) + lengths.astype(np.uint64))
 
 
 def word_hashes(text: str) -> np.ndarray:
@@ -103,7 +108,15 @@ def shingles(text: str | None, n: int = 5) -> np.ndarray:
     h = np.zeros(len(w) - m + 1, np.uint64)
     for i in range(m):
         h += w[i : len(w) - m + 1 + i] * TURN[i % 64]
-    return np.unique(mix(h + np.uint64(m)))
+    return _distinct(mix(h + np.uint64(m)))
+
+
+def _distinct(h: np.ndarray) -> np.ndarray:
+    """The distinct numbers of h (one at least), rising."""
+    h = np.sort(h)
+    new = np.ones(len(h), bool)
+    np.not_equal(h[1:], h[:-1], out=new[1:])
+    return h[new]
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -114,6 +127,7 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
+@functools.cache
 def bands(percent: int) -> tuple[np.ndarray, np.ndarray]:
     """The largest size of each band, and the bound k for sets of a band and the next."""
     highs, high = [], 0
@@ -140,30 +154,43 @@ def need(differ: str) -> str:
     return f"(if({differ} <= groups, 3 * groups - 2 * ({differ}), greatest(0, 2 * groups - ({differ}))) - d)"
 
 
-def signatures(s: np.ndarray, percent: int, _bands: dict = {}) -> list[tuple[int, np.ndarray]]:  # noqa: B006
+@functools.cache
+def _layout(percent: int, band: int) -> tuple[int, int, np.uint64, np.ndarray]:
+    """Groups, signatures that are left out, the turn of the features' hashes, and the cells' marks; no groups without signatures.
+
+    Bands grow by a quarter or so, so all that are kept take a few times the room of the largest.
+    """
+    k = int(bands(percent)[1][band])
+    x, d = spare(k)
+    groups = k // 2 + 1 + x if k else 0
+    turn = mix(np.array([band], np.int64).view(np.uint64) + M2)
+    return groups, d, turn[0], mix(np.arange(groups * PARTS, dtype=np.uint64) * TURN[11] + turn)
+
+
+def signatures(s: np.ndarray, percent: int) -> list[tuple[int, np.ndarray]]:
     """The set's signatures (of 48 bits; unlike ones that are equal only cost a comparison) by pair of bands."""
-    highs, bounds = _bands.setdefault(percent, bands(percent))
-    own = int(np.searchsorted(highs, len(s)))
+    own = int(np.searchsorted(bands(percent)[0], len(s)))
     out = []
     for band in (own - 1, own):
-        if band < 0 or not (k := int(bounds[band])):
+        if band < 0:
+            continue
+        groups, d, turn, marks = _layout(percent, band)
+        if not groups:
             continue
-        x, d = spare(k)
-        groups = k // 2 + 1 + x
-        turn = mix(np.array([band], np.int64).view(np.uint64) + M2)
-        f = mix(s + turn)
+        f = np.sort(mix(s + turn))  # cells rise with it
         cell = ((f >> np.uint64(32)) * np.uint64(groups * PARTS)) >> np.uint64(32)
-        order = np.argsort(cell, kind="stable")
-        edges = np.searchsorted(cell[order], np.arange(groups * PARTS + 1).astype(np.uint64))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(f[order] + M1), dtype=np.uint64)])
-        content = (sums[edges[1:]] - sums[edges[:-1]]).reshape(groups, PARTS)
-        count = np.diff(edges).reshape(groups, PARTS)
+        count = np.bincount(cell.view(np.int64), minlength=groups * PARTS)
+        sums = np.zeros(len(f) + 1, np.uint64)
+        np.cumsum(mix(f + M1), out=sums[1:])
+        sums = sums[np.concatenate([[0], np.cumsum(count)])]
         # For each part, the signature of the others.
-        content = content.sum(1, keepdims=True, dtype=np.uint64) - content
-        count = (count.sum(1, keepdims=True) - count).reshape(-1)
-        place = np.arange(groups * PARTS, dtype=np.uint64) * TURN[11] + turn
-        sig = mix(content.reshape(-1) + mix(place)) >> np.uint64(16)
-        out.append((band, sig[np.lexsort((sig, count))[d:]].view(np.int64)))
+        content, count = (sums[1:] - sums[:-1]).reshape(groups, PARTS), count.reshape(groups, PARTS)
+        content = sum(content[:, i] for i in range(PARTS))[:, None] - content
+        count = sum(count[:, i] for i in range(PARTS))[:, None] - count
+        sig = mix(content.reshape(-1) + marks) >> np.uint64(16)
+        # The weakest go: those of the fewest features (beyond 65,535 all alike), then the smallest.
+        order = np.minimum(count.reshape(-1), 65535).astype(np.uint64) << np.uint64(48) | sig
+        out.append((band, (np.partition(order, d)[d:] & np.uint64((1 << 48) - 1)).view(np.int64)))
     return out
 
 

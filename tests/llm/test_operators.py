@@ -469,6 +469,29 @@ def test_texts_longer_than_a_slice_give_the_same_sets(monkeypatch):
     assert ngram_join.shingles(text).tolist() == whole.tolist() and len(whole) > 3
 
 
+def test_sets_of_a_band_share_its_layout(monkeypatch):
+    rng = np.random.default_rng(4)
+    a, b = (np.unique(rng.integers(0, 1 << 64, 400, np.uint64)) for _ in range(2))
+    first = ngram_join.signatures(a, 80)
+    laid, made = [], ngram_join.spare
+    monkeypatch.setattr(ngram_join, "spare", lambda k: laid.append(k) or made(k))
+    ngram_join.signatures(b, 80)
+    assert not laid
+    # Plainly: of each group's parts all but one, the weakest left out.
+    num, (band, got) = (lambda x: np.array([x % (1 << 64)], np.uint64)), first[0]
+    turn, groups, d = ngram_join.mix(num(band + int(ngram_join.M2))), *next(s[1:] for s in ngram_join.shapes(80) if s[0] == band)
+    cells = {}
+    for f in ngram_join.mix(a + turn):
+        cells.setdefault((int(f) >> 32) * groups * 3 >> 32, []).append(f)
+    want = []
+    for c in range(groups * 3):
+        held = [f for o in range(c // 3 * 3, c // 3 * 3 + 3) if o != c for f in cells.get(o, [])]
+        content = sum(int(ngram_join.mix(f + num(int(ngram_join.M1)))[0]) for f in held)
+        mark = int(ngram_join.mix(num(c * int(ngram_join.TURN[11]) + int(turn[0])))[0])
+        want.append((len(held), int(ngram_join.mix(num(content + mark))[0]) >> 16))
+    assert sorted(got.tolist()) == sorted(s for _, s in sorted(want)[d:])
+
+
 def test_linked_sets_share_signatures():
     rng = np.random.default_rng(8)
     shape = {k: (g, d) for k, g, d in ngram_join.shapes(80)}
