@@ -121,9 +121,12 @@ def richness(d: DataFrame) -> DataFrame:
 
 def readability(sents: Column, words: Column, syllables: Column | None = None) -> Column:
     """Flesch reading ease; syllables, where they are counted already, are the words'."""
-    syll = T.total_syllables(words) if syllables is None else syllables
-    ease = 206.835 - 1.015 * F.size(words) / F.size(sents) - 84.6 * syll / F.size(words)
-    return F.when((F.size(sents) > 0) & (F.size(words) > 0), ease).otherwise(0.0)
+    return reading_ease(F.size(sents), F.size(words), T.total_syllables(words) if syllables is None else syllables)
+
+
+def reading_ease(sents: Column, words: Column, syllables: Column) -> Column:
+    """The same of their numbers."""
+    return F.when((sents > 0) & (words > 0), 206.835 - 1.015 * words / sents - 84.6 * syllables / words).otherwise(0.0)
 
 
 def sentence_lengths(d: DataFrame) -> DataFrame:

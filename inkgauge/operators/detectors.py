@@ -16,6 +16,7 @@ from .. import lexicon
 from ..config import Settings
 from ..functions import features as X
 from ..functions import maths as M
+from ..functions import measures
 from ..functions import text as T
 
 SIGNAL = "array<struct<name:string,value:double,weight:double>>"
@@ -85,7 +86,10 @@ def classical_features(d: DataFrame, ranks: dict[str, int]) -> DataFrame:
 
 def classical(d: DataFrame, ranks: dict[str, int]) -> DataFrame:
     """parsed rows with classical_features and classical_score, classical_confidence."""
-    d = classical_features(d, ranks)
+    return classical_score(classical_features(d, ranks))
+
+
+def classical_score(d: DataFrame) -> DataFrame:
     c, inv = F.col, M.inv_logistic
     mix = (
         0.14 * inv(c("perplexity"), 80, 0.04) + 0.12 * inv(c("burstiness"), 0.55, 5) + 0.08 * inv(c("ttr"), 0.52, 8)
@@ -110,7 +114,10 @@ def stylometric_features(d: DataFrame) -> DataFrame:
 
 def stylometric(d: DataFrame) -> DataFrame:
     """parsed rows with stylometric_features and stylometric_score, stylometric_confidence."""
-    d = stylometric_features(d)
+    return stylometric_score(stylometric_features(d))
+
+
+def stylometric_score(d: DataFrame) -> DataFrame:
     c, inv, log, band = F.col, M.inv_logistic, M.logistic, M.target_band
     mix = (
         0.10 * inv(c("ttr"), 0.55, 8) + 0.08 * log(c("yules_k"), 120, 0.03) + 0.05 * inv(c("honores_r"), 800, 0.004)
@@ -129,6 +136,10 @@ def statistical(d: DataFrame, ranks: dict[str, int]) -> DataFrame:
     """parsed rows with the watermark heuristics and statistical_score, statistical_confidence, hot_spans."""
     common = [w for w, r in ranks.items() if r <= lexicon.COMMON_RANK]
     d = X.hot_spans(X.rare_alignment(X.window_spike(X.context_consistency(X.multiseed_scan(X.scanned(d)))), common))
+    return statistical_score(d)
+
+
+def statistical_score(d: DataFrame) -> DataFrame:
     c = F.col
     mix = (
         0.34 * M.clamp((c("max_z") - 1.2) / 4.0) + 0.12 * M.clamp(c("mean_abs_z") / 2.5) + 0.10 * M.clamp((c("z_std") - 0.4) / 1.6)
@@ -204,12 +215,10 @@ def promoted_spans(spans: Column, most: int = 16) -> Column:
 
 
 def detect(docs: DataFrame, ranks: dict[str, int], settings: Settings = Settings(), text: str = "text") -> DataFrame:  # noqa: B008
-    """All three detectors and the ensemble over docs.text."""
-    d = X.counted(X.parsed(docs, text))
-    if "statistical" in settings.detect.detectors:
-        d = X.scanned(d)  # beside the counts: one exchange with Python serves both
+    """All three detectors and the ensemble over docs.text; the features are measured in one pass over batches of texts."""
+    d = measures.measured(docs, ranks, text, "statistical" in settings.detect.detectors)
     for name in settings.detect.detectors:
-        d = {"classical": lambda x: classical(x, ranks), "stylometric": stylometric, "statistical": lambda x: statistical(x, ranks)}[name](d)
+        d = {"classical": classical_score, "stylometric": stylometric_score, "statistical": statistical_score}[name](d)
     return ensemble(d, settings)
 
 

@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from ..config import Settings
 from ..functions import features as X
 from ..functions import maths as M
-from ..functions import text as T
+from ..functions import measures
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -22,55 +17,13 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(both == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / F.greatest(both, F.lit(1)))
 
 
-COUNTS = StructType([StructField(c, LongType()) for c in ("dot", "aa", "bb", "common", "na", "nb", "inter", "either")])
-
-
-def _filled(rows: list) -> pa.StructArray:
-    return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * len(COUNTS))], names=COUNTS.names)
-
-
-def _counted(a: Counter, b: Counter) -> tuple[int, ...]:
-    both = [(a[x], b[x]) for x in a.keys() & b.keys()]
-    return (
-        sum(p * q for p, q in both), sum(p * p for p in a.values()), sum(q * q for q in b.values()),
-        sum(min(p, q) for p, q in both), sum(a.values()), sum(b.values()), len(both), len(a) + len(b) - len(both),
-    )
-
-
-@F.arrow_udf(COUNTS)
-def counts(a: pa.Array, b: pa.Array) -> pa.Array:
-    """dot, aa, bb, common, na, nb of the multisets in two array columns, inter and either of their sets; a row's items stay in the row.
-
-    Of a batch only one row's items are Python objects at a time.
-    """
-    return _filled([_counted(Counter(x), Counter(y)) for x, y in zip(X.lists(a), X.lists(b), strict=True)])
-
-
-def _trigrams(flat: str) -> tuple[np.ndarray, np.ndarray]:
-    c = np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    if len(c) < 3:  # a shorter text is its own run
-        c = np.concatenate([c, np.full(3 - len(c), (1 << 21) - 1, np.uint64)]) if len(c) else c
-    return np.unique(c[:-2] << np.uint64(42) | c[1:-1] << np.uint64(21) | c[2:], return_counts=True) if len(c) else (c, c.astype(int))
-
-
-@F.arrow_udf(COUNTS)
-def trigram_counts(a: pa.Array, b: pa.Array) -> pa.Array:
-    """The same of the character trigrams of two text columns."""
-    out = []
-    for x, y in zip(a, b, strict=True):
-        (u, p), (v, q) = _trigrams(x.as_py()), _trigrams(y.as_py())
-        _, i, j = np.intersect1d(u, v, assume_unique=True, return_indices=True)
-        out.append([int(z) for z in (p[i] @ q[j], p @ p, q @ q, np.minimum(p[i], q[j]).sum(), p.sum(), q.sum(), len(i), len(u) + len(v) - len(i))])
-    return _filled(out)
-
-
 def apart(d: DataFrame) -> DataFrame:
     """d, its columns laid down: no expression of theirs is written out again where later ones use it. Nothing leaves the JVM."""
     return d.select(F.explode(F.array(F.struct(*d.columns))).alias("__r")).select("__r.*")
 
 
 def cosine(c: str = "") -> Column:
-    """Of the columns of counts(), with prefix c."""
+    """Of the columns of measures.comparison(), with prefix c."""
     norm = F.sqrt(F.col(f"{c}aa").cast("double")) * F.sqrt(F.col(f"{c}bb").cast("double"))
     return F.when(norm > 0, F.col(f"{c}dot") / norm).otherwise(0.0)
 
@@ -91,15 +44,12 @@ def compare(pairs: DataFrame, settings: Settings = Settings(), id_col: str = "pa
     q, vectors = settings.quality, ["original_vector", "rewritten_vector"]
     given = [F.col(v).cast("array<double>").alias(v) if v in pairs.columns else F.lit(None).cast("array<double>").alias(v) for v in vectors]
     d = pairs.select(id_col, F.coalesce("original", F.lit("")).alias("original"), F.coalesce("rewritten", F.lit("")).alias("rewritten"), *given)
-    sides = [f(F.col(c)).alias(n) for f, names in ((T.lower_words, "ab"), (T.sentences, "st")) for c, n in zip(("original", "rewritten"), (f"__{x}" for x in names), strict=True)]
-    out = (
-        apart(d.select("*", *sides)).withColumn("__w", counts("__a", "__b")).withColumn("__g", trigram_counts(T.flat(F.col("original")), T.flat(F.col("rewritten"))))
-        .select(
-            id_col, X.readability(F.col("__s"), F.col("__a")).alias("readability_before"), X.readability(F.col("__t"), F.col("__b")).alias("readability_after"),
-            F.when(F.col("__w.either") == 0, 1.0).otherwise(F.col("__w.inter") / F.greatest("__w.either", F.lit(1))).alias("unigram_jaccard"),
-            (F.length("rewritten") / F.greatest(F.lit(1), F.length("original"))).alias("length_ratio"), (T.strip(F.col("rewritten")) == "").alias("__blank"),
-            *vectors, "__w.*", *[F.col(f"__g.{x}").alias(f"g_{x}") for x in ("dot", "aa", "bb")],
-        )
+    d = d.withColumn("__c", measures.comparison("original", "rewritten"))
+    out = d.select(
+        id_col, X.reading_ease(F.col("__c.sents_a"), F.col("__c.na"), F.col("__c.syll_a")).alias("readability_before"),
+        X.reading_ease(F.col("__c.sents_b"), F.col("__c.nb"), F.col("__c.syll_b")).alias("readability_after"),
+        F.when(F.col("__c.either") == 0, 1.0).otherwise(F.col("__c.inter") / F.greatest("__c.either", F.lit(1))).alias("unigram_jaccard"),
+        (F.length("rewritten") / F.greatest(F.lit(1), F.length("original"))).alias("length_ratio"), (F.col("__c.sents_b") == 0).alias("__blank"), *vectors, "__c.*",
     )
     out = apart(out)
     out = out.withColumn("word_cosine", cosine()).withColumn("char_cosine", cosine("g_")).withColumn("token_change_rate", change_rate())

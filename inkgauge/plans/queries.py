@@ -12,6 +12,7 @@ from ..config import Settings
 from ..functions import features as X
 from ..functions import keyed
 from ..functions import maths as M
+from ..functions import measures
 from ..functions import text as T
 from ..operators import detectors as D
 from ..operators import edits, embedded, evaluate, markdown, pairs, perturb, provenance
@@ -64,7 +65,7 @@ def ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def known_ranks(spark: SparkSession, sf_dir: str) -> dict[str, int]:
-    return D.collected_ranks(ranks(spark, sf_dir))
+    return D.collected_ranks(lexicon.word_ranks(measures.word_counts(injected(spark, sf_dir))))
 
 
 @query
