@@ -103,8 +103,8 @@ def _firsts(x: np.ndarray) -> np.ndarray:
 
 
 def _counted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Unlike values in order, and how often each is there."""
-    x = np.sort(x)
+    """Unlike values in order, and how often each is there; x itself is sorted."""
+    x.sort()
     at = _firsts(x)
     return x[at], np.diff(at, append=len(x))
 
@@ -562,6 +562,7 @@ def _trigrams(texts: list[str]) -> tuple[np.ndarray, int]:
     again[1:] = space[1:] & space[:-1]
     again[ends[:-1][np.diff(ends) > 0]] = False
     x, ends = x[~again], ends - _sums(again)[ends]
+    del codes, whole, space, again
     size = np.diff(ends)
     lack = np.where((size > 0) & (size < 3), 3 - size, 0)
     if lack.any():
@@ -580,9 +581,15 @@ def _trigrams(texts: list[str]) -> tuple[np.ndarray, int]:
     if pairs + 3 * bits + 1 > 63:  # too many unlike characters: the runs of two that occur are numbered
         known, first = np.unique(first, return_inverse=True)
         above = len(known).bit_length()
-    texts_of = np.arange(len(size), dtype=kind)
-    high, side = np.repeat(texts_of >> kind(1) << kind(above), size)[:-2], np.repeat(texts_of & kind(1), size)[:-2]
-    return (((high | first) << shift | x[2:]) << kind(1) | side)[inner], above + bits + 1
+    text = np.arange(len(size), dtype=kind)
+    runs = np.repeat(text >> kind(1) << kind(above), size)[:-2]
+    runs |= first
+    del first
+    runs <<= shift
+    runs |= x[2:]
+    runs <<= kind(1)
+    runs |= np.repeat(text & kind(1), size)[:-2]
+    return runs[inner], above + bits + 1
 
 
 COUNTS = ("dot", "aa", "bb", "common", "na", "nb", "inter", "either")
@@ -604,9 +611,9 @@ def _overlap(keys: np.ndarray, bits: int, pairs: int) -> dict[str, np.ndarray]:
 def compared(first: list[str], second: list[str]) -> dict[str, np.ndarray]:
     """Of pairs of texts: COUNTS of their words; of their runs of three characters, g_dot, g_aa, g_bb; and their sentences and syllables."""
     texts = [t for pair in zip(first, second, strict=True) for t in pair]
+    own = _overlap(*_trigrams(texts), len(first))  # before the words, which aren't in hand then
     c = cut(texts)
     out = _overlap(((c.doc >> 1) << c.bits | c.ids) << 1 | c.doc & 1, c.bits + 1, len(first))
-    own = _overlap(*_trigrams(texts), len(first))
     out |= {f"g_{k}": own[k] for k in ("dot", "aa", "bb")}
     syll = np.bincount(c.doc, syllables(c.words)[c.ids], len(texts)).astype(np.int64)
     return out | {"sents_a": c.sents[::2], "sents_b": c.sents[1::2], "syll_a": syll[::2], "syll_b": syll[1::2]}
